@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, sharding, token_cache, token_pack
+from .common import scratch
 
 
 def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,8 +14,23 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Starts from an empty cache, so that every distinct text is a miss."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return token_cache.token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"), scratch(spark, "token-cache"))
+
+
+def op5_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(spark.read.parquet(f"{sf_dir}/documents.parquet"), 8)
+
+
+def op10_token_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return token_pack.write_and_read(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe_round_trip,)}
+    return {f.__name__: f for f in (op1_bpe_round_trip, op4_token_counts, op5_jump_shards, op10_token_pack)}
 
 
 def oracle_sql() -> dict[str, str]:
