@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, sharding, token_cache, token_pack
+from . import bpe, language_id, near_dup, sharding, token_cache, token_pack
 from .common import scratch
 
 
@@ -14,6 +14,10 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Starts from an empty cache, so that every distinct text is a miss."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -24,13 +28,17 @@ def op5_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(spark.read.parquet(f"{sf_dir}/documents.parquet"), 8)
 
 
+def op8_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), size=2, percent=80)
+
+
 def op10_token_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return token_pack.write_and_read(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe_round_trip, op4_token_counts, op5_jump_shards, op10_token_pack)}
+    return {f.__name__: f for f in (op1_bpe_round_trip, op3_language_id, op4_token_counts, op5_jump_shards, op8_minhash_near_dup, op10_token_pack)}
 
 
 def oracle_sql() -> dict[str, str]:
