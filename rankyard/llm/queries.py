@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language_id, near_dup, sharding, token_cache, token_pack
+from . import bpe, embed_dup, language_id, near_dup, sharding, token_cache, token_pack
 from .common import scratch
 
 
@@ -32,13 +32,17 @@ def op8_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), size=2, percent=80)
 
 
+def op9_embedding_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), threshold=0.95)
+
+
 def op10_token_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return token_pack.write_and_read(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe_round_trip, op3_language_id, op4_token_counts, op5_jump_shards, op8_minhash_near_dup, op10_token_pack)}
+    return {f.__name__: f for f in (op1_bpe_round_trip, op3_language_id, op4_token_counts, op5_jump_shards, op8_minhash_near_dup, op9_embedding_near_dup, op10_token_pack)}
 
 
 def oracle_sql() -> dict[str, str]:
