@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embed_dup, kneser_ney, language_id, near_dup, sharding, token_cache, token_pack
+from . import bpe, decontaminate, embed_dup, kneser_ney, language_id, near_dup, sharding, token_cache, token_pack
 from .common import scratch
 
 
@@ -14,6 +14,11 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -46,7 +51,7 @@ def op10_token_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe_round_trip, op3_language_id, op4_token_counts, op5_jump_shards, op7_kneser_ney, op8_minhash_near_dup, op9_embedding_near_dup, op10_token_pack)}
+    return {f.__name__: f for f in (op1_bpe_round_trip, op2_decontaminate, op3_language_id, op4_token_counts, op5_jump_shards, op7_kneser_ney, op8_minhash_near_dup, op9_embedding_near_dup, op10_token_pack)}
 
 
 def oracle_sql() -> dict[str, str]:
