@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, embed_dup, kneser_ney, language_id, near_dup, sharding, token_cache, token_pack
+from . import bpe, decontaminate, embed_dup, html_text, kneser_ney, language_id, near_dup, sharding, token_cache, token_pack
 from .common import scratch
 
 
@@ -33,6 +33,10 @@ def op5_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(spark.read.parquet(f"{sf_dir}/documents.parquet"), 8)
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.learn_and_score(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -51,7 +55,7 @@ def op10_token_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe_round_trip, op2_decontaminate, op3_language_id, op4_token_counts, op5_jump_shards, op7_kneser_ney, op8_minhash_near_dup, op9_embedding_near_dup, op10_token_pack)}
+    return {f.__name__: f for f in (op1_bpe_round_trip, op2_decontaminate, op3_language_id, op4_token_counts, op5_jump_shards, op6_html_text, op7_kneser_ney, op8_minhash_near_dup, op9_embedding_near_dup, op10_token_pack)}
 
 
 def oracle_sql() -> dict[str, str]:
