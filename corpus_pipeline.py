@@ -1,13 +1,66 @@
-"""The corpus pipeline: language ID, MinHash near-dedup, benchmark decontamination, BPE encoding and decoding."""
+"""The corpus pipeline: language ID, MinHash near-dedup, benchmark decontamination, BPE encoding and decoding.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each stage's rows to the shared folder and
+reads them again for the next. All stages but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rankyard.llm import bpe, decontaminate, language_id, near_dup
+from rankyard.llm.common import written
+
+#: Removed ids up to that many are broadcast (8 bytes each); more are joined by a shuffle.
+BROADCAST_IDS = 400_000
+
+
+def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a language; those without text or letters go."""
+    train = docs.where(language_id.remainder("doc_id", 3) != 1)
+    model = language_id.fit(train.select("text", "lang"))
+    return language_id.predict(docs, model).where("lang_pred <> 'und'").select(*docs.columns)
+
+
+def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: shingles of five words, similarity 0.8."""
+    found = written(near_dup.near_duplicates(docs, size=5, percent=80), "groups")
+    removed = found.where(~F.col("kept")).select("doc_id").distinct()
+    removed = F.broadcast(removed) if removed.count() <= BROADCAST_IDS else removed
+    kept = docs.join(removed, "doc_id", "left_anti")
+    rows, ids = found.where("doc_id IS NOT NULL").agg(F.count("*"), F.count_distinct("doc_id")).first()
+    if rows > ids:  # some ids repeat: they name one document
+        kept = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id IS NULL"))
+    return kept.select(*docs.columns)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a copy of a benchmark item."""
+    return decontaminate.without_copies(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the ids and of the text decoded from them."""
+    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("language_id", identified),
+    ("near_dedup", deduplicated),
+    ("decontamination", decontaminated),
+    ("bpe", encoded),
+]
+
+#: No SQL: language ID parses with automata and decontamination aligns.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = written(docs, name)
     return docs
