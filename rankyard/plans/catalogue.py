@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "m01_rank_metrics"
+from rankyard.plans import campaign, ingestion, retrieval  # noqa: F401  they register their queries
+from rankyard.plans.registry import ORACLES, QUERIES
+
+FLAGSHIP = "bm25_topk_global"
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
