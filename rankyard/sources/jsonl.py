@@ -19,12 +19,17 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(matches)
 
 
-def strict(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def structure(schema: T.StructType | str) -> T.StructType:
+    """A schema from itself or its DDL."""
+    return T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+
+
+def strict(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """Every line a record; blank lines are skipped, a bad line fails the read and is named by its number.
 
     Lines are numbered only once a bad one is found.
     """
-    kept = T.StructType([*schema.fields, T.StructField(BAD, T.StringType())])
+    kept = T.StructType([*structure(schema).fields, T.StructField(BAD, T.StringType())])
     rows = spark.read.schema(kept).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD).json(path).cache()
     bad = rows.where(F.col(BAD).isNotNull()).select(BAD).first()
     if bad is not None:
@@ -35,12 +40,12 @@ def strict(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return rows.drop(BAD)
 
 
-def table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def table(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """As strict(), and a missing file is an empty table."""
     return strict(spark, path, schema) if exists(spark, path) else spark.createDataFrame([], schema)
 
 
-def lenient(spark: SparkSession, path: str, schema: T.StructType, needed: str | None = None) -> DataFrame:
+def lenient(spark: SparkSession, path: str, schema: T.StructType | str, needed: str | None = None) -> DataFrame:
     """Whatever lines are records, and have the needed column; a missing file is an empty table."""
     if not exists(spark, path):
         return spark.createDataFrame([], schema)
@@ -48,12 +53,12 @@ def lenient(spark: SparkSession, path: str, schema: T.StructType, needed: str |
     return rows.where(F.col(needed).isNotNull()) if needed else rows
 
 
-def pruned(spark: SparkSession, path: str, schema: T.StructType, columns: Sequence[str]) -> DataFrame:
+def pruned(spark: SparkSession, path: str, schema: T.StructType | str, columns: Sequence[str]) -> DataFrame:
     """Some columns alone: the others are not parsed."""
-    return strict(spark, path, T.StructType([f for f in schema.fields if f.name in columns]))
+    return strict(spark, path, T.StructType([f for f in structure(schema).fields if f.name in columns]))
 
 
-def retrieval_files(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
+def retrieval_files(spark: SparkSession, folder: str, schema: T.StructType | str) -> DataFrame:
     """The rows of all files of a folder whose name ends in retrieval.jsonl, with the file's name."""
     rows = spark.read.schema(schema).option("pathGlobFilter", "*retrieval.jsonl").json(folder)
     return rows.withColumn("file", F.element_at(F.split(F.input_file_name(), "/"), -1))
