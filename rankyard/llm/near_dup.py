@@ -6,9 +6,10 @@ candidates: a pair at the threshold 0.8 shares one with probability 1 - (1 - 0.8
 confirmed on the full sets of hashed shingles.
 
 Equal sets are one class from the start. In a bucket, members are compared with a leader, not with each other; leaders
-change for LEADERS rounds, and members whose component is the leader's already are left out. What is then still apart
-in a bucket, usually next to nothing, is compared in full, so every candidate pair ends in one component or is tested.
-Buckets are only aggregated and joined on their key, so a bucket with a third of all rows is a skewed join, not a task.
+change for LEADERS rounds, and members whose component is the leader's already are left out. Members still outside the
+component of a bucket's first are compared with all of that component and with each other, block by block inside tasks,
+so every candidate pair ends in one component or is tested, and pairs are never rows. Buckets are only aggregated and
+joined on their key, so a bucket with a third of all rows is a skewed join, not a task.
 
 Defined results: a document without words (null or empty text) has an empty set and links with nothing; a row without
 id links with nothing, gets no component and is kept; rows with equal ids are one document; documents with fewer words
@@ -29,6 +30,7 @@ from .components import stars
 
 PERMUTATIONS, ROWS = 64, 5
 LEADERS = 2
+BLOCK, BLOCK_SHINGLES = 128, 200_000
 #: Ids of that many candidates are broadcast at most (8 bytes each, some 20 MB as a hash table); more are joined by a shuffle.
 BROADCAST_IDS = 400_000
 
@@ -47,7 +49,7 @@ def _hash(word: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
 
 
-_WORDS = Memo(_hash)
+_WORDS = Memo(_hash, 200_000)
 
 
 def shingles(text: str | None, size: int) -> np.ndarray:
@@ -133,6 +135,59 @@ def labelled(members: DataFrame, found: DataFrame) -> DataFrame:
     return members.join(found.select(F.col("hi").alias("id"), "lo"), "id", "left").withColumn("comp", F.coalesce("lo", "id")).drop("lo")
 
 
+def linked(table: pa.Table, percent: int) -> pa.Table:
+    """One link (a, b) for each two components of the rows of side 0 and side 1 that have any."""
+    side, ids, comp = (table[c].to_numpy() for c in ("side", "id", "comp"))
+    sets = table["shingles"].combine_chunks()
+    values = sets.flatten().to_numpy()
+    sizes = np.diff(sets.offsets.to_numpy()).astype(np.int64)
+    row = np.empty(len(ids), np.int64)
+    rows, found, owners = [], [], []
+    for s in (0, 1):
+        rows.append(np.nonzero(side == s)[0])
+        row[rows[s]] = np.arange(len(rows[s]))
+        own = np.repeat(side == s, sizes)
+        found.append(values[own])
+        owners.append(np.repeat(row, sizes)[own])
+    common = np.intersect1d(*found)
+    both = np.zeros((len(rows[0]), len(rows[1])), np.float32)
+    for k in range(0, len(common), 4096):
+        part = common[k : k + 4096]
+        marks = []
+        for s in (0, 1):
+            at = np.minimum(np.searchsorted(part, found[s]), len(part) - 1)
+            hit = part[at] == found[s]
+            marks.append(np.zeros((len(rows[s]), len(part)), np.float32))
+            marks[s][owners[s][hit], at[hit]] = 1
+        both += marks[0] @ marks[1].T
+    union = sizes[rows[0]][:, None] + sizes[rows[1]][None] - both
+    i, j = np.nonzero((100 * both >= percent * union) & (comp[rows[0]][:, None] != comp[rows[1]][None]))
+    i, j = rows[0][i], rows[1][j]
+    _, one = np.unique(np.stack([comp[i], comp[j]]), axis=1, return_index=True)
+    return pa.table({"a": pa.array(ids[i[one]], pa.int64()), "b": pa.array(ids[j[one]], pa.int64())})
+
+
+def compared(left: DataFrame, right: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between rows (group, id, n, comp) of left and right of a group, one at least for each two components that have any.
+
+    Both sides of a group are cut into blocks of some BLOCK rows or BLOCK_SHINGLES shingles, and every two blocks are
+    compared in one task: rows are repeated for each block they meet, pairs are never rows.
+    """
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    sizes = left.groupBy("group").agg(blocks.alias("na")).join(right.groupBy("group").agg(blocks.alias("nb")), "group")
+    parts = []
+    for side, (rows, own, other) in enumerate(((left, "a", "b"), (right, "b", "a"))):
+        placed = rows.join(sizes, "group").withColumn(f"block_{own}", F.pmod(F.xxhash64("id"), F.col(f"n{own}")).cast("int"))
+        met = F.explode(F.sequence(F.lit(0), F.col(f"n{other}") - 1)).alias(f"block_{other}")
+        parts.append(placed.select("group", "id", "comp", F.lit(side).alias("side"), f"block_{own}", met))
+    rows = parts[0].unionByName(parts[1]).join(sets.select("id", "shingles"), "id")
+
+    def run(table):
+        return linked(table, percent)
+
+    return rows.groupBy("group", "block_a", "block_b").applyInArrow(run, "a bigint, b bigint")
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id, kept (the id is the component's) of every row."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -161,15 +216,17 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
         tested = pairs if tested is None else tested.unionByName(pairs)
         links = confirmed(pairs, sets, percent)
         found = stars(links if found is None else links.unionByName(found.select(F.col("hi").alias("a"), F.col("lo").alias("b"))))
-    # Buckets that still hold several components: each member outside the first one's against the rest.
+    # Buckets that still hold several components: each member outside the first one's against that component and the others.
     near = labelled(members.select("key", "id", "n"), found)
     open_ = near.groupBy("key").agg(F.min("comp").alias("first"), F.max("comp").alias("last")).where("first < last").select("key", "first")
-    near = written(near.join(open_, "key"), "apart")
-    minor = near.where("comp != first").select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    rest = near.select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), "first")
-    pairs = minor.join(rest, "key").where((F.col("ca") != F.col("cb")) & ((F.col("ca") == F.col("first")) | (F.col("a") < F.col("b"))) & similar(F.col("na"), F.col("nb")))
-    pairs = pairs.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti").join(tested.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-    links = confirmed(written(pairs, "pairs"), sets, percent)
+    minor = written(near.join(open_, "key").where("comp <> first"), "apart")
+    whole = labelled(members.select("id", "n").distinct(), found).withColumn("group", F.col("comp"))
+    several = minor.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key")
+    among = minor.join(several, "key").withColumn("group", F.col("key"))
+    columns = ["group", "id", "n", "comp"]
+    left = minor.withColumn("group", F.col("first")).select(columns).distinct().unionByName(among.select(columns))
+    right = whole.join(minor.select(F.col("first").alias("group")).distinct(), "group", "left_semi").select(columns).unionByName(among.select(columns))
+    links = written(compared(left, right, sets, percent), "links")
     found = stars(links.unionByName(found.select(F.col("hi").alias("a"), F.col("lo").alias("b"))))
     labels = classes.join(found.select(F.col("hi").alias("rep"), "lo"), "rep", "left").select("digest", F.coalesce("lo", "rep").alias("component"))
     out = signed.select("id", "n", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("digest")).alias("digest")).join(labels, "digest", "left")

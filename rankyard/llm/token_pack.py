@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .chunks import layout, loaded
-from .common import Memo, scratch, written
+from .chunks import PieceMemo, dropped_pieces, layout, loaded
+from .common import scratch, written
 
 MAGIC = b"TOKPACK1"
 HEADER = struct.Struct("<8s32sI")
@@ -55,7 +55,7 @@ def encoder(tokenizer: str, end_id: int | None):
         kind = "<u2" if model.get_vocab_size() <= 1 << 16 else "<u4"
         end = b"" if end_id is None else np.array([end_id], kind).tobytes()
         pack = lambda text: np.array(model.encode(text, add_special_tokens=False).ids, kind).tobytes()
-        known = Memo(pack)
+        known = PieceMemo(pack, lower=pieces is dropped_pieces)
         encode = (lambda text: b"".join(map(known.__getitem__, pieces(text))) + end) if pieces else (lambda text: pack(text) + end)
         _ENCODERS[tokenizer, end_id] = encode, kind
     return _ENCODERS[tokenizer, end_id]
