@@ -7,7 +7,7 @@ import re
 
 import numpy as np
 import pytest
-from conftest import SMALL
+from oracle import SMALL
 from hypothesis import given, settings
 from hypothesis import strategies as st
 

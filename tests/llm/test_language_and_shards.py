@@ -6,7 +6,7 @@ import zlib
 
 import duckdb
 import numpy as np
-from conftest import SMALL
+from oracle import SMALL
 from hypothesis import given, settings
 from hypothesis import strategies as st
 

@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
-from conftest import SMALL
+from oracle import SMALL
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
