@@ -7,7 +7,6 @@ import pytest
 
 ROOT = Path(__file__).resolve().parents[1]
 sys.path.insert(0, str(ROOT))
-SMALL = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
