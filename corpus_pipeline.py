@@ -21,7 +21,7 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language; those without text or letters go."""
     train = docs.where(language_id.remainder("doc_id", 3) != 1)
     model = language_id.fit(train.select("text", "lang"))
-    return language_id.predict(docs, model).where("lang_pred <> 'und'").select(*docs.columns)
+    return language_id.recognised(docs, model)
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -190,9 +190,9 @@ def fit(train: DataFrame, docs_per_language: int = 80, chars_per_doc: int = 400)
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred and score; in no other way changed."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # a few MB for each language, whatever the table's size
+    """docs with lang_pred and score, in place of columns of these names; in no other way changed."""
+    docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("lang_pred", "score")))
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # a few MB for each language, whatever the table's size
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     at = docs.columns.index(text_col)
 
@@ -209,6 +209,20 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+def recognised(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of docs for which a language is predicted, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for b in batches:
+            texts = b.column(at).to_pylist()
+            names = [x for i, j in parts(texts) for x in shared.value.predict(texts[i:j])[0]]
+            yield b.filter(pa.array([x != "und" for x in names], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """id, held_out, lang_pred, score of every row; rows of remainder 1 modulo 3 are held out from learning."""
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), (remainder(id_col, 3) == 1).alias("held_out"))
