@@ -37,7 +37,7 @@ from .token_pack import filesystem
 #: Words in a piece: PIECE on average, below 2 ** PLACE in any.
 PIECE, PLACE = 400_000, 20
 #: Pairs that a bucket is meant for; a first word with more is spread.
-BUCKET = 2_000_000
+BUCKET = 500_000
 START = (1 << PLACE) - 1
 _HALF = np.uint64(32)
 
@@ -47,7 +47,7 @@ def _hash(word: bytes) -> int:
 
 
 END = _hash(b" end")
-_WORDS = Memo(_hash)
+_WORDS = Memo(_hash, 150_000)
 
 
 def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -78,12 +78,16 @@ def saved(folder: str, name: str, array: np.ndarray) -> None:
 
 
 _MAPPED: dict[str, np.ndarray] = {}
+#: Arrays that a worker maps at once; systems allow some 65,000 mappings of a process.
+MAPPINGS = 8192
 
 
 def mapped(folder: str, name: str) -> np.ndarray:
-    """An array of the model, mapped into memory once for each worker."""
+    """An array of the model, mapped into memory by each worker; the one mapped first goes if there are too many."""
     path = f"{folder}/{name}"
     if path not in _MAPPED:
+        if len(_MAPPED) >= MAPPINGS:
+            del _MAPPED[next(iter(_MAPPED))]
         store, local = filesystem(path)
         if store.type_name == "local":
             _MAPPED[path] = np.load(local, mmap_mode="r")
@@ -225,7 +229,7 @@ def learn(docs: DataFrame, text_col: str = "text") -> Model:
     def count_words(batches):
         for b in batches:
             texts = b.column(0).to_pylist()
-            found = [np.unique(tokens(texts[i:j])[0], return_counts=True) for i, j in parts(texts, 4_000_000)]
+            found = [np.unique(tokens(texts[i:j])[0], return_counts=True) for i, j in parts(texts, 2_000_000)]
             h, c = _summed(np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found]))
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], ["h", "c"])
 
@@ -257,7 +261,7 @@ def learn(docs: DataFrame, text_col: str = "text") -> Model:
         for b in batches:
             texts = b.column(0).to_pylist()
             keys, times, places = [], [], []
-            for i, j in parts(texts, 4_000_000):
+            for i, j in parts(texts, 2_000_000):
                 _, begin, context, number, count, back = model.numbered(texts[i:j])
                 word = number[back]
                 before = np.concatenate([[0], count[back[:-1]]])
@@ -327,7 +331,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def run(batches):
         for b in batches:
             texts = b.column(1).to_pylist()
-            for i, j in parts(texts, 4_000_000):
+            for i, j in parts(texts, 2_000_000):
                 found = model.score(texts[i:j])
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), *map(pa.array, found)], ["id", "n_tokens", "n_known", "base_score", "score"])
 
