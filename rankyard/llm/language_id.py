@@ -25,6 +25,8 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 SEGMENT = 512
+#: Groups of partitions that the sample is first taken from.
+GROUPS = 32
 UNKNOWN = 1
 _CODES = 0x110000
 
@@ -37,9 +39,11 @@ def remainder(id_col: str, modulus: int):
 def sample(train: DataFrame, docs_per_language: int, chars_per_doc: int) -> dict[str, list[str]]:
     """Labelled texts by language: at most docs_per_language prefixes of each."""
     labelled = train.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("text").alias("h"))
-    order = Window.partitionBy("lang").orderBy("h")
-    distinct = labelled.groupBy("lang", "h").agg(F.count("*").alias("copies"))
-    chosen = distinct.withColumn("k", F.row_number().over(order)).where(F.col("k") <= docs_per_language).select("lang", "h")
+    chosen = labelled.select("lang", "h").distinct().withColumn("some", F.spark_partition_id() % GROUPS)
+    for by in (["lang", "some"], ["lang"]):  # the first of each group of partitions, then of all
+        order = Window.partitionBy(*by).orderBy("h")
+        chosen = chosen.withColumn("k", F.row_number().over(order)).where(F.col("k") <= docs_per_language).drop("k")
+    chosen = chosen.select("lang", "h")
     # At most docs_per_language rows for each label.
     rows = labelled.select("lang", "h", F.substring("text", 1, chars_per_doc).alias("text")).join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text")).collect()
     out: dict[str, list[str]] = {}
@@ -192,7 +196,7 @@ def fit(train: DataFrame, docs_per_language: int = 80, chars_per_doc: int = 400)
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs with lang_pred and score, in place of columns of these names; in no other way changed."""
     docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("lang_pred", "score")))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # a few MB for each language, whatever the table's size
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # some 30 MB for each language at the default sample, whatever the size of docs
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     at = docs.columns.index(text_col)
 
