@@ -174,7 +174,8 @@ def compared(left: DataFrame, right: DataFrame, sets: DataFrame, percent: int) -
     compared in one task: rows are repeated for each block they meet, pairs are never rows.
     """
     blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int")
-    sizes = left.groupBy("group").agg(blocks.alias("na")).join(right.groupBy("group").agg(blocks.alias("nb")), "group")
+    # Written, so that rows and sizes meet as two plain sides and a large group is split as a skewed join.
+    sizes = written(left.groupBy("group").agg(blocks.alias("na")).join(right.groupBy("group").agg(blocks.alias("nb")), "group"), "sizes")
     parts = []
     for side, (rows, own, other) in enumerate(((left, "a", "b"), (right, "b", "a"))):
         placed = rows.join(sizes, "group").withColumn(f"block_{own}", F.pmod(F.xxhash64("id"), F.col(f"n{own}")).cast("int"))
@@ -229,6 +230,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     links = written(compared(left, right, sets, percent), "links")
     found = stars(links.unionByName(found.select(F.col("hi").alias("a"), F.col("lo").alias("b"))))
     labels = classes.join(found.select(F.col("hi").alias("rep"), "lo"), "rep", "left").select("digest", F.coalesce("lo", "rep").alias("component"))
+    labels = written(labels, "labels")  # a digest that very many rows share is a skewed join
     out = signed.select("id", "n", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("digest")).alias("digest")).join(labels, "digest", "left")
     component = F.coalesce("component", "id")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
