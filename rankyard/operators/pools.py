@@ -24,19 +24,38 @@ def _one(rows: DataFrame, key: str, pick, ordinal: str) -> DataFrame:
     return rows.groupBy(key).agg(pick(F.struct(*(c for c in rows.columns if c != key)), F.col(ordinal)).alias("_row")).select(key, "_row.*")
 
 
+def pairs(queries: DataFrame, items: DataFrame, rows: int = 512) -> DataFrame:
+    """Every row of queries beside every row of items, dealt out by (block of queries, block of items).
+
+    A block has about so many rows; the numbers of blocks come from the row counts, so neither side is held whole.
+    """
+    count = lambda df, name: df.agg(F.ceil(F.greatest(F.count("*"), F.lit(1)) / rows).alias(name))
+    # One row.
+    counts = F.broadcast(count(queries, "_qs").crossJoin(count(items, "_is")))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    one = lambda df, n: F.pmod(F.xxhash64(*df.columns), F.col(n))
+    asked = queries.crossJoin(counts).select(*queries.columns, one(queries, "_qs").alias("_q"), every("_is").alias("_i"))
+    known = items.crossJoin(counts).select(*items.columns, one(items, "_is").alias("_i"), every("_qs").alias("_q"))
+    # A number of partitions that is given is kept however small the shuffled sides are: the pairs are the work.
+    tasks = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return asked.repartition(tasks, "_q", "_i").join(known.repartition(tasks, "_q", "_i"), ["_q", "_i"]).drop("_q", "_i")
+
+
 def pools(own: DataFrame, universe: DataFrame, sizes: Sequence[int], seed: int) -> DataFrame:
     """query_id, pool_size, item_id, ordinal: the own items of every scenario, then distractors up to each size.
 
     own has (query_id, item_id, position). Distractors are the universe's items other than the own, in an order that
     scenario and seed fix; own items always stay, so a pool can be larger than its size, and a universe that runs out
-    makes it smaller. Every scenario meets the universe once, whatever the number of sizes, and only the first
-    max(sizes) distractors of each leave their task.
+    makes it smaller. Every scenario meets the universe once, in pairs of blocks, whatever the number of sizes, and only
+    the first max(sizes) items of each leave their task.
     """
     scenarios = own.groupBy("query_id").agg(F.count("*").alias("n_own"))
     most = max(sizes)
-    drawn = universe.select("item_id").crossJoin(F.broadcast(scenarios)).join(own.select("query_id", "item_id"), ["query_id", "item_id"], "left_anti")
     order = Window.partitionBy("query_id").orderBy("draw", "item_id")
-    drawn = drawn.withColumn("draw", seeded_order(seed, F.col("query_id"), F.col("item_id"))).withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= most)
+    drawn = pairs(scenarios, universe.select("item_id")).withColumn("draw", seeded_order(seed, F.col("query_id"), F.col("item_id")))
+    # Among the first max(sizes) items, own ones too, are the max(sizes) - n_own distractors that a pool can take.
+    drawn = drawn.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= most)
+    drawn = drawn.join(own.select("query_id", "item_id"), ["query_id", "item_id"], "left_anti").withColumn("rn", F.row_number().over(order))
     targets = F.explode(F.array(*(F.lit(s) for s in sorted(set(sizes))))).alias("pool_size")
     distractors = drawn.where(F.col("rn") + F.col("n_own") <= most).select("query_id", "item_id", (F.col("n_own") + F.col("rn")).alias("ordinal"), targets).where("ordinal <= pool_size")
     mine = own.withColumn("ordinal", F.row_number().over(Window.partitionBy("query_id").orderBy("position", "item_id")))

@@ -203,6 +203,19 @@ def pool_own_gold_only(spark, sf_dir):
     return pools.pools(own, universe, _SET_SIZES, 7)
 
 
+@query(
+    f"""WITH {A.ORDER_ITEMS_SQL}, n AS (SELECT query_id, count(*) AS n_own FROM order_items GROUP BY 1),
+drawn AS (SELECT query_id, n_own, u.p_partkey AS item_id, row_number() OVER (PARTITION BY query_id ORDER BY md5('7:' || query_id || ':' || u.p_partkey), u.p_partkey) AS rn FROM part u CROSS JOIN n WHERE NOT EXISTS (SELECT 1 FROM order_items s WHERE s.query_id = n.query_id AND s.item_id = u.p_partkey)),
+z AS (SELECT unnest([5, 20]) AS pool_size)
+SELECT query_id, pool_size, item_id, n_own + rn AS ordinal FROM drawn CROSS JOIN z WHERE n_own + rn <= pool_size
+UNION ALL SELECT query_id, pool_size, item_id, row_number() OVER (PARTITION BY query_id, pool_size ORDER BY position, item_id) FROM order_items CROSS JOIN z"""
+)
+def pool_own_gold_every_order(spark, sf_dir):
+    """Pools of all orders over all parts: every order meets every part, so quadratic."""
+    universe = A.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("item_id"))
+    return pools.pools(A.order_items(spark, sf_dir), universe, _SET_SIZES, 7)
+
+
 _SET_RANKING = "set_ranking AS (SELECT query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM (SELECT l_orderkey AS query_id, l_partkey AS item_id, round(max(l_extendedprice), 9) AS score FROM lineitem WHERE l_quantity <= 30 GROUP BY ALL))"
 
 

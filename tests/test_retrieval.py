@@ -99,6 +99,34 @@ def test_pools_nest_keep_own_and_run_out(spark):
     assert sorted(got) == sorted(pools.pools(own.repartition(3), universe.repartition(7), [1, 5, 100], 42).collect())
 
 
+def test_pools_by_brute_force_whatever_the_blocks(spark):
+    import hashlib
+
+    own = spark.createDataFrame([(q, (q * 7 + k) % 40 + 1, k) for q in range(25) for k in range(q % 4 + 1)], "query_id long, item_id long, position int")
+    universe = spark.range(1, 41).withColumnRenamed("id", "item_id")
+    mine = {q: [r.item_id for r in own.where(f"query_id = {q}").orderBy("position").collect()] for q in range(25)}
+    wanted = set()
+    for q, first in mine.items():
+        rest = sorted((i for i in range(1, 41) if i not in first), key=lambda i: (hashlib.md5(f"7:{q}:{i}".encode()).hexdigest(), i))
+        wanted |= {(q, size, i, n) for size in (3, 9) for n, i in enumerate(first + rest, 1) if n <= max(size, len(first))}
+    found = pools.pools(own, universe, (3, 9), 7)
+    assert {tuple(r) for r in found.collect()} == wanted and found.count() == len(wanted)
+    assert {tuple(r) for r in pools.pairs(own.select("query_id").distinct(), universe, rows=4).collect()} == {(q, i) for q in range(25) for i in range(1, 41)}
+
+
+def test_every_order_has_pools_that_any_part_can_enter(spark):
+    from oracle import SMALL
+
+    from rankyard.plans import retrieval
+
+    found = retrieval.pool_own_gold_every_order(spark, SMALL).cache()
+    orders = spark.read.parquet(f"{SMALL}/lineitem.parquet").select("l_orderkey").distinct().count()
+    assert found.select("query_id").distinct().count() == orders
+    drawn = found.groupBy("query_id", "pool_size").agg(F.count("*").alias("n"), F.max("pool_size").alias("s"))
+    assert drawn.where("n < s").count() == 0
+    assert found.join(spark.read.parquet(f"{SMALL}/part.parquet").where("p_size > 10"), F.col("item_id") == F.col("p_partkey")).count() > 0
+
+
 def test_pool_without_gold_fails(spark):
     rows = spark.createDataFrame([([1, 2], [1])], "gold array<int>, pool_ids array<int>")
     with pytest.raises(Exception, match="pool without gold ids: 2"):
