@@ -160,3 +160,23 @@ def test_fusion(spark):
     assert got[0].score == pytest.approx(1 / 62 + 1 / 61, abs=1e-8)
     with pytest.raises(ValueError):
         ranking.retriever("magic")
+
+
+def test_gold_holds_the_whole_item_and_short_items_count(spark, tmp_path):
+    from rankyard.plans import adapters
+
+    long = "One two three four five six seven eight nine ten."
+    asked = [(1, long), (2, "Short, item!"), (3, "..."), (4, None)]
+    texts = [(1, f"x {long} y"), (2, "one two three four five six seven eight nine"), (3, "two three four five six seven eight nine ten"), (4, "a SHORT item b"), (5, "shorts item short items"), (6, ""), (7, None), (8, f"{long[:-4]} no {long} Short item {long}")]
+    spark.createDataFrame(asked, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(k, t, "en", "s") for k, t in texts], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = [tuple(r) for r in adapters.whole_gold(spark, str(tmp_path)).collect()]
+    assert sorted(found) == [(1, 1), (1, 8), (2, 4), (2, 8)]
+
+
+def test_queries_of_whole_gold_state_it(spark):
+    from rankyard.plans import adapters, catalogue
+
+    whole = [n for n in catalogue.queries() if n.endswith("_whole_gold")]
+    assert len(whole) == 9
+    assert all(adapters.WHOLE_GOLD_SQL in catalogue.oracle_sql()[n] and adapters.GOLD_SQL not in catalogue.oracle_sql()[n] for n in whole)
