@@ -147,6 +147,26 @@ def until_spent(cells: DataFrame, cap: float, by: str, order: str, cost: str = "
     return cells.withColumn("spent_before", F.coalesce(F.round(before, 6), F.lit(0.0))).where(F.col("spent_before") < cap)
 
 
+def until_all_spent(cells: DataFrame, cap: float, order: str, cost: str = "dollar_cost", ranges: int | None = None) -> DataFrame:
+    """The cells that are run before the running cost of all cells reaches the one cap.
+
+    The cells are cut into ranges of the numeric order at approximate quantiles, which only decide how evenly tasks are
+    filled: a cell's running cost is the sum of the ranges before its own and of the cells before it in its range. Cells
+    of equal order are in one range. Costs are summed as decimals, so that no order of summing shows.
+    """
+    n = ranges or int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = sorted(set(cells.approxQuantile(order, [k / n for k in range(1, n)], 0.1 / n))) if n > 1 else []
+    place = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col(order))) if bounds else F.lit(0)
+    rows = cells.withColumns({"_range": place, "_cost": F.coalesce(F.col(cost), F.lit(0)).cast("decimal(28,9)")})
+    # One row a range, so few in one task.
+    sums = rows.groupBy("_range").agg(F.sum("_cost").alias("_sum"))
+    earlier = sums.select("_range", F.sum("_sum").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)).alias("_earlier"))
+    within = F.sum("_cost").over(Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    spent = F.round((F.coalesce("_earlier", F.lit(0)) + F.coalesce("_within", F.lit(0))).cast("double"), 6)
+    out = rows.withColumn("_within", within).join(F.broadcast(earlier), "_range").withColumn("spent_before", spent)
+    return out.where(F.col("spent_before") < cap).drop("_range", "_cost", "_earlier", "_within")
+
+
 def dollar_cost(usage: DataFrame, prices: DataFrame) -> DataFrame:
     """usage with its cost: tokens of four kinds at the model's prices for a million, 0 for unknown models."""
     kinds = ("input", "output", "cached_input", "cache_creation")

@@ -121,6 +121,15 @@ def spend_cap_replay(spark, sf_dir):
     return cells.until_spent(A.cells(spark, sf_dir), 0.2, "scenario_id", "event_id").select("event_id", "scenario_id", "spent_before")
 
 
+_ALL_SPENT = "s AS (SELECT *, round(coalesce(sum(dollar_cost) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 6) AS spent_before FROM cells)"
+
+
+@query(f"{_CELLS}, {_ALL_SPENT} SELECT event_id, scenario_id, spent_before FROM s WHERE spent_before < 20")
+def spend_cap_campaign(spark, sf_dir):
+    """One cap over all cells of the campaign."""
+    return cells.until_all_spent(A.cells(spark, sf_dir), 20.0, "event_id").select("event_id", "scenario_id", "spent_before")
+
+
 _PRICES = [("m0", 3.0, 15.0, 0.3, 3.75), ("m1", 0.25, 1.25, 0.03, 0.3)]
 
 

@@ -130,3 +130,19 @@ def test_report_markdown(spark):
     averages = cells.macro_average(c)
     text = sinks.report_markdown(averages, cells.savings(averages), cells.failures(c))
     assert text.startswith("# Report") and "agnostic" in text and "## Failures" in text
+
+
+def test_one_cap_holds_for_the_whole_campaign(spark):
+    costs = [((k * 37) % 11) / 10 for k in range(200)]
+    rows = [(k, f"s{k % 5}", c) for k, c in enumerate(costs)] + [(200, "s0", None), (201, "s1", 0.1)]
+    some = spark.createDataFrame(rows, "event_id long, scenario_id string, dollar_cost double").repartition(7)
+    for cap in (0.0, 0.2, 20.0, 55.5, 1e6):
+        wanted, spent = {}, 0.0
+        for k, _, c in rows:
+            if round(spent, 6) < cap:
+                wanted[k] = pytest.approx(spent, abs=1e-6)
+            spent += c or 0.0
+        for ranges in (None, 1, 13):
+            found = cells.until_all_spent(some, cap, "event_id", ranges=ranges).collect()
+            assert {r.event_id: r.spent_before for r in found} == wanted and len(found) == len(wanted)
+    assert cells.until_all_spent(some.limit(0), 1.0, "event_id").count() == 0
