@@ -6,9 +6,11 @@ composite density (Sun, Song and Liao, 2011), which lowers the density where lin
     CTD = C / T * log(C / LC * T / LT, base ln(C / (C - LC) * LC + LCb / Cb * C + e))
 
 with C characters, T tags, LC characters and LT tags in links, the body's values marked b. The node whose children have
-the largest sum of composite densities holds the article; the least density on its path to the body is the threshold
-for the nodes of that subtree that carry content. Elements that are never article text, by name, role or the words of
-their class or id, are left out before.
+the largest sum of composite densities is dense text; the article is the <article> or <main> around it or, without one,
+the outermost ancestor of it that has another child with half as much plain text for each tag, so that all sections of an
+article count. The least density on the path to the body is the threshold for the nodes of that subtree that carry content.
+Elements that are never article text, by name or role, are left out before. So are those that the words of their class or
+id name, unless such a wrapper holds the page's only <article> or <main>, or ten times the plain text that is left.
 
 A text is the article's blocks in page order, one line each: character references decoded, white space inside a block
 made one space, no empty blocks. Elements of phrasing content and line breaks are inside a block; all others begin one.
@@ -20,6 +22,7 @@ results; columns other than those that are named are not read.
 
 from __future__ import annotations
 
+import heapq
 import html as entities
 import math
 import re
@@ -53,30 +56,31 @@ _ENDS_P = frozenset("address article aside blockquote center details dialog dir
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "dropped", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "children", "dropped", "named", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool):
-        self.tag, self.parent, self.dropped = tag, parent, dropped
+    def __init__(self, tag: str, parent: Node | None, dropped: bool, named: bool = False):
+        self.tag, self.parent, self.dropped, self.named = tag, parent, dropped, named
         self.children: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def is_other(tag: str, attributes: str) -> bool:
-    """Whether an element is no article text by its name or attributes."""
+def is_other(tag: str, attributes: str) -> tuple[bool, bool]:
+    """Whether an element is no article text by its name, role or style; whether the words of its class or id say so."""
     if tag in OTHER:
-        return True
+        return True, False
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return False, False
+    named = False
     for name, *values in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values)
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value.lower() in ROLES:
-            return True
+            return True, False
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
+            return True, False
         if name in ("class", "id") and any(w.lower() in PARTS for w in _NAMES.findall(value)):
-            return True
-    return False
+            named = True
+    return False, named
 
 
 def parse(page: str) -> Node:
@@ -125,7 +129,8 @@ def parse(page: str) -> Node:
                     if tag != "tr" or open_.tag == "tr":
                         break
                 open_ = open_.parent
-        child = Node(tag, node, node.dropped or is_other(tag, attributes))
+        other, named = is_other(tag, attributes)
+        child = Node(tag, node, node.dropped or other, named)
         node.children.append(child)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, place)
@@ -145,6 +150,48 @@ def _bottom_up(root: Node) -> list[Node]:
     return out[::-1]
 
 
+def settle(root: Node) -> None:
+    """Drops the elements that their class or id names, but not wrappers that hold the article."""
+    order = _bottom_up(root)
+    if not any(n.named for n in order):
+        return
+    place = {id(n): -k for k, n in enumerate(order)}  # page order
+    # Plain text and articles below each node: with named elements, and without.
+    held: dict[int, tuple[int, int, int, int]] = {}
+    for n in order:
+        text = free = 0
+        articles = free_articles = n.tag in ("article", "main")
+        for c in n.children:
+            if type(c) is str:
+                own = 0 if n.tag == "a" else len("".join(c.split()))
+                text, free = text + own, free + own
+            elif not c.dropped and n.tag != "a":
+                below = held[id(c)]
+                text, articles = text + below[0], articles + below[1]
+                if not c.named:
+                    free, free_articles = free + below[2], free_articles + below[3]
+        held[id(n)] = text, articles, free, free_articles
+    _, _, free, articles = held[id(root)]
+    found: list[tuple[int, int, Node]] = []
+    rest = [root]
+    while rest or found:
+        if rest:
+            for c in rest.pop().children:
+                if type(c) is Node and not c.dropped:
+                    if c.named:
+                        heapq.heappush(found, (-held[id(c)][0], place[id(c)], c))
+                    else:
+                        rest.append(c)
+            continue
+        n = heapq.heappop(found)[2]  # the most text first
+        below = held[id(n)]
+        if below[1] and not articles or below[0] > 10 * free:
+            free, articles = free + below[2], articles + below[3]
+            rest.append(n)
+        else:
+            n.dropped = True
+
+
 def measure(root: Node) -> list[Node]:
     """Counts and densities of all nodes that count."""
     nodes = _bottom_up(root)
@@ -171,6 +218,27 @@ def measure(root: Node) -> list[Node]:
     return nodes
 
 
+def _plain(node: Node) -> float:
+    """Characters outside links for each tag."""
+    return (node.chars - node.link_chars) / max(1, node.tags)
+
+
+def _article(best: Node) -> Node:
+    """The subtree that holds the article of which best is dense text."""
+    up = best
+    while up is not None:
+        if up.tag in ("article", "main"):
+            return up
+        up = up.parent
+    least, found, up = _plain(best) / 2, best, best
+    while up.parent is not None and up.tag != "body":
+        beside = (c for c in up.parent.children if type(c) is Node and c is not up and not c.dropped and c.tag not in PHRASING)
+        if any(c.chars and c.link_chars * 2 <= c.chars and _plain(c) >= least for c in beside):
+            found = up.parent
+        up = up.parent
+    return found
+
+
 def _content(node: Node, threshold: float) -> bool:
     """Whether a child of the article carries content: dense enough, or text of its own that is not mostly links."""
     return node.density >= threshold or node.link_chars * 2 <= node.chars
@@ -210,20 +278,16 @@ def main_text(page: str | None) -> str:
     """The article's text."""
     if not page:
         return ""
-    nodes = measure(parse(page))
+    root = parse(page)
+    settle(root)
+    nodes = measure(root)
     best = None
     for n in reversed(nodes):  # parents first: of equal sums the outermost
         if n.chars and n.tag not in PHRASING and (best is None or n.total > best.total):
             best = n
     if best is None:
         return ""
-    # Text beside the densest paragraphs belongs to the article they are part of.
-    up = best
-    while up.parent is not None:
-        up = up.parent
-        if up.tag in ("article", "main"):
-            best = up
-            break
+    best = _article(best)
     threshold, up = best.density, best
     while up is not None and up.tag not in ("body", "#root"):
         threshold = min(threshold, up.density)

@@ -192,6 +192,29 @@ def test_broken_pages_do_not_crash(page):
     assert html_text.main_text(page) == html_text.main_text(page)
 
 
+def _sections(sizes, long="plain words of an article go on here "):
+    texts = [(f"Heading number {k}", [f"{k}.{j} " + long * 12 for j in range(n)]) for k, n in enumerate(sizes)]
+    page = "".join(f"<div><h2>{h}</h2>" + "".join(f"<p>{t}</p>" for t in ts) + "</div>" for h, ts in texts)
+    return page, [x.strip() for h, ts in texts for x in (h, *ts)]
+
+
+@pytest.mark.parametrize("sizes", [(5, 5, 5), (2, 9, 4), (1, 1, 1, 8)])
+@pytest.mark.parametrize("outer", ["<body><div class=post>{}</div></body>", "<body>{}</body>", "<body><nav>Menu</nav><div class=post><div>{}</div></div><div><a href=x>some link elsewhere</a></div></body>"])
+def test_all_sections_without_the_element(sizes, outer):
+    page, wanted = _sections(sizes)
+    assert html_text.main_text(outer.format(page)).split("\n") == wanted
+
+
+def test_wrappers_that_hold_the_article_stay():
+    page, wanted = _sections((3, 3))
+    for inside in (page, f"<article>{page}</article>"):
+        for name in ("has-sidebar", "form-page", "layout header-fixed"):
+            side = '<div class="sidebar"><p>Read these other very interesting things that we wrote.</p></div>'
+            assert html_text.main_text(f'<body><div class="{name}"><div id="page-sidebar-left">{inside}</div>{side}</div><div>Imprint</div></body>').split("\n") == wanted
+    comments = "".join(f"<article class=c><p>Comment {k} disagrees with all of this at quite some length.</p></article>" for k in range(9))
+    assert html_text.main_text(f'<body><article>{page}</article><div id="comments">{comments}</div></body>').split("\n") == wanted
+
+
 def test_page_rows(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (2, None, None, "x"), (None, "u", "", "x"), (4, "u", "plain words", "x"), (5, "u", "<p>" * 3000 + "deep" + "<div>" * 3000, "x")], "page_id long, url string, html string, text string")
     got = {r.page_id: r for r in html_text.extract(pages).collect()}
