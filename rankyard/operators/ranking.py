@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankyard.functions.labels import tokens
+from rankyard.operators.pools import pairs
 
 K1, B, RRF = 1.2, 0.75, 60
 
@@ -91,15 +92,15 @@ def cosine(x: Column, y: Column) -> Column:
     return dot(x, y) / F.sqrt(dot(x, x) * dot(y, y))
 
 
-def dense(queries: DataFrame, items: DataFrame, k: int, query_cols=("id", "vector"), item_cols=("id", "vector"), blocks: int = 8) -> DataFrame:
+def dense(queries: DataFrame, items: DataFrame, k: int, query_cols=("id", "vector"), item_cols=("id", "vector"), rows: int = 512) -> DataFrame:
     """The k items of largest cosine for every query, the query itself left out: query_id, item_id, score, rank.
 
-    A stated set of queries against all items, in blocks of queries: every item meets every block once, and each task
-    keeps the k best of its rows before they are shuffled.
+    A stated set of queries against all items, in pairs of blocks of about so many rows of each: the work is dealt out by
+    pair, and each task keeps the k best of its rows before they are shuffled.
     """
-    asked = queries.select(F.col(query_cols[0]).alias("query_id"), F.col(query_cols[1]).alias("q"), F.pmod(F.xxhash64(query_cols[0]), F.lit(blocks)).alias("block"))
-    known = items.select(F.col(item_cols[0]).alias("item_id"), F.col(item_cols[1]).alias("x"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("block"))
-    scored = known.join(asked, "block").where("item_id <> query_id").select("query_id", "item_id", cosine(F.col("q"), F.col("x")).alias("score"))
+    asked = queries.select(F.col(query_cols[0]).alias("query_id"), F.col(query_cols[1]).alias("q"))
+    known = items.select(F.col(item_cols[0]).alias("item_id"), F.col(item_cols[1]).alias("x"))
+    scored = pairs(asked, known, rows).where("item_id <> query_id").select("query_id", "item_id", cosine(F.col("q"), F.col("x")).alias("score"))
     return top(scored, k)
 
 

@@ -180,3 +180,20 @@ def test_queries_of_whole_gold_state_it(spark):
     whole = [n for n in catalogue.queries() if n.endswith("_whole_gold")]
     assert len(whole) == 9
     assert all(adapters.WHOLE_GOLD_SQL in catalogue.oracle_sql()[n] and adapters.GOLD_SQL not in catalogue.oracle_sql()[n] for n in whole)
+
+
+def test_cosines_are_dealt_out_by_block_pairs(spark):
+    import numpy as np
+
+    vectors = np.random.default_rng(3).normal(size=(60, 5))
+    items = spark.createDataFrame([(k, [float(x) for x in v]) for k, v in enumerate(vectors)], "id long, vector array<double>")
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    scores = unit @ unit.T
+    wanted = {(q, int(i), n + 1) for q in range(0, 60, 4) for n, i in enumerate([i for i in np.argsort(-scores[q]) if i != q][:6])}
+    asked = items.where("id % 4 = 0")
+    for rows in (4, 512):
+        found = ranking.dense(asked, items, 6, rows=rows).collect()
+        assert {(r.query_id, r.item_id, r.rank) for r in found} == wanted and len(found) == len(wanted)
+    # 15 queries and 60 items in blocks of 4 are 60 pairs of blocks: every task has some.
+    used = pools.pairs(asked.select("id"), items.select(F.col("id").alias("item_id")), rows=4).select(F.spark_partition_id().alias("p")).distinct()
+    assert used.count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
