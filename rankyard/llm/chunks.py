@@ -11,13 +11,8 @@ import json
 import os
 import re
 
-from .common import Memo
-
 _WIDE = re.compile(r"\s\s")
 _SAFE = re.compile(r"(?<=\S)(?= \S)")
-_MARKS = frozenset(".,;:!?")
-#: Latin letters that lower-casing and NFC leave one letter.
-_LETTERS = frozenset(c for c in map(chr, range(0x180)) if c.isalpha() and len(c.lower()) == 1)
 
 
 def spaced_pieces(text: str) -> list[str]:
@@ -37,25 +32,6 @@ def dropped_pieces(text: str) -> list[str]:
     return text.replace("\n", " ").split(" ")
 
 
-class PieceMemo(Memo):
-    """A memo of pieces that puts values of parts together by +.
-
-    In both layouts a mark after a letter is a border between tokens, so "word," is "word" and ",". The layout that drops
-    white space lower-cases, so ASCII pieces are looked up in lower case there.
-    """
-
-    def __init__(self, make, lower: bool = False):
-        super().__init__(self.parts)
-        self.whole, self.lower = make, lower
-
-    def parts(self, piece: str):
-        if self.lower and piece.isascii() and not piece.islower() and (low := piece.lower()) != piece:
-            return self[low]
-        if piece[-1:] in _MARKS and piece[-2:-1] in _LETTERS:
-            return self[piece[:-1]] + self[piece[-1]]
-        return self.whole(piece)
-
-
 def layout(path: str):
     """The function that cuts texts for the tokenizer in the file, or None if they must be encoded whole."""
     if not path.endswith(".json"):

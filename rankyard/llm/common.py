@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,14 +31,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ranges(rows: DataFrame, size, most: int = 128 << 20) -> int:
+    """Partitions for a layout of rows in ranges: enough that none holds much more than that many bytes, by the column
+    of each row's size, and at least the session's number of shuffle partitions."""
+    total = rows.agg(F.coalesce(F.sum(size + 16), F.lit(0))).first()[0]
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // most)
+
+
 class Memo(dict):
     """make(key), remembered for at most 2 * limit keys in two generations.
 
     A full generation becomes the old one and the old one is dropped, so frequent keys stay. Keys over longest
-    characters are never kept. Only speed depends on it.
+    characters are never kept, so a memo takes some 30 MB at most. Only speed depends on it.
     """
 
-    def __init__(self, make, limit: int = 400_000, longest: int = 64):
+    def __init__(self, make, limit: int = 80_000, longest: int = 48):
         super().__init__()
         self.make, self.limit, self.longest, self.old = make, limit, longest, {}
 
@@ -45,6 +53,10 @@ class Memo(dict):
         found = self.old.get(key)
         if found is None:
             found = self.make(key)
+        return self.keep(key, found)
+
+    def keep(self, key, found):
+        """The value, remembered as the key's."""
         if len(key) <= self.longest:
             if len(self) >= self.limit:
                 self.old = dict(self)

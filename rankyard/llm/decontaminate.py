@@ -1,37 +1,44 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: rare word-pair seeds, then Smith-Waterman alignment.
 
-Words are the pieces between white space, lower-cased, without characters that are neither letters nor digits. The
-n-grams of the test items are counted in all documents; an item seeds with its rarer ones, those in at most RARE times
-as many documents as its median n-gram, so an item copied into very many documents keeps seeds too. Where a seed occurs
-in a document, the words around it that can belong to the item are aligned with it: a match counts 2, a mismatch or a
-gap -1, and the best local alignment divided by that of the item with itself is the similarity. A passage at the
-threshold or above is contamination; at 0.5, an item with a quarter of its words replaced is found (0.625).
+Words are the pieces between white space, lower-cased, without characters that are neither letters nor digits. An item is
+aligned with the words of a document that can belong to it: a match counts 2, a mismatch or a gap -1, and the best local
+alignment divided by that of the item with itself is the similarity. A passage at the threshold t or above is
+contamination; at 0.5, an item with a quarter of its words replaced is found (0.625).
 
-Documents never move: both passes are scans, so neither a frequent n-gram nor a passage in a third of all rows makes a
+Seeds are pairs of words at a distance of one or two, in the item and in the document. No passage at the threshold is
+without them: with m matches and e errors, 2 m - e >= 2 t n for an item of n words, so at least t n - 1 times two
+neighbouring matches have one error or none between them, each time from another word of the item. The pairs are counted
+in all documents; an item seeds with its rarer ones, all but those of half of t n - 1 words, and a passage counts where
+as many seeds as are left lie together. Items of more than 1 / t words are covered by this; shorter ones are not looked for.
+
+Documents never move: both passes are scans, so neither a frequent pair nor a passage in a third of all rows makes a
 large task. The benchmark is taken in blocks of at most BLOCK words, each broadcast by itself; a benchmark of any size
-is a loop over blocks.
+is a loop over blocks, and each block's pairs are counted in all documents that were given.
 
-Defined results: null and empty texts, of documents or items, match nothing; so does an item of fewer words than a
-seed. A row is reported for each document row and item; items with equal ids count as one, with the best similarity.
-Empty tables give no rows. Columns other than those that are named are not read.
+Defined results: null and empty texts, of documents or items, match nothing; so does an item of at most 1 / t words. A
+row is reported for each document row and item; items with equal ids count as one, with the best similarity; item ids
+are integers. Empty tables give no rows. Columns other than those that are named are not read.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Memo, written
-from .language_id import parts
+from .words import slices
 
-SEED, RARE = 3, 4
+#: Distances of two words that make a seed.
+REACH = (1, 2)
 BLOCK = 1_000_000
-_BITS = 20
+_HALF = 32
 _OTHER, _NONE = -1, -2
 
 
@@ -74,38 +81,40 @@ class Items:
         self.ids, self.words = [], []
         for key, text in rows:
             found = [w for w in map(word, (text or "").split()) if w]
-            if len(found) >= SEED:
+            if len(found) * threshold > 1:
                 self.ids.append(key)
                 self.words.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in found], np.int64))
-        self.sorted = [np.sort(x) for x in self.words]
-        grams = [self.keys(x) for x in self.words]
-        self.at = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(g)) for g in grams)])
-        self.item = np.repeat(np.arange(len(grams)), [len(g) for g in grams]) if grams else np.zeros(0, np.int64)
-        self.key = np.concatenate([np.zeros(0, np.int64), *grams])
-        self.order()
-
-    def order(self) -> None:
-        order = np.argsort(self.key, kind="stable")
-        self.key, self.item, self.at = self.key[order], self.item[order], self.at[order]
+        self.size = np.array([len(x) for x in self.words], np.int64)
+        #: Words that a passage at the threshold spans at most, and seeds that it has at least.
+        self.span = np.ceil(self.size * (3 - 2 * threshold)).astype(np.int64)
+        self.needed = np.ceil(self.size * threshold).astype(np.int64) - 1
+        item, at, key = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for k, x in enumerate(self.words):
+            for d in REACH:
+                at.append(np.arange(max(0, len(x) - d)))
+                item.append(np.full(len(at[-1]), k))
+                key.append(x[:-d] << _HALF | x[d:])
+        self._order(*map(np.concatenate, (key, item, at)))
+
+    def _order(self, key: np.ndarray, item: np.ndarray, at: np.ndarray) -> None:
+        order = np.argsort(key, kind="stable")
+        self.key, self.item, self.at = key[order], item[order], at[order]
         self.seeds = np.unique(self.key)
 
-    @staticmethod
-    def keys(x: np.ndarray) -> np.ndarray:
-        n = len(x) - SEED + 1
-        out = np.zeros(n, np.int64)
-        for k in range(SEED):
-            out = out << _BITS | x[k : k + n]
-        return out
-
     def keep_rare(self, documents: dict[int, int]) -> None:
-        """Leaves the seeds that are rare for their item."""
+        """Leaves the seeds of the rarer words of each item."""
         seen = np.array([documents.get(k, 0) for k in self.key.tolist()], np.int64)
-        keep = np.ones(len(self.key), bool)
-        for k in range(len(self.ids)):
-            own = self.item == k
-            keep[own] = seen[own] <= RARE * max(1, np.median(seen[own]))
-        self.key, self.item, self.at = self.key[keep], self.item[keep], self.at[keep]
-        self.order()
+        begin = np.cumsum(self.size) - self.size
+        place = begin[self.item] + self.at
+        often = np.bincount(place, seen, self.size.sum()) if len(place) else np.zeros(0)
+        gone = np.zeros(len(often), bool)
+        for k, (b, n) in enumerate(zip(begin.tolist(), self.size.tolist())):
+            some = int(self.needed[k]) // 2
+            if some:
+                gone[b + np.argsort(-often[b : b + n], kind="stable")[:some]] = True
+                self.needed[k] -= some
+        keep = ~gone[place]
+        self._order(self.key[keep], self.item[keep], self.at[keep])
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "known"}
@@ -115,66 +124,79 @@ class Items:
             self.known = Memo(lambda piece: self.vocabulary.get(w, _OTHER) if (w := word(piece)) else _NONE)
         return self.known
 
-    def numbered(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Word numbers of texts, where each begins, and the places where a seed does. A gap of other words is between texts."""
-        known = self._known().__getitem__
-        flat: list[int] = []
-        begins = []
-        for x in texts:
-            begins.append(len(flat))
-            flat += map(known, (x or "").split())
-            flat += [_OTHER] * SEED
-        words = np.array(flat, np.int64)
-        keep = words != _NONE
-        begins = np.concatenate([[0], np.cumsum(keep)])[np.array(begins, np.int64)] if texts else np.zeros(0, np.int64)
-        words = words[keep]
-        n = max(0, len(words) - SEED + 1)
-        whole = np.ones(n, bool)
-        for k in range(SEED):
-            whole &= words[k : k + n] >= 0
-        places = np.nonzero(whole)[0]
-        key = np.zeros(len(places), np.int64)
-        for k in range(SEED):
-            key = key << _BITS | words[places + k]
-        if len(self.seeds):
-            hit = self.seeds[np.minimum(np.searchsorted(self.seeds, key), len(self.seeds) - 1)] == key
-            places, key = places[hit], key[hit]
-        else:
-            places, key = places[:0], key[:0]
-        return words, begins, np.stack([places, key])
-
-    def counted(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def known_words(self, pieces: pa.Array) -> np.ndarray:
+        """The numbers of pieces as words. Those of ASCII are looked up together."""
+        plain = pc.replace_substring_regex(pc.ascii_lower(pieces), "[^a-z0-9]+", "")
+        out = pc.index_in(plain, value_set=pa.array(list(self.vocabulary), pa.string())).fill_null(_OTHER).to_numpy(zero_copy_only=False).astype(np.int64)
+        out[pc.equal(plain, "").to_numpy(zero_copy_only=False)] = _NONE
+        other = np.nonzero(~pc.string_is_ascii(pieces).to_numpy(zero_copy_only=False))[0]
+        known = self._known()
+        out[other] = [known[x] for x in pieces.take(pa.array(other)).to_pylist()]
+        return out
+
+    def numbered(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Word numbers of texts, with a gap of other words behind each; where each text begins; the places where a seed
+        does, and which."""
+        lists = pc.utf8_split_whitespace(pc.fill_null(texts, ""))
+        coded = lists.flatten().dictionary_encode()
+        number = self.known_words(coded.dictionary)[coded.indices.to_numpy()]
+        keep = number != _NONE
+        text = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy())[keep]
+        gap = max(REACH)
+        size = np.bincount(text, minlength=len(texts)) + gap
+        words = np.full(size.sum(), _OTHER, np.int64)
+        words[np.arange(len(text)) + gap * text] = number[keep]
+        here = np.nonzero(words >= 0)[0]
+        places, seeds = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for d in REACH if len(self.seeds) else ():
+            some = here[words[here + d] >= 0]
+            key = words[some] << _HALF | words[some + d]
+            at = np.minimum(np.searchsorted(self.seeds, key), len(self.seeds) - 1)
+            hit = self.seeds[at] == key
+            places.append(some[hit])
+            seeds.append(at[hit])
+        return words, np.cumsum(size) - size, np.concatenate(places), np.concatenate(seeds)
+
+    def counted(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Seeds of texts, and in how many texts each is."""
-        _, begins, (places, key) = self.numbered(texts)
+        _, begins, places, seeds = self.numbered(texts)
         doc = np.searchsorted(begins, places, side="right") - 1
-        distinct = np.unique(np.stack([doc, key]), axis=1)
-        return np.unique(distinct[1], return_counts=True)
+        distinct = np.unique(doc * len(self.seeds) + seeds)
+        found, n = np.unique(distinct % max(1, len(self.seeds)), return_counts=True)
+        return self.seeds[found], n
 
-    def search(self, texts: list[str | None]) -> Iterator[tuple[int, int, float, int, int]]:
+    def search(self, texts: pa.Array) -> Iterator[tuple[int, int, float, int, int]]:
         """Text, item, similarity, first word and word after the last, of every passage at the threshold or above."""
-        words, begins, (places, key) = self.numbered(texts)
+        words, begins, places, seeds = self.numbered(texts)
+        key = self.seeds[seeds]
         low, high = np.searchsorted(self.key, key, side="left"), np.searchsorted(self.key, key, side="right")
         many = high - low
         row = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
         place = np.repeat(places, many)
-        doc, item = np.searchsorted(begins, place, side="right") - 1, self.item[row]
-        begin = place - self.at[row]  # of the item, were there no gaps
-        order = np.lexsort([begin, item, doc])
-        doc, item, begin = doc[order], item[order], begin[order]
-        length = np.array([len(x) for x in self.words], np.int64)[item] if len(item) else item
-        new = np.ones(len(doc), bool)
-        new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (begin[1:] - begin[:-1] > length[1:])
-        starts = np.nonzero(new)[0]
-        ends = np.append(starts[1:], len(doc)) - 1
-        limit = np.append(begins[1:], len(words)) - SEED
+        item, at = self.item[row], self.at[row]
+        doc = np.searchsorted(begins, place, side="right") - 1
+        # Places of an item in a text, apart from those of any other pair by more than a span.
+        pair = doc * len(self.ids) + item
+        order = np.lexsort([place, pair])
+        doc, item, place, at, pair = (x[order] for x in (doc, item, place, at, pair))
+        line = np.cumsum(np.append(0, np.diff(pair) != 0))[: len(pair)] * (len(words) + 2 * int(self.span.max(initial=0))) + place
+        together = np.searchsorted(line, line + self.span[item]) - np.arange(len(line))
+        marked = np.nonzero(together >= self.needed[item])[0]
+        if not len(marked):
+            return
+        new = np.append(True, np.diff(line[marked]) > self.span[item[marked[1:]]])
+        starts, ends = marked[new], marked[np.append(np.nonzero(new)[0][1:], len(marked)) - 1]
+        limit = np.append(begins[1:], len(words)) - max(REACH)
         for s, e in zip(starts.tolist(), ends.tolist()):
             d, k = int(doc[s]), int(item[s])
-            n = len(self.words[k])
-            left = max(int(begin[s]) - n, int(begins[d]))
-            right = min(int(begin[e]) + 2 * n, int(limit[d]))
-            for a in range(left, right, 8 * n):  # long runs in overlapping windows
-                passage = words[a : min(a + 11 * n, right)]
-                if 2 * self.shared(k, passage) < self.threshold * 2 * n:
+            n, span = len(self.words[k]), int(self.span[k])
+            last = int(np.searchsorted(line, line[e] + span))
+            if len(np.unique(at[s:last])) < self.needed[k]:
+                continue
+            left, right = max(int(place[s]) - span, int(begins[d])), min(int(place[e]) + span, int(limit[d]))
+            for a in range(left, right, 6 * span):  # long runs in windows that overlap by a span
+                passage = words[a : min(a + 7 * span, right)]
+                if self.shared(k, passage) < self.threshold * n:
                     continue
                 score, i, j = align(self.words[k], passage)
                 if score >= self.threshold * 2 * n:
@@ -205,21 +227,19 @@ def _rare(docs: DataFrame, items: Items, text_col: str) -> None:
 
     def run(batches):
         for b in batches:
-            texts = b.column(0).to_pylist()
-            for i, j in parts(texts):
-                key, n = shared.value.counted(texts[i:j])
+            for part in slices(b, 0):
+                key, n = shared.value.counted(part.column(0))
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["key", "n"])
 
     counts = docs.select(F.col(text_col)).mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
     items.keep_rare({r.key: r.n for r in counts.collect()})  # at most as many as the block has n-grams
 
 
-def _best(items: Items, texts: list[str | None]) -> dict[tuple[int, int], tuple]:
+def _best(items: Items, texts: pa.Array) -> dict[tuple[int, int], tuple]:
     best: dict[tuple[int, int], tuple] = {}
-    for i, j in parts(texts):
-        for d, k, similarity, a, b in items.search(texts[i:j]):
-            key = (d + i, items.ids[k])
-            best[key] = max(best.get(key, (0.0,)), (similarity, -a, -b))
+    for d, k, similarity, a, b in items.search(texts):
+        key = (d, items.ids[k])
+        best[key] = max(best.get(key, (0.0,)), (similarity, -a, -b))
     return best
 
 
@@ -235,8 +255,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5,
         shared = spark.sparkContext.broadcast(items)
 
         def run(batches, shared=shared):
-            for b in batches:
-                best = _best(shared.value, b.column(1).to_pylist())
+            for b in (part for b in batches for part in slices(b, 1)):
+                best = _best(shared.value, b.column(1))
                 keys = sorted(best, key=lambda k: (k[0], k[1] is not None, k[1] or 0))
                 columns = [b.column(0).take(pa.array([d for d, _ in keys], pa.int64())), pa.array([k for _, k in keys], pa.int64())]
                 columns += [pa.array([sign * best[k][c] for k in keys], t) for c, sign, t in ((0, 1, pa.float64()), (1, -1, pa.int64()), (2, -1, pa.int64()))]
@@ -252,15 +272,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5,
 
 def without_copies(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of docs that hold a copy of no test item, with all their columns."""
-    at = docs.columns.index(text_col)
+    at, kept = docs.columns.index(text_col), None
     for items in blocks(benchmark, item_col, item_text_col, threshold):
         _rare(docs, items, text_col)
         shared = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(batches, shared=shared):
-            for b in batches:
-                bad = {d for d, _ in _best(shared.value, b.column(at).to_pylist())}
+            for b in (part for b in batches for part in slices(b, at)):
+                bad = {d for d, _ in _best(shared.value, b.column(at))}
                 yield b.filter(pa.array([k not in bad for k in range(b.num_rows)], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+        # What earlier blocks left is written, so that no block's search runs again for a later one.
+        kept = (docs if kept is None else written(kept, "kept")).mapInArrow(run, docs.schema)
+    return docs if kept is None else kept

@@ -12,8 +12,9 @@ so every candidate pair ends in one component or is tested, and pairs are never
 joined on their key, so a bucket with a third of all rows is a skewed join, not a task.
 
 Defined results: a document without words (null or empty text) has an empty set and links with nothing; a row without
-id links with nothing, gets no component and is kept; rows with equal ids are one document; documents with fewer words
-than a shingle has the whole sequence as one shingle; columns other than the two that are named are not read.
+id links with nothing, gets no component and is kept; rows with equal ids but different texts are linked each by its own
+text, so they can have different components; a document with fewer words than a shingle has the whole sequence as one
+shingle; columns other than the two that are named are not read.
 """
 
 from __future__ import annotations
@@ -25,45 +26,43 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, written
+from .common import written
 from .components import stars
+from .words import GOLD, hashed, mixed, slices
 
 PERMUTATIONS, ROWS = 64, 5
 LEADERS = 2
 BLOCK, BLOCK_SHINGLES = 128, 200_000
-#: Ids of that many candidates are broadcast at most (8 bytes each, some 20 MB as a hash table); more are joined by a shuffle.
-BROADCAST_IDS = 400_000
+#: Candidates up to that many are broadcast (32 bytes each, some 20 MB as a hash table); more are joined by a shuffle.
+BROADCAST_IDS = 200_000
 
-# Odd 64-bit constants of published mixers (golden ratio, MurmurHash3's finaliser).
-_GOLD, _MIX1, _MIX2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53))
+SLICE = 500_000  # bytes of text that a worker holds signatures' arrays for
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    """64-bit values with every bit depending on every bit."""
-    x = (x ^ (x >> np.uint64(33))) * _MIX1
-    x = (x ^ (x >> np.uint64(33))) * _MIX2
-    return x ^ (x >> np.uint64(33))
-
-
-def _hash(word: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-
-
-_WORDS = Memo(_hash, 200_000)
-
-
-def shingles(text: str | None, size: int) -> np.ndarray:
-    """The distinct hashed shingles of a text, ascending. bytes.lower() and bytes.split() know ASCII alone."""
-    words = np.fromiter(map(_WORDS.__getitem__, (text or "").encode().lower().split()), np.uint64)
-    if not len(words):
-        return words
-    span = min(size, len(words))
-    n = len(words) - span + 1
+def shingles(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashed shingles of every row of a string column, ascending in each row, and how many each row has."""
+    words, n = hashed(texts)
+    begin = np.cumsum(n) - n
+    many = np.where(n >= size, n - size + 1, np.minimum(n, 1))
+    to = np.cumsum(many)
+    out = np.empty(int(to[-1]) if len(to) else 0, np.uint64)
     with np.errstate(over="ignore"):
-        found = np.full(n, span, np.uint64)
-        for k in range(span):
-            found = mixed(found * _GOLD + words[k : k + n])
-    return np.unique(found)
+        for span in range(1, size + 1):  # shorter rows are one shingle of all their words
+            rows = np.nonzero(n >= size if span == size else n == span)[0]
+            own = many[rows]
+            place = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
+            at = np.repeat(begin[rows], own) + place
+            found = np.full(len(at), span, np.uint64)
+            for k in range(span):
+                found = mixed(found * GOLD + words[at + k])
+            out[np.repeat(to[rows] - own, own) + place] = found
+    for x, y in zip((to - many).tolist(), to.tolist()):
+        out[x:y].sort()
+    keep = np.ones(len(out), bool)
+    keep[1:] = out[1:] != out[:-1]
+    keep[(to - many)[many > 0]] = True
+    upto = np.concatenate([[0], np.cumsum(keep)])
+    return out[keep], upto[to] - upto[to - many]
 
 
 def _permutations() -> tuple[np.ndarray, np.ndarray]:
@@ -72,54 +71,66 @@ def _permutations() -> tuple[np.ndarray, np.ndarray]:
     return a * np.uint64(2) + np.uint64(1), b
 
 
-def bands(found: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The band keys of a set that is not empty."""
-    least, most = np.full(PERMUTATIONS, ~np.uint64(0)), np.zeros(PERMUTATIONS, np.uint64)
+def bands(found: np.ndarray, sizes: np.ndarray, block: int = 8192) -> np.ndarray:
+    """The band keys of every row, of sets one after another; none of the sizes is 0."""
+    a, b = _permutations()
+    least, most = np.empty((PERMUTATIONS, len(sizes)), np.uint64), np.empty((PERMUTATIONS, len(sizes)), np.uint64)
+    to = np.cumsum(sizes)
     with np.errstate(over="ignore"):
-        for k in range(0, len(found), 1024):
-            values = found[k : k + 1024, None] * a + b
-            np.minimum(least, values.min(0), out=least)
-            np.maximum(most, values.max(0), out=most)
+        row = 0
+        while row < len(sizes):
+            start = int(to[row] - sizes[row])
+            end = max(row + 1, int(np.searchsorted(to, start + block, side="right")))
+            heads = (to - sizes)[row:end] - start
+            low = high = None
+            for k in range(start, int(to[end - 1]), block):  # more than once for a long row alone
+                values = found[None, k : min(k + block, int(to[end - 1]))] * a[:, None]
+                values += b[:, None]
+                x, y = np.minimum.reduceat(values, heads, axis=1), np.maximum.reduceat(values, heads, axis=1)
+                low, high = (x, y) if low is None else (np.minimum(low, x), np.maximum(high, y))
+            least[:, row:end], most[:, row:end] = low, high
+            row = end
         values = np.concatenate([least, most])
-        values = values[: len(values) // ROWS * ROWS].reshape(-1, ROWS)
-        keys = np.arange(1, len(values) + 1, dtype=np.uint64)
+        values = values[: len(values) // ROWS * ROWS].reshape(-1, ROWS, len(sizes))
+        keys = np.repeat(np.arange(1, len(values) + 1, dtype=np.uint64)[:, None], len(sizes), axis=1)
         for k in range(ROWS):
-            keys = mixed(keys * _GOLD + values[:, k])
-    return keys.view(np.int64)
+            keys = mixed(keys * GOLD + values[:, k])
+    return np.ascontiguousarray(keys.T).view(np.int64)
+
+
+def _listed(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values.view(np.int64)))
+
+
+def _digests(found: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    to = np.cumsum(sizes)
+    return pa.array([hashlib.sha256(found[x:y].tobytes()).digest()[:16] for x, y in zip((to - sizes).tolist(), to.tolist())], pa.binary())
 
 
 def signatures(rows: DataFrame, size: int) -> DataFrame:
     """id, n, digest, bands of rows (id, text)."""
 
     def run(batches):
-        a, b = _permutations()
         for batch in batches:
-            n, digests, keys = [], [], []
-            for x in batch.column(1):
-                found = shingles(x.as_py(), size)
-                n.append(len(found))
-                digests.append(hashlib.sha256(found.tobytes()).digest()[:16])
-                keys.append(bands(found, a, b) if len(found) else np.zeros(0, np.int64))
-            offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
-            listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), listed], ["id", "n", "digest", "bands"])
+            for part in slices(batch, 1, SLICE):
+                found, n = shingles(part.column(1), size)
+                keys = bands(found, n[n > 0]).reshape(-1)
+                listed = _listed(keys, np.where(n > 0, len(keys) // max(1, (n > 0).sum()), 0))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), _digests(found, n), listed], ["id", "n", "digest", "bands"])
 
     return rows.mapInArrow(run, "id bigint, n bigint, digest binary, bands array<bigint>")
 
 
 def full_sets(rows: DataFrame, size: int) -> DataFrame:
-    """id, n, shingles array<long> of rows (id, text)."""
+    """id, n, digest, shingles array<long> of rows (id, text)."""
 
     def run(batches):
         for batch in batches:
-            for k in range(0, len(batch), 256):
-                part = batch.slice(k, 256)
-                found = [shingles(x.as_py(), size).view(np.int64) for x in part.column(1)]
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-                listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *found])))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in found], pa.int64()), listed], ["id", "n", "shingles"])
+            for part in slices(batch, 1, SLICE):
+                found, n = shingles(part.column(1), size)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), _digests(found, n), _listed(found, n)], ["id", "n", "digest", "shingles"])
 
-    return rows.mapInArrow(run, "id bigint, n bigint, shingles array<bigint>")
+    return rows.mapInArrow(run, "id bigint, n bigint, digest binary, shingles array<bigint>")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -194,16 +205,21 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = written(signatures(rows, size), "signatures")
     linkable = signed.where((F.col("n") > 0) & F.col("id").isNotNull())
-    classes = linkable.groupBy("digest").agg(F.min("id").alias("rep"))
-    chosen = linkable.groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    # Equal sets are one node, whatever ids they have; its number is fixed once written.
+    chosen = linkable.groupBy("digest").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    chosen = written(chosen.withColumn("id", F.monotonically_increasing_id()), "classes")
+    classes = chosen.select("digest", "rep", "id")
     buckets = chosen.select("id", "n", F.explode("bands").alias("key"))
     # A leader is the first by id, or by a hash: the same for all buckets of a cluster, so pairs repeat and are few.
     lead = [F.min(F.struct(order, F.col("id"), F.col("n"))).alias(f"l{k}") for k, order in enumerate([F.col("id").alias("o"), *(F.xxhash64("id", F.lit(k)).alias("o") for k in range(1, LEADERS))])]
     shared = buckets.groupBy("key").agg(F.count("*").alias("size"), *lead).where("size > 1").drop("size")
     members = written(buckets.join(shared, "key"), "members")
-    ids = members.select("id").distinct()
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    sets = written(full_sets(rows.join(ids, "id", "left_semi").dropDuplicates(["id"]), size), "sets")
+    wanted = classes.join(members.select("id").distinct(), "id").select(F.col("id").alias("node"), F.col("rep").alias("id"), "digest")
+    wanted = written(wanted, "wanted")
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    ids = wanted.select("id").distinct()
+    sets = full_sets(rows.join(ids, "id", "left_semi"), size).join(wanted, ["id", "digest"])
+    sets = written(sets.select(F.col("node").alias("id"), "n", "shingles").dropDuplicates(["id"]), "sets")
     similar = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)  # noqa: E731  necessary for a link
     found = tested = None
     for k in range(LEADERS):
@@ -229,7 +245,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     right = whole.join(minor.select(F.col("first").alias("group")).distinct(), "group", "left_semi").select(columns).unionByName(among.select(columns))
     links = written(compared(left, right, sets, percent), "links")
     found = stars(links.unionByName(found.select(F.col("hi").alias("a"), F.col("lo").alias("b"))))
-    labels = classes.join(found.select(F.col("hi").alias("rep"), "lo"), "rep", "left").select("digest", F.coalesce("lo", "rep").alias("component"))
+    named = classes.join(found.select(F.col("hi").alias("id"), "lo"), "id", "left").select("digest", "rep", F.coalesce("lo", "id").alias("node"))
+    # The component's name is its smallest document; a component that very many classes share is a skewed join.
+    named = written(named, "named")
+    labels = named.join(named.groupBy("node").agg(F.min("rep").alias("component")), "node").select("digest", "component")
     labels = written(labels, "labels")  # a digest that very many rows share is a skewed join
     out = signed.select("id", "n", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("digest")).alias("digest")).join(labels, "digest", "left")
     component = F.coalesce("component", "id")

@@ -20,16 +20,20 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from contextlib import contextmanager
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .chunks import PieceMemo, dropped_pieces, layout, loaded
-from .common import scratch, written
+from .chunks import dropped_pieces, layout, loaded
+from .common import Memo, ranges, scratch, written
+from .words import slices
 
 MAGIC = b"TOKPACK1"
 HEADER = struct.Struct("<8s32sI")
@@ -45,20 +49,95 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
 
 
-_ENCODERS: dict = {}
+@contextmanager
+def published(folder: str, name: str):
+    """A stream of bytes that becomes the file name of folder when all is written.
 
-
-def encoder(tokenizer: str, end_id: int | None):
-    """encode(text) -> ids as packed integers, and the integer type."""
-    if (tokenizer, end_id) not in _ENCODERS:
-        model, pieces = loaded(tokenizer), layout(tokenizer)
-        kind = "<u2" if model.get_vocab_size() <= 1 << 16 else "<u4"
-        end = b"" if end_id is None else np.array([end_id], kind).tobytes()
-        pack = lambda text: np.array(model.encode(text, add_special_tokens=False).ids, kind).tobytes()
-        known = PieceMemo(pack, lower=pieces is dropped_pieces)
-        encode = (lambda text: b"".join(map(known.__getitem__, pieces(text))) + end) if pieces else (lambda text: pack(text) + end)
-        _ENCODERS[tokenizer, end_id] = encode, kind
-    return _ENCODERS[tokenizer, end_id]
+    It is written under a name of the task's attempt and then renamed. Attempts of a task write the same, so where
+    another one (run again, or speculative) was first, its file stays and this one goes.
+    """
+    store, top = filesystem(folder)
+    mine, theirs = f"{top}/{name}.{TaskContext.get().taskAttemptId()}", f"{top}/{name}"
+    with store.open_output_stream(mine) as f:
+        yield f
+    there = lambda: store.get_file_info(theirs).type.name != "NotFound"
+    if not there():
+        try:
+            store.move(mine, theirs)
+        except OSError:
+            if not there():
+                raise
+    if store.get_file_info(mine).type.name != "NotFound":
+        store.delete_file(mine)
+
+
+class Encoder:
+    """Token ids of whole string columns.
+
+    For the layout that drops white space a column's different pieces are encoded once, new ones many at a time, and the
+    ids of the texts are gathered from theirs. Pieces of any other layout are looked up text by text.
+    """
+
+    def __init__(self, tokenizer: str):
+        self.model, self.pieces = loaded(tokenizer), layout(tokenizer)
+        self.kind = np.dtype("<u2" if self.model.get_vocab_size() <= 1 << 16 else "<u4")
+        self.known = Memo(self._packed)
+
+    def _packed(self, text: str) -> bytes:
+        return np.array(self.model.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def _learn(self, pieces: list[str], most: int = 4096) -> None:
+        """Remembers pieces of ASCII, encoded many at a time: a token belongs to the piece in which it starts."""
+        for k in range(0, len(pieces), most):
+            some = pieces[k : k + most]
+            found = self.model.encode(" ".join(some), add_special_tokens=False)
+            begin = np.cumsum([0, *(len(x) + 1 for x in some)])
+            at = np.searchsorted([x for x, _ in found.offsets], begin)
+            ids = np.array(found.ids, self.kind)
+            for x, i, j in zip(some, at.tolist(), at[1:].tolist()):
+                self.known.keep(x, ids[i:j].tobytes())
+
+    def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all rows (null: none), one after another, and where each row begins and the last one ends."""
+        texts = pc.fill_null(texts, "")
+        if self.pieces is dropped_pieces:
+            lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+            coded = lists.flatten().dictionary_encode()
+            distinct, code = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+            bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
+            known = self.known
+            self._learn([x for x in distinct if x not in known and x not in known.old and x.isascii()])
+            packed = [known[x] for x in distinct]
+        else:
+            packed = [b"".join(map(self.known.__getitem__, self.pieces(x))) if self.pieces else self._packed(x) for x in texts.to_pylist()]
+            code, bounds = np.arange(len(texts)), np.arange(len(texts) + 1)
+        size = np.fromiter(map(len, packed), np.int64, len(packed)) // self.kind.itemsize
+        ids = np.frombuffer(b"".join(packed), self.kind)
+        own = size[code]
+        upto = np.concatenate([[0], np.cumsum(own)])
+        shift = (np.cumsum(size) - size)[code] - upto[:-1]
+        return ids[np.repeat(shift, own) + np.arange(upto[-1])], upto[bounds]
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(tokenizer: str) -> Encoder:
+    """The encoder of this worker process."""
+    if tokenizer not in _ENCODERS:
+        _ENCODERS[tokenizer] = Encoder(tokenizer)
+    return _ENCODERS[tokenizer]
+
+
+def documents(batch: pa.RecordBatch, column: int, tokenizer: str, end_id: int | None):
+    """The ids of every row of a batch as packed integers, with the end id."""
+    encode = encoder(tokenizer)
+    end = b"" if end_id is None else np.array([end_id], encode.kind).tobytes()
+    for part in slices(batch, column):
+        ids, at = encode.column(part.column(column))
+        raw, at = memoryview(ids).cast("B"), (at * encode.kind.itemsize).tolist()
+        for i, j in zip(at, at[1:]):
+            yield b"".join((raw[i:j], end))
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int | None, id_col: str, text_col: str, sample_docs: int = 1024, sample_chars: int = 2048, size: int = 32_768) -> bytes:
@@ -69,9 +148,8 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int | None, id_col
     some = docs.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(max(1, total // sample_docs))) == 0).select(F.substring(F.coalesce(F.col(text_col), F.lit("")), 1, sample_chars).alias("text")).limit(4 * sample_docs)
 
     def run(batches):
-        encode, _ = encoder(tokenizer, end_id)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([encode(x.as_py()) for x in b.column(0)], pa.binary())], ["ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(documents(b, 0, tokenizer, end_id), pa.binary())], ["ids"])
 
     samples = sorted(bytes(r.ids) for r in some.mapInArrow(run, "ids binary").collect())
     try:
@@ -93,38 +171,30 @@ class Compressor:
 
 def write_part(batches, folder: str, tokenizer: str, end_id: int | None, dictionary: bytes):
     """Writes the file of one partition of sorted rows (id, text) and yields its row of the manifest."""
-    context = TaskContext.get()
-    encode, kind = encoder(tokenizer, end_id)
-    width = np.dtype(kind).itemsize
+    part = TaskContext.get().partitionId()
+    width = encoder(tokenizer).kind.itemsize
     pack = Compressor(dictionary).pack
-    store, top = filesystem(folder)
-    name = f"{top}/tokens-{context.partitionId():06d}.pack"
-    out, found, place, start = None, [], 0, 0
-    for b in batches:
-        if out is None:
-            out = store.open_output_stream(f"{name}.{context.taskAttemptId()}")
-            place = out.write(HEADER.pack(MAGIC, hashlib.sha256(dictionary).digest(), width))
-        ids = b.column(0).to_pylist()
-        index = np.zeros(len(ids), INDEX)
-        for k, (key, x) in enumerate(zip(ids, b.column(1))):
-            packed = encode(x.as_py() or "")
-            frame = pack(packed)
-            out.write(frame)
-            index[k] = (key or 0, key is not None, start, len(packed) // width, place, len(frame))
-            place += len(frame)
-            start += len(packed) // width
-        found.append(index)
-    if out is None:
+    first = next(batches, None)
+    if first is None:
         return
-    table = np.concatenate(found)
-    raw = table.tobytes()
-    out.write(raw)
-    out.write(FOOTER.pack(place, len(table), start, zlib.crc32(raw), MAGIC))
-    out.close()
-    if store.get_file_info(name).type.name != "NotFound":
-        store.delete_file(name)
-    store.move(f"{name}.{context.taskAttemptId()}", name)
-    row = [context.partitionId()], [name.rpartition("/")[2]], [len(table)], [start], [place + len(raw) + FOOTER.size]
+    name, found, start = f"tokens-{part:06d}.pack", [], 0
+    with published(folder, name) as out:
+        place = out.write(HEADER.pack(MAGIC, hashlib.sha256(dictionary).digest(), width))
+        for b in chain([first], batches):
+            ids = b.column(0).to_pylist()
+            index = np.zeros(len(ids), INDEX)
+            for k, (key, packed) in enumerate(zip(ids, documents(b, 1, tokenizer, end_id))):
+                frame = pack(packed)
+                out.write(frame)
+                index[k] = (key or 0, key is not None, start, len(packed) // width, place, len(frame))
+                place += len(frame)
+                start += len(packed) // width
+            found.append(index)
+        table = np.concatenate(found)
+        raw = table.tobytes()
+        out.write(raw)
+        out.write(FOOTER.pack(place, len(table), start, zlib.crc32(raw), MAGIC))
+    row = [part], [name], [len(table)], [start], [place + len(raw) + FOOTER.size]
     kinds = pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()
     yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds)], ["part", "file", "docs", "ids", "bytes"])
 
@@ -137,7 +207,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None = Non
     store.create_dir(top)
     with store.open_output_stream(f"{top}/dictionary.zstd") as f:
         f.write(dictionary)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = ranges(docs, F.octet_length(F.coalesce(F.col(text_col), F.lit(""))))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("_read"))
     rows = rows.repartitionByRange(n, "id", "_read").sortWithinPartitions("id", "_read").select("id", "text")
 
@@ -204,7 +274,7 @@ def read(manifest: DataFrame, folder: str, id_col: str = "doc_id") -> DataFrame:
     # One row per file.
     base = F.sum("ids").over(Window.orderBy("part")) - F.col("ids")
     files = manifest.withColumn("base", F.coalesce(base, F.lit(0)).cast("long")).select("file", "base")
-    files = files.repartition(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file")
+    files = files.repartition(max(1, manifest.count()), "file")
 
     def run(batches):
         for b in batches:

@@ -6,12 +6,13 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from oracle import SMALL
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from rankyard.llm import components, embed_dup, near_dup
+from rankyard.llm import components, embed_dup, near_dup, words
 
 LARGER = SMALL.replace("0.001", "0.01")
 
@@ -98,6 +99,42 @@ def test_odd_documents(odd, none):
     assert by[9].n_shingles == 1
 
 
+def test_repeated_ids_with_different_texts(spark):
+    rows = [(1, "a b c d"), (1, "p q r s"), (2, "a b c d"), (3, "p q r s"), (0, "p q r s"), (4, "x y")]
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 2).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(0, 0, True), (1, 0, False), (1, 1, True), (2, 1, False), (3, 0, False), (4, 4, True)]
+
+
+def test_hashed_words():
+    texts = ["The cat", None, "", " \n\t", "x" * 20_000 + " The the", "a\x0bb c\x1cd", "é É The", "END", ("w " * 400_000) + "end"]
+    found, counts = words.hashed(pa.array(texts))
+    plain = [w for t in texts for w in (t or "").encode().lower().split()]
+    assert counts.tolist() == [len((t or "").encode().split()) for t in texts] and len(plain) == len(found)
+    assert len(set(zip(plain, found.tolist()))) == len(set(plain)) == len(set(found.tolist()))
+    part = words.hashed(pa.array(texts).slice(2, 5))[0]
+    assert part.tolist() == found[counts[:2].sum() : counts[:7].sum()].tolist()
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.none() | st.lists(st.sampled_from("abcAé \n"), max_size=12).map("".join), max_size=8), st.integers(1, 4))
+def test_shingles_of_a_column(texts, size):
+    found, counts = near_dup.shingles(pa.array(texts, pa.string()), size)
+    sets = plain_sets(dict(enumerate(texts)), size)
+    assert counts.tolist() == [len(sets[k]) for k in range(len(texts))]
+    ids = {}
+    for s, h in zip([s for k in range(len(texts)) for s in range(counts[k])], found.tolist()):
+        ids.setdefault(h, s)
+    assert len(ids) == len(set().union(*sets.values())) if sets else not ids
+
+
+def test_bands_do_not_depend_on_blocks():
+    found = np.random.default_rng(1).integers(0, 1 << 64, 900, dtype=np.uint64)
+    sizes = np.array([1, 500, 3, 396])
+    one = near_dup.bands(found, sizes)
+    assert (near_dup.bands(found, sizes, block=64) == one).all()
+    assert (near_dup.bands(found[501:504], sizes[2:3]) == one[2:3]).all()
+
+
 def test_blocks_find_what_pairs_find(spark):
     rng = random.Random(3)
     sets = [(k, 20, sorted({rng.randrange(40) for _ in range(30)})) for k in range(30)]

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import random
 import zlib
 
 import duckdb
 import numpy as np
+import pytest
 from oracle import SMALL
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -55,20 +57,35 @@ def plain_phrases(text, known):
     return count
 
 
+@pytest.mark.parametrize("segment, rows", [(512, 1 << 24), (3, 1 << 24), (3, 0), (1, 0)])
 @settings(max_examples=40, deadline=None)
-@given(st.lists(st.text("abz ", max_size=40), min_size=1, max_size=4))
-def test_phrases_are_greedy_longest_matches(texts):
-    sample = {"x": ["abba abz zab"], "y": ["zzz bab"]}
-    model = language_id.Model(sample)
-    counts, letters, size = model.phrases(texts)
+@given(texts=st.lists(st.text("abz 漢字?é", max_size=40), min_size=1, max_size=4))
+def test_phrases_are_greedy_longest_matches(segment, rows, texts):
+    sample = {"x": ["abba abz zab 漢"], "y": ["zzz bab"]}
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(language_id, "SEGMENT", segment)
+        patch.setattr(language_id, "ROWS", rows)
+        model = language_id.Model(sample)
+        counts, letters, size = model.phrases(texts)
     for k, text in enumerate(texts):
-        squeezed = " ".join(text.split(" ")).strip() if not text.strip() else None
         codes = language_id.Model.coded(model, text)
         lead = codes[1:] if len(codes) and codes[0] == 0 else codes
         assert letters[k] == sum(c.isalpha() for c in text) and size[k] == len(lead)
         for j, name in enumerate(model.names):
             known = substrings("".join(map(chr, model.coded(sample[name][0]))))
-            assert counts[k, j] == plain_phrases("".join(map(chr, lead)), known), (text, squeezed)
+            assert counts[k, j] == plain_phrases("".join(map(chr, lead)), known), text
+
+
+def test_cuts_of_long_texts_change_nothing():
+    rng = random.Random(4)
+    sample = {name: ["".join(rng.choice(letters) for _ in range(700))] for name, letters in (("x", "aab "), ("y", "abbc "), ("z", "".join(map(chr, range(0x4E00, 0x4E00 + 600)))))}
+    model = language_id.Model(sample)
+    texts = [sample["x"][0], sample["z"][0] * 3, "".join(rng.choice("abc 漢") for _ in range(5000)), "a" * 3000]
+    counts, _, _ = model.phrases(texts)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(language_id, "SEGMENT", 10**6)
+        assert (model.phrases(texts)[0] == counts).all()
+    assert counts[0, 0] == 1 and counts[1, 2] == 3 and model.predict(texts)[0][:2] == ["x", "z"]
 
 
 def test_long_texts_are_read_whole():

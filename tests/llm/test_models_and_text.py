@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from oracle import SMALL
 from hypothesis import given, settings
@@ -143,6 +144,27 @@ def test_planted_copies_are_found_and_clean_documents_left(spark):
     assert {r.doc_id for r in clean.collect()} == {k for k, _ in rows} - {k for k, _ in planted} and clean.columns == docs.columns
 
 
+def test_passages_at_the_threshold_have_seeds():
+    """Every edit that leaves the similarity at the threshold is found, and its similarity is that of the full table."""
+    rng = random.Random(2)
+    vocabulary = [f"w{k}" for k in range(60)]
+    found = missed = 0
+    for trial in range(250):
+        item = [rng.choice(vocabulary) for _ in range(rng.choice((3, 5, 9, 16, 30, 45)))]
+        kind = trial % 5
+        copy = [x for k, w in enumerate(item) for x in (("new",) if kind == 0 and k % 3 == 2 else (w, "more") if kind == 1 else () if kind == 2 and k % 3 == 2 else (w,))]
+        copy = edited(rng, " ".join(copy), 0.15 * rng.randrange(1, 5)).split() if kind > 2 else copy
+        text = " ".join([rng.choice(vocabulary) for _ in range(rng.randrange(90))] + copy + [rng.choice(vocabulary) for _ in range(rng.randrange(90))])
+        items = decontaminate.Items([(7, " ".join(item))], 0.5)
+        key, n = items.counted(pa.array([text, text[::-1], None]))
+        items.keep_rare(dict(zip(key.tolist(), n.tolist())))
+        got = max((x[2] for x in items.search(pa.array(["", text]))), default=0)
+        wanted = plain_similarity(" ".join(item), text)
+        assert got == (wanted if wanted >= 0.5 else 0), (trial, item, text)
+        found, missed = found + (wanted >= 0.5), missed + (wanted < 0.5)
+    assert found > 150 and missed > 20
+
+
 def test_blocks_of_the_benchmark_give_the_same(spark, monkeypatch):
     larger = SMALL.replace("0.001", "0.01")
     docs, benchmark = (spark.read.parquet(f"{larger}/{t}.parquet") for t in ("documents", "benchmark"))
