@@ -11,7 +11,8 @@ pairs, so a group of near copies costs arithmetic and no rows. All pairs of tile
 the square of the number of distinct vectors, as comparing everything with everything does, at 64 products a pair.
 
 Defined results: a vector that is null or zero, or holds null or non-finite components, and a row without id link with
-nothing; vectors of different length do not link; repeated rows link with each other; columns other than the two that
+nothing; vectors of different length do not link; repeated rows link with each other; rows of equal ids and different vectors are
+linked each by its own vector; columns other than the two that
 are named are not read.
 """
 
@@ -102,8 +103,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, tile: int = 409
     """id, n_links, component_id, kept (the id is the component's) of every row."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     rows = rows.withColumn("v", F.when(usable(F.col("v")) & F.col("id").isNotNull(), F.col("v")))
-    classes = rows.where(F.col("v").isNotNull()).groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("weight"))
-    classes = written(classes.withColumn("dim", F.size("v")), "vectors")
+    classes = rows.where(F.col("v").isNotNull()).groupBy("v").agg(F.min("id").alias("least"), F.count("*").alias("weight"))
+    # A class has a number of its own, fixed once it is written: rows of different vectors may share an id.
+    classes = written(classes.select("v", "least", "weight", F.size("v").alias("dim"), F.monotonically_increasing_id().alias("rep")), "vectors")
     total = classes.count()
     tiles = max(1, math.ceil(total / tile))
     placed = classes.withColumn("mine", F.pmod(F.xxhash64("rep"), F.lit(tiles)).cast("int"))
@@ -129,7 +131,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, tile: int = 409
     sums = found.groupBy("rep").agg(F.sum("links").alias("links"))
     joined = stars(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     labels = classes.join(sums, "rep", "left").join(joined.withColumnRenamed("hi", "rep"), "rep", "left")
-    labels = labels.select("v", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("lo", "rep").alias("component"))
+    labels = labels.select("v", "least", F.coalesce("lo", "rep").alias("node"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    # The component's name is its smallest vector.
+    names = labels.groupBy("node").agg(F.min("least").alias("component"))
+    labels = labels.join(names, "node").select("v", "n_links", "component")
     out = rows.join(labels, "v", "left")
     component = F.coalesce("component", "id")
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
