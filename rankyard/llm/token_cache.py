@@ -5,8 +5,8 @@ changes, for every other change could change a count) with the SHA-256 that name
 whose key is not stored yet are made distinct, encoded once, and appended to the cache; all rows then get their
 counts by a join on the digest.
 
-Only the step that makes misses distinct moves texts; a content that many rows share leaves each task once. The join
-back moves digests, and a frequent digest on its left side is a skewed join that adaptive execution splits.
+The cache is asked for digests before any text moves. Only the step that makes misses distinct moves texts; a content
+that many rows share leaves each task once. The join back moves digests, and a frequent digest on its left side is a skewed join that adaptive execution splits.
 
 Defined results: a null or empty text has 0 bytes and 0 tokens; repeated rows and equal texts get equal counts; columns
 other than the two that are named are not read; an empty table gives an empty table and leaves the cache as it is.
@@ -24,6 +24,9 @@ from pyspark.sql import types as T
 from .chunks import layout, loaded
 from .common import Memo, written
 
+#: Digests up to that many are broadcast (32 bytes each, some 20 MB as a hash table); more are joined by a shuffle.
+BROADCAST_DIGESTS = 200_000
+
 CACHE = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("version", T.StringType()), T.StructField("n_tokens", T.LongType())])
 
 
@@ -89,8 +92,10 @@ def token_counts(docs: DataFrame, tokenizer: str, cache_path: str, limit: int =
     keyed = docs.select(F.col(id_col), content.alias("content")).select(id_col, "content", F.unhex(F.sha2("content", 256)).alias("digest"))
     # Two writers may have stored the same key; both have the same count.
     known = stored(spark, cache_path).where(F.col("version") == name).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    distinct = keyed.groupBy("digest").agg(F.first("content").alias("content"))
-    missing = distinct.join(known.select("digest"), "digest", "left_anti")
+    # Only digests are grouped and joined with the cache; texts of misses alone move, one row for each.
+    missing = written(keyed.select("digest").distinct().join(known.select("digest"), "digest", "left_anti"), "missing")
+    some = F.broadcast(missing) if missing.count() <= BROADCAST_DIGESTS else missing
+    missing = keyed.select("digest", "content").join(some, "digest", "left_semi").groupBy("digest").agg(F.first("content").alias("content"))
     fresh = written(encode_counts(missing, tokenizer), "counts")
     fresh.select("digest", F.lit(name).alias("version"), "n_tokens").write.mode("append").parquet(cache_path)
     counts = known.unionByName(fresh)
