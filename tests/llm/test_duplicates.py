@@ -162,6 +162,12 @@ def plain_vectors(rows, threshold):
     return links, roots([k for k, _ in rows if k is not None], links)
 
 
+def test_repeated_ids_of_different_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.99, 0.01]), (3, [1.0, 0.0]), (4, [-1.0, 0.0])]
+    got = embed_dup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == [(1, 0, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (4, 0, 4, True)]
+
+
 @pytest.mark.parametrize("tile", [7, 4096])
 def test_vectors(spark, tile):
     rng = np.random.default_rng(1)
