@@ -6,11 +6,14 @@ composite density (Sun, Song and Liao, 2011), which lowers the density where lin
     CTD = C / T * log(C / LC * T / LT, base ln(C / (C - LC) * LC + LCb / Cb * C + e))
 
 with C characters, T tags, LC characters and LT tags in links, the body's values marked b. The node whose children have
-the largest sum of composite densities is dense text; the article is the <article> or <main> around it or, without one,
-the outermost ancestor of it that has another child with half as much plain text for each tag, so that all sections of an
-article count. The least density on the path to the body is the threshold for the nodes of that subtree that carry content.
-Elements that are never article text, by name or role, are left out before. So are those that the words of their class or
-id name, unless such a wrapper holds the page's only <article> or <main>, or ten times the plain text that is left.
+the largest sum of composite densities is dense text. The article is that node or its outermost ancestor, up to an
+<article> or <main>, that has another child with half as much plain text for each tag, so that all sections of an article
+count. The least density on the path from it to the body is the threshold: lists of links below it are left out.
+
+Elements that are never article text (navigation, forms, scripts, what is hidden; headers outside of an article) are no
+part of the tree. The words of a class or id are a weight: an element that nothing but such words names (as "sidebar" or
+"cookie-notice" do, "share-price" does not) counts nothing in its parent's sum, is not chosen and is left out of the
+article. On a page with hardly any text beside such elements (a tenth of theirs), names do not count.
 
 A text is the article's blocks in page order, one line each: character references decoded, white space inside a block
 made one space, no empty blocks. Elements of phrasing content and line breaks are inside a block; all others begin one.
@@ -22,7 +25,6 @@ results; columns other than those that are named are not read.
 
 from __future__ import annotations
 
-import heapq
 import html as entities
 import math
 import re
@@ -33,19 +35,22 @@ from pyspark.sql import functions as F
 
 _WORD = r"[^\s\"'<>/=]+"
 TAG = re.compile(rf"<(?:!--.*?(?:-->|$)|![^>]*>?|\?[^>]*>?|(/?)([a-zA-Z][^\s/>]*)((?:\s+|/|{_WORD}\s*=\s*\"[^\"]*\"|{_WORD}\s*=\s*'[^']*'|{_WORD}\s*=\s*[^\s\"'>]*|{_WORD}|[\"'=])*)>?)", re.S)
-ATTRIBUTE = re.compile(r"""(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/>]|$)""", re.I | re.S)
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.S)
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe textarea title xmp noembed noframes".split())
 PHRASING = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: Elements that are not article text whatever they hold.
-OTHER = frozenset("nav header footer aside form button select option script style noscript template iframe textarea head title svg canvas object embed audio video map dialog menu input label fieldset noembed noframes xmp math".split())
+OTHER = frozenset("nav footer aside form button select option script style noscript template iframe textarea head title svg canvas object embed audio video map dialog menu input fieldset noembed noframes xmp".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
-#: Words of a class or id that name such a part.
+#: Elements with headers and titles of their own.
+SECTIONS = frozenset("article main section".split())
+#: Words of a class or id that name such a part, and words that say nothing beside them.
 PARTS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar side aside rail widget footer foot header masthead topbar toolbar cookie cookies consent gdpr "
     "notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended comment comments commentlist disqus reply replies respond form search pagination pager copyright legal disclaimer skip hidden".split()
 )
+NEUTRAL = frozenset("area bar block box container content inner item items left link links list main outer panel right section text top wrap wrapper".split())
 _NAMES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _CLOSED_BY = {
     "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "option": frozenset(["option", "optgroup"]),
@@ -65,10 +70,24 @@ class Node:
         self.density = self.total = 0.0
 
 
-def is_other(tag: str, attributes: str) -> tuple[bool, bool]:
-    """Whether an element is no article text by its name, role or style; whether the words of its class or id say so."""
+def is_named(names: str) -> bool:
+    """Whether one of the names of a class or id has words of parts and no others but neutral ones."""
+    for name in names.split():
+        found = {w.lower() for w in _NAMES.findall(name) if not w.isdigit()}
+        if found & PARTS and found <= PARTS | NEUTRAL:
+            return True
+    return False
+
+
+def is_other(tag: str, attributes: str, parent: Node) -> tuple[bool, bool]:
+    """Whether an element is no article text by its name, role or style; whether its class or id names another part."""
     if tag in OTHER:
         return True, False
+    if tag == "header":
+        while parent is not None and parent.tag not in SECTIONS:
+            parent = parent.parent
+        if parent is None:
+            return True, False
     if not attributes or tag in ("html", "body", "article", "main"):
         return False, False
     named = False
@@ -78,8 +97,7 @@ def is_other(tag: str, attributes: str) -> tuple[bool, bool]:
             return True, False
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True, False
-        if name in ("class", "id") and any(w.lower() in PARTS for w in _NAMES.findall(value)):
-            named = True
+        named = named or name in ("class", "id") and is_named(value)
     return False, named
 
 
@@ -129,7 +147,7 @@ def parse(page: str) -> Node:
                     if tag != "tr" or open_.tag == "tr":
                         break
                 open_ = open_.parent
-        other, named = is_other(tag, attributes)
+        other, named = is_other(tag, attributes, node)
         child = Node(tag, node, node.dropped or other, named)
         node.children.append(child)
         if tag in RAW:
@@ -150,48 +168,6 @@ def _bottom_up(root: Node) -> list[Node]:
     return out[::-1]
 
 
-def settle(root: Node) -> None:
-    """Drops the elements that their class or id names, but not wrappers that hold the article."""
-    order = _bottom_up(root)
-    if not any(n.named for n in order):
-        return
-    place = {id(n): -k for k, n in enumerate(order)}  # page order
-    # Plain text and articles below each node: with named elements, and without.
-    held: dict[int, tuple[int, int, int, int]] = {}
-    for n in order:
-        text = free = 0
-        articles = free_articles = n.tag in ("article", "main")
-        for c in n.children:
-            if type(c) is str:
-                own = 0 if n.tag == "a" else len("".join(c.split()))
-                text, free = text + own, free + own
-            elif not c.dropped and n.tag != "a":
-                below = held[id(c)]
-                text, articles = text + below[0], articles + below[1]
-                if not c.named:
-                    free, free_articles = free + below[2], free_articles + below[3]
-        held[id(n)] = text, articles, free, free_articles
-    _, _, free, articles = held[id(root)]
-    found: list[tuple[int, int, Node]] = []
-    rest = [root]
-    while rest or found:
-        if rest:
-            for c in rest.pop().children:
-                if type(c) is Node and not c.dropped:
-                    if c.named:
-                        heapq.heappush(found, (-held[id(c)][0], place[id(c)], c))
-                    else:
-                        rest.append(c)
-            continue
-        n = heapq.heappop(found)[2]  # the most text first
-        below = held[id(n)]
-        if below[1] and not articles or below[0] > 10 * free:
-            free, articles = free + below[2], articles + below[3]
-            rest.append(n)
-        else:
-            n.dropped = True
-
-
 def measure(root: Node) -> list[Node]:
     """Counts and densities of all nodes that count."""
     nodes = _bottom_up(root)
@@ -214,7 +190,7 @@ def measure(root: Node) -> list[Node]:
             linked, plain = max(1, n.link_chars), max(1, n.chars - n.link_chars)
             base = math.log(n.chars / plain * n.link_chars + ratio * n.chars + math.e)
             n.density = n.chars / tags * max(0.0, math.log(max(1.0, n.chars / linked * tags / links)) / base)
-        n.total = sum(c.density for c in n.children if type(c) is Node and not c.dropped)
+        n.total = sum(c.density for c in n.children if type(c) is Node and not c.dropped and not c.named)
     return nodes
 
 
@@ -223,25 +199,51 @@ def _plain(node: Node) -> float:
     return (node.chars - node.link_chars) / max(1, node.tags)
 
 
+def unnamed(root: Node, nodes: list[Node]) -> list[Node]:
+    """The nodes, parents first, outside of elements that their names call another part; all, with their names
+    forgotten, if hardly any text would be left."""
+    out, rest, gone = [], [root], 0
+    while rest:
+        node = rest.pop()
+        if node.named:
+            gone += node.chars
+            continue
+        out.append(node)
+        rest += [c for c in reversed(node.children) if type(c) is Node and not c.dropped]
+    if gone > 10 * (root.chars - gone):
+        for n in nodes:
+            n.named = False
+            n.total = sum(c.density for c in n.children if type(c) is Node and not c.dropped)
+        return nodes[::-1]
+    return out
+
+
 def _article(best: Node) -> Node:
-    """The subtree that holds the article of which best is dense text."""
-    up = best
-    while up is not None:
-        if up.tag in ("article", "main"):
-            return up
-        up = up.parent
+    """The subtree that holds all sections of the article of which best is dense text."""
     least, found, up = _plain(best) / 2, best, best
-    while up.parent is not None and up.tag != "body":
-        beside = (c for c in up.parent.children if type(c) is Node and c is not up and not c.dropped and c.tag not in PHRASING)
+    while up.parent is not None and up.tag not in ("body", "article", "main"):
+        beside = (c for c in up.parent.children if type(c) is Node and c is not up and not c.dropped and not c.named and c.tag not in PHRASING)
         if any(c.chars and c.link_chars * 2 <= c.chars and _plain(c) >= least for c in beside):
             found = up.parent
         up = up.parent
-    return found
+    return up if up.tag == "article" and not _apart(up, found) else found
+
+
+def _apart(whole: Node, found: Node) -> bool:
+    """Whether an <article> holds other articles: it is then a list of them."""
+    rest = [whole]
+    while rest:
+        for c in rest.pop().children:
+            if type(c) is Node and not c.dropped and not c.named and c is not found:
+                if c.tag == "article":
+                    return True
+                rest.append(c)
+    return False
 
 
 def _content(node: Node, threshold: float) -> bool:
-    """Whether a child of the article carries content: dense enough, or text of its own that is not mostly links."""
-    return node.density >= threshold or node.link_chars * 2 <= node.chars
+    """Whether a child of the article belongs to it: no part of another name, no list of links below the threshold."""
+    return not node.named and (node.density >= threshold or node.link_chars * 2 <= node.chars or node.link_tags < 3)
 
 
 def blocks(node: Node, threshold: float) -> list[str]:
@@ -265,7 +267,7 @@ def blocks(node: Node, threshold: float) -> list[str]:
         elif x.tag == "br":
             line.append(" ")
         elif x.tag in PHRASING:
-            rest += [c for c in reversed(x.children) if type(c) is str or not c.dropped]
+            rest += [c for c in reversed(x.children) if type(c) is str or not c.dropped and not c.named]
         else:
             flush()
             rest.append(None)
@@ -279,10 +281,8 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
-    settle(root)
-    nodes = measure(root)
     best = None
-    for n in reversed(nodes):  # parents first: of equal sums the outermost
+    for n in unnamed(root, measure(root)):  # parents first: of equal sums the outermost
         if n.chars and n.tag not in PHRASING and (best is None or n.total > best.total):
             best = n
     if best is None:

@@ -237,6 +237,55 @@ def test_wrappers_that_hold_the_article_stay():
     assert html_text.main_text(f'<body><article>{page}</article><div id="comments">{comments}</div></body>').split("\n") == wanted
 
 
+PROBES = [
+    '<section id="side-effects">{}</section>', '<p class="share-price">{}</p>', '<div class="related-work">{}</div>', '<p id="social-history">{}</p>', '<p title="the hidden cost">{}</p>',
+    '<p data-id="form-3">{}</p>', "<header><h1>{}</h1></header>", "<p><label>{}</label></p>", "<p><math><mi>{}</mi></math></p>", '<ul><li><a href="x">{}</a></li></ul>', '<div class="wide"><p data-class="sidebar">{}</p></div>',
+]
+
+
+@pytest.mark.parametrize("probe", PROBES)
+def test_parts_of_an_article_stay(probe):
+    page, wanted = _sections((2, 3))
+    for outer in ("<body><nav><a href=x>Home</a></nav><article>{}</article><div class=ad>Buy this now, it is cheap.</div></body>", "<body><header>Site</header><main><article>{}</article></main></body>"):
+        got = html_text.main_text(outer.format(probe.format("words that must stay") + page)).split("\n")
+        assert got == ["words that must stay", *wanted], got
+
+
+@pytest.mark.parametrize("part", ['<div class="cookie-notice">{}</div>', '<div class="ad">{}</div>', '<ul id=comments><li>{}</li></ul>', "<aside>{}</aside>", "<form>{}</form>", "<footer>{}</footer>", '<p hidden>{}</p>', '<div class="newsletter signup-box">{}</div>', "<nav>{}</nav>"])
+def test_other_parts_go(part):
+    page, wanted = _sections((2, 3))
+    for outer in ("<body>{0}<article>{1}{0}</article>{0}</body>", "<body>{0}<div>{1}{0}</div></body>"):
+        assert html_text.main_text(outer.format(part.format("words that go away, whatever they are"), page)).split("\n") == wanted
+
+
+def plain_density(node, ratio):
+    """Characters, tags, characters and tags in links, and composite density, by the formula, of one node."""
+    below = [c for c in node.children if not isinstance(c, str) and not c.dropped]
+    counts = [plain_density(c, ratio) for c in below]
+    chars = sum(len("".join(c.split())) for c in node.children if isinstance(c, str)) + sum(c[0] for c in counts)
+    tags, links = sum(c[1] + 1 for c in counts), sum(c[3] + (n.tag == "a") for n, c in zip(below, counts))
+    linked = chars if node.tag == "a" else sum(c[2] for c in counts)
+    if not chars:
+        return chars, tags, linked, links, 0.0
+    base = math.log(chars / max(1, chars - linked) * linked + ratio * chars + math.e)
+    value = chars / max(1, tags) * max(0.0, math.log(max(1.0, chars / max(1, linked) * max(1, tags) / max(1, links))) / base)
+    return chars, tags, linked, links, value
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["<p>", "</p>", "<div>", "</div>", "<a href=x>", "</a>", "words ", "more of them ", "<li>", "<b>", "</b>", "<td>", "<nav>", "</nav>"]), max_size=40).map("".join))
+def test_densities_are_those_of_the_formula(page):
+    root = html_text.parse(f"<body>{page}</body>")
+    nodes = html_text.measure(root)
+    body = next(n for n in nodes if n.tag == "body")
+    whole = plain_density(body, 0.0)
+    ratio = whole[2] / whole[0] if whole[0] else 0.0
+    for n in nodes:
+        wanted = plain_density(n, ratio)
+        assert (n.chars, n.tags, n.link_chars, n.link_tags) == wanted[:4] and n.density == pytest.approx(wanted[4])
+        assert n.total == pytest.approx(sum(plain_density(c, ratio)[4] for c in n.children if not isinstance(c, str) and not c.dropped))
+
+
 def test_page_rows(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (2, None, None, "x"), (None, "u", "", "x"), (4, "u", "plain words", "x"), (5, "u", "<p>" * 3000 + "deep" + "<div>" * 3000, "x")], "page_id long, url string, html string, text string")
     got = {r.page_id: r for r in html_text.extract(pages).collect()}
