@@ -81,13 +81,13 @@ class Encoder:
     def __init__(self, tokenizer: str):
         self.model, self.pieces = loaded(tokenizer), layout(tokenizer)
         self.kind = np.dtype("<u2" if self.model.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known = Memo(self._packed)
+        self.known = Memo(self._packed, limit=400_000)  # some 160 MB
 
     def _packed(self, text: str) -> bytes:
         return np.array(self.model.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
     def _learn(self, pieces: list[str], most: int = 4096) -> None:
-        """Remembers pieces of ASCII, encoded many at a time: a token belongs to the piece in which it starts."""
+        """Remembers pieces of Latin letters, encoded many at a time: a token belongs to the piece in which it starts."""
         for k in range(0, len(pieces), most):
             some = pieces[k : k + most]
             found = self.model.encode(" ".join(some), add_special_tokens=False)
@@ -97,17 +97,30 @@ class Encoder:
             for x, i, j in zip(some, at.tolist(), at[1:].tolist()):
                 self.known.keep(x, ids[i:j].tobytes())
 
+    def _pieces(self, pieces: pa.Array) -> list[bytes]:
+        """The ids of different pieces. In those that cannot hold an added token, ASCII is lower-cased, as the layout
+        does, and a mark behind a letter is encoded by itself, as it is a token's border."""
+        free = pc.invert(pc.match_substring(pieces, "<"))
+        low = pc.if_else(pc.and_(free, pc.string_is_ascii(pieces)), pc.ascii_lower(pieces), pieces)
+        base = pc.if_else(free, pc.replace_substring_regex(low, "([A-Za-zÀ-ÖØ-öø-ÿ])[.,;:!?]$", r"\1"), low)
+        coded, known = base.dictionary_encode(), self.known
+        distinct = coded.dictionary.to_pylist()
+        self._learn([x for x in distinct if x not in known and x not in known.old and (x.isascii() or max(x) < "\u0180")])
+        packed = [known[x] for x in distinct]
+        out = [packed[k] for k in coded.indices.to_pylist()]
+        marked = np.nonzero(pc.not_equal(base, low).to_numpy(zero_copy_only=False))[0]
+        for k, x in zip(marked.tolist(), low.take(pa.array(marked)).to_pylist()):
+            out[k] += known[x[-1]]
+        return out
+
     def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows (null: none), one after another, and where each row begins and the last one ends."""
         texts = pc.fill_null(texts, "")
         if self.pieces is dropped_pieces:
             lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
             coded = lists.flatten().dictionary_encode()
-            distinct, code = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+            code, packed = coded.indices.to_numpy(), self._pieces(coded.dictionary)
             bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
-            known = self.known
-            self._learn([x for x in distinct if x not in known and x not in known.old and x.isascii()])
-            packed = [known[x] for x in distinct]
         else:
             packed = [b"".join(map(self.known.__getitem__, self.pieces(x))) if self.pieces else self._packed(x) for x in texts.to_pylist()]
             code, bounds = np.arange(len(texts)), np.arange(len(texts) + 1)
@@ -133,7 +146,7 @@ def documents(batch: pa.RecordBatch, column: int, tokenizer: str, end_id: int |
     """The ids of every row of a batch as packed integers, with the end id."""
     encode = encoder(tokenizer)
     end = b"" if end_id is None else np.array([end_id], encode.kind).tobytes()
-    for part in slices(batch, column):
+    for part in slices(batch, column, 4_000_000):
         ids, at = encode.column(part.column(column))
         raw, at = memoryview(ids).cast("B"), (at * encode.kind.itemsize).tolist()
         for i, j in zip(at, at[1:]):

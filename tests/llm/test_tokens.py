@@ -52,6 +52,12 @@ def test_pieces_encode_to_the_ids_of_the_whole(text):
     assert "".join(spaced_pieces(text)) == text
 
 
+def test_added_tokens_in_capitals_are_text():
+    texts = ["<|STARTOFTEXT|> Word, <|startoftext|>", "A<|ENDOFTEXT|>. b!"]
+    ids, at = token_pack.encoder(WORDS).column(pa.array(texts))
+    assert [ids[at[k] : at[k + 1]].tolist() for k in (0, 1)] == [library_of(WORDS).encode(x, add_special_tokens=False).ids for x in texts]
+
+
 def test_every_code_point(own):
     library = loaded(BYTES)
     every = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
