@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 # Prefixes of scenario ids by corpus, the longer ones first.
 CORPORA = ("bfcl-simple", "bfcl-multiple", "metatool", "toolret", "sragents")
 SKILL_PREFIX = "sragents-"
-WRAPPER = r"(?s)^\s*Given an? .*? task, retrieve tools that (.*)$"
+WRAPPER = r"(?s)^Given a .*? task, retrieve tools that (.*)$"
 
 
 def corpus_of(scenario_id: Column) -> Column:
@@ -56,9 +56,10 @@ def skill_dataset(scenario_id: Column, category: Column) -> Column:
 
 def unwrapped(instruction: Column) -> Column:
     """The request inside an instruction "Given a ... task, retrieve tools that ...", without its final periods."""
-    inner = F.regexp_extract(instruction, WRAPPER, 1)
-    text = F.when(instruction.rlike(WRAPPER), inner).otherwise(instruction)
-    return F.when(instruction.rlike(WRAPPER), F.regexp_replace(F.trim(text), r"\.+$", "")).otherwise(F.trim(text))
+    bare = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    text = bare(instruction)
+    request = bare(F.regexp_replace(bare(F.regexp_extract(text, WRAPPER, 1)), r"\.+$", ""))
+    return F.when(text.rlike(WRAPPER), request).otherwise(text)
 
 
 def slug(name: Column) -> Column:

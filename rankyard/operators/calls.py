@@ -13,13 +13,18 @@ SEARCH, INVOKE = "search_tools", "invoke_tool"
 def metered(steps: DataFrame, by: str, tool: str = "tool", step: str = "step") -> DataFrame:
     """Token sums, calls (all, different, of the gateway, direct) and turns of every trace, from one row for each call.
 
-    steps has input, output, cached_input, cache_creation and total tokens of the step on each row of one call; steps
-    without a call have a null tool. Totals that providers leave out are input + output + cached.
+    steps has input, output, cached_input, cache_creation and total tokens of the step on the row of each of its calls:
+    they count once a step. Steps without a call have one row with a null tool. Totals that providers leave out are
+    input + output + cached.
     """
-    kinds = ("input", "output", "cached_input", "cache_creation", "total")
-    sums = [F.coalesce(F.sum(f"{k}_tokens"), F.lit(0)).alias(f"{k}_tokens") for k in kinds]
+    kinds = [f"{k}_tokens" for k in ("input", "output", "cached_input", "cache_creation", "total")]
     gateway = F.col(tool).isin(SEARCH, INVOKE)
-    out = steps.groupBy(by).agg(*sums, F.count(tool).alias("tool_calls_total"), F.count_distinct(tool).alias("tool_calls_unique"), F.count_if(gateway).alias("gateway_calls"), F.count_if(~gateway).alias("non_gateway_calls"), F.count_distinct(step).alias("turns"))
+    calls = [F.count(tool).alias("tool_calls_total"), F.count_if(gateway).alias("gateway_calls"), F.count_if(~gateway).alias("non_gateway_calls")]
+    once = steps.groupBy(by, step).agg(*(F.max(k).alias(k) for k in kinds), *calls, F.collect_set(tool).alias("_tools"))
+    sums = [F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in kinds]
+    different = F.size(F.array_distinct(F.flatten(F.collect_list("_tools")))).cast("bigint").alias("tool_calls_unique")
+    numbers = [F.sum(c).alias(c) for c in ("gateway_calls", "non_gateway_calls")]
+    out = once.groupBy(by).agg(*sums, F.sum("tool_calls_total").alias("tool_calls_total"), different, *numbers, F.count(step).alias("turns"))
     return out.withColumn("total_tokens", F.when(F.col("total_tokens") == 0, F.col("input_tokens") + F.col("output_tokens") + F.col("cached_input_tokens")).otherwise(F.col("total_tokens")))
 
 

@@ -49,14 +49,14 @@ def pools(own: DataFrame, universe: DataFrame, sizes: Sequence[int], seed: int)
     makes it smaller. Every scenario meets the universe once, in pairs of blocks, whatever the number of sizes, and only
     the first max(sizes) items of each leave their task.
     """
-    scenarios = own.groupBy("query_id").agg(F.count("*").alias("n_own"))
-    most = max(sizes)
+    scenarios, sizes = own.groupBy("query_id").agg(F.count("*").alias("n_own")), pool_sizes(sizes)
+    most = sizes[-1]
     order = Window.partitionBy("query_id").orderBy("draw", "item_id")
     drawn = pairs(scenarios, universe.select("item_id")).withColumn("draw", seeded_order(seed, F.col("query_id"), F.col("item_id")))
     # Among the first max(sizes) items, own ones too, are the max(sizes) - n_own distractors that a pool can take.
     drawn = drawn.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= most)
     drawn = drawn.join(own.select("query_id", "item_id"), ["query_id", "item_id"], "left_anti").withColumn("rn", F.row_number().over(order))
-    targets = F.explode(F.array(*(F.lit(s) for s in sorted(set(sizes))))).alias("pool_size")
+    targets = F.explode(F.array(*(F.lit(s) for s in sizes))).alias("pool_size")
     distractors = drawn.where(F.col("rn") + F.col("n_own") <= most).select("query_id", "item_id", (F.col("n_own") + F.col("rn")).alias("ordinal"), targets).where("ordinal <= pool_size")
     mine = own.withColumn("ordinal", F.row_number().over(Window.partitionBy("query_id").orderBy("position", "item_id")))
     mine = mine.select("query_id", "item_id", "ordinal", targets)
@@ -69,6 +69,24 @@ def shuffled(items: DataFrame, array_col: str, id_col: str, seed: int) -> DataFr
     return items.withColumn(array_col, F.transform(keyed, lambda e: e["x"]))
 
 
+def pool_sizes(sizes: Sequence[int]) -> list[int]:
+    """Pool sizes, distinct and ascending; one that is not positive is an error."""
+    out = sorted({int(s) for s in sizes})
+    if not out or out[0] < 1:
+        raise ValueError(f"pool sizes must be positive: {list(sizes)}")
+    return out
+
+
+def resolved_gold(gold: DataFrame, pool: DataFrame, key: str = "query_id") -> DataFrame:
+    """The rows of pool (key, item_id, name, description) for the gold items (key, item_id, position) of every scenario,
+    numbered in gold order; an item that its scenario's pool lacks gets a row that says so."""
+    found = gold.join(pool.select(key, "item_id", "name", "description"), [key, "item_id"], "left")
+    item = F.col("item_id").cast("string")
+    lacking = F.concat(F.lit("gold tool "), item, F.lit(" (synthesized: not in candidate_pool)"))  # fixed wording
+    order = Window.partitionBy(key).orderBy("position", "item_id")
+    return found.select(key, F.row_number().over(order).alias("ordinal"), "item_id", F.coalesce("name", item).alias("name"), F.coalesce("description", lacking).alias("description"))
+
+
 def gold_complete(rows: DataFrame, gold: str = "gold", pool: str = "pool_ids") -> DataFrame:
     """rows, failing where a pool lacks a gold id."""
     missing = F.array_except(gold, pool)

@@ -206,6 +206,23 @@ def trace_metering(spark, sf_dir):
     return out.select(*(F.col(c).cast("bigint").alias(c) for c in out.columns))
 
 
+@query(
+    """WITH s AS (SELECT conv_id, turn, length(text) AS t FROM conversations), c AS (SELECT *, unnest(list_slice(['search_tools', 'invoke_tool', 'direct'], 1, (t % 4)::INT)) AS tool FROM s),
+u AS (SELECT conv_id, sum(t)::BIGINT AS input_tokens, sum(t // 2)::BIGINT AS output_tokens, count(*) AS turns FROM s GROUP BY 1),
+n AS (SELECT conv_id, count(*) AS calls, count(DISTINCT tool) AS different, count(*) FILTER (WHERE tool <> 'direct') AS gateway FROM c GROUP BY 1)
+SELECT conv_id, input_tokens, output_tokens, 0::BIGINT AS cached_input_tokens, 0::BIGINT AS cache_creation_tokens, input_tokens + output_tokens AS total_tokens, coalesce(calls, 0) AS tool_calls_total,
+coalesce(different, 0) AS tool_calls_unique, coalesce(gateway, 0) AS gateway_calls, coalesce(calls - gateway, 0) AS non_gateway_calls, turns FROM u LEFT JOIN n USING (conv_id)"""
+)
+def trace_metering_several_calls(spark, sf_dir):
+    """Steps of none to three calls: their tokens count once."""
+    t = F.length("text")
+    tools = F.slice(F.array(F.lit(calls.SEARCH), F.lit(calls.INVOKE), F.lit("direct")), F.lit(1), t % 4)
+    zero = [F.lit(0).alias(c) for c in ("cached_input_tokens", "cache_creation_tokens", "total_tokens")]
+    steps = A.read(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("step"), F.explode_outer(tools).alias("tool"), t.alias("input_tokens"), F.floor(t / 2).alias("output_tokens"), *zero)
+    out = calls.metered(steps, "conv_id")
+    return out.select(*(F.col(c).cast("bigint").alias(c) for c in out.columns))
+
+
 @query("SELECT conv_id, turn, ['t' || (conv_id % 3), role] AS effective FROM conversations")
 def gateway_unwrapping(spark, sf_dir):
     call = lambda tool, args: F.struct(tool.alias("tool_id"), args.alias("args"))

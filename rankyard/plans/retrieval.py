@@ -216,6 +216,19 @@ def pool_own_gold_every_order(spark, sf_dir):
     return pools.pools(A.order_items(spark, sf_dir), universe, _SET_SIZES, 7)
 
 
+@query(
+    f"""WITH {A.ORDER_ITEMS_SQL} SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY position, item_id) AS ordinal, item_id,
+CASE WHEN p_partkey IS NULL THEN item_id::VARCHAR ELSE p_name END AS name, CASE WHEN p_partkey IS NULL THEN 'gold tool ' || item_id || ' (synthesized: not in candidate_pool)' ELSE p_type END AS description
+FROM order_items LEFT JOIN part ON p_partkey = item_id AND (query_id + item_id) % 3 > 0"""
+)
+def gold_in_gold_order(spark, sf_dir):
+    """Every order's parts in gold order; a third of them is not in the order's pool."""
+    gold = A.order_items(spark, sf_dir)
+    part = A.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("item_id"), F.col("p_name").alias("name"), F.col("p_type").alias("description"))
+    pool = gold.where("(query_id + item_id) % 3 > 0").select("query_id", "item_id").join(part, "item_id")
+    return pools.resolved_gold(gold, pool)
+
+
 _SET_RANKING = "set_ranking AS (SELECT query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM (SELECT l_orderkey AS query_id, l_partkey AS item_id, round(max(l_extendedprice), 9) AS score FROM lineitem WHERE l_quantity <= 30 GROUP BY ALL))"
 
 

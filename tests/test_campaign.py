@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from rankyard.functions import arguments, labels
-from rankyard.operators import calls, cells, compare
+from rankyard.operators import calls, cells, compare, pools
 from rankyard.sources import sinks
 
 
@@ -20,7 +20,7 @@ def one(spark, column):
 
 @pytest.mark.parametrize(
     ("text", "wanted"),
-    [("Given a `web` task, retrieve tools that find cats..", "find cats"), ("  plain request. ", "plain request."), ("Given an odd task, retrieve tools that a\nb.", "a\nb")],
+    [("Given a `web` task, retrieve tools that find cats..", "find cats"), ("  plain request. ", "plain request."), ("Given an odd task, retrieve tools that a\nb.", "Given an odd task, retrieve tools that a\nb."), ("\n Given a b task, retrieve tools that x . .", "x ."), ("Given a b task, retrieve tools that c\nd. ", "c\nd")],
 )
 def test_unwrapped(spark, text, wanted):
     assert one(spark, labels.unwrapped(F.lit(text))) == wanted
@@ -105,6 +105,21 @@ def test_metering(spark):
     assert (got["u"].total_tokens, got["u"].tool_calls_total) == (18, 0)
 
 
+def test_tokens_count_once_a_step(spark):
+    rows = [("t", 1, "a", 10, 4), ("t", 1, "b", 10, 4), ("t", 2, "a", 3, 1), ("t", 3, None, 5, 2)]
+    steps = spark.createDataFrame(rows, "id string, step int, tool string, input_tokens long, output_tokens long").selectExpr("*", "0L AS cached_input_tokens", "0L AS cache_creation_tokens", "0L AS total_tokens")
+    t = calls.metered(steps, "id").first()
+    assert (t.input_tokens, t.output_tokens, t.total_tokens) == (18, 7, 25)
+    assert (t.tool_calls_total, t.tool_calls_unique, t.gateway_calls, t.non_gateway_calls, t.turns) == (3, 2, 0, 3, 3)
+
+
+@pytest.mark.parametrize("sizes", [[], [0, 5], [-1]])
+def test_pool_sizes_are_positive(sizes):
+    assert pools.pool_sizes([7, 3, 7]) == [3, 7]
+    with pytest.raises(ValueError):
+        pools.pool_sizes(sizes)
+
+
 def test_cells_of_null_pools_resume_and_group(spark):
     queue = spark.createDataFrame([("s", "oracle", "m", 1, None), ("s", "full", "m", 1, 30)], "scenario_id string, arm string, model string, run_index int, pool_size int")
     assert cells.pending(queue, queue.where("arm = 'oracle'")).count() == 1
