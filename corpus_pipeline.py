@@ -18,26 +18,32 @@ BROADCAST_IDS = 400_000
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; those without text or letters go."""
+    """Documents with a language; those without text or letters, null texts among them, go. Repeated rows stay."""
     train = docs.where(language_id.remainder("doc_id", 3) != 1)
     model = language_id.fit(train.select("text", "lang"))
     return language_id.recognised(docs, model)
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: shingles of five words, similarity 0.8."""
+    """One document of each group of near duplicates: shingles of five words, similarity 0.8.
+
+    Rows without id or words stay. Of rows that share an id, the one of smallest text stays, if any of them is kept.
+    """
     found = written(near_dup.near_duplicates(docs, size=5, percent=80), "groups")
     removed = found.where(~F.col("kept")).select("doc_id").distinct()
+    rows, ids = found.where("doc_id IS NOT NULL").agg(F.count("*"), F.count_distinct("doc_id")).first()
+    if rows > ids:
+        removed = removed.join(found.where("kept").select("doc_id"), "doc_id", "left_anti")
     removed = F.broadcast(removed) if removed.count() <= BROADCAST_IDS else removed
     kept = docs.join(removed, "doc_id", "left_anti")
-    rows, ids = found.where("doc_id IS NOT NULL").agg(F.count("*"), F.count_distinct("doc_id")).first()
-    if rows > ids:  # some ids repeat: they name one document
-        kept = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id IS NULL"))
+    if rows > ids:
+        one = kept.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min_by(F.struct(*(c for c in docs.columns if c != "doc_id")), F.coalesce("text", F.lit(""))).alias("_one"))
+        kept = one.select("doc_id", "_one.*").unionByName(kept.where("doc_id IS NULL"))
     return kept.select(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a copy of a benchmark item."""
+    """Documents without a copy of a benchmark item; null and empty texts hold none."""
     return decontaminate.without_copies(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
