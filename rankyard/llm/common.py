@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors and the driver share; one is made only where the session names none (tests)."""
+    """The folder all executors and the driver share. One is made where a local session names none (tests); on a cluster,
+    where executors would not see it, that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_shared_dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = spark._shared_dir = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
