@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
@@ -22,6 +23,8 @@ from .common import Memo
 
 _POSITION = 40
 _WIDTH = 1 << 20
+#: A token never goes on from a letter to one of these.
+_MARKS = frozenset(".,;:!?")
 
 
 def byte_symbols() -> dict[str, int]:
@@ -55,50 +58,55 @@ class ByteBpe:
         for c, b in symbol.items():
             self.byte_id[b] = vocab[c]
         pairs = [tuple(x.split(" ")) if isinstance(x, str) else tuple(x) for x in spec["model"]["merges"]]
-        self.rank = {vocab[a] * _WIDTH + vocab[b]: k for k, (a, b) in enumerate(pairs)}
-        self.merged = [vocab[a + b] for a, b in pairs]
+        rank = {vocab[a] * _WIDTH + vocab[b]: k for k, (a, b) in enumerate(pairs)}
+        self.rank, self.merged = rank, [vocab[a + b] for a, b in pairs]
+        #: The rank of each pair of bytes, at 256 * first + second.
+        self.byte_rank = [rank.get(a * _WIDTH + b) for a in self.byte_id for b in self.byte_id]
         self.words = regex.compile(public_tokenizers.PATTERN).findall
         names = sorted(self.special, key=len, reverse=True)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, names)) + ")").split if names else None
+        self.plain = not any(x.isalpha() or _MARKS & set(x) for x in names)
         self.packed = Memo(self._packed)
 
     def merge(self, data: bytes) -> list[int]:
         """The ids of one piece."""
         ids = [self.byte_id[b] for b in data]
         n = len(ids)
-        rank_of, merged = self.rank.get, self.merged
-        queue = []
-        for i in range(n - 1):
-            r = rank_of(ids[i] * _WIDTH + ids[i + 1])
-            if r is not None:
-                queue.append(r << _POSITION | i)
+        #: The rank of the pair that begins at each symbol, None where there is none.
+        pair = [self.byte_rank[a << 8 | b] for a, b in zip(data, data[1:])]
+        queue = [r << _POSITION | i for i, r in enumerate(pair) if r is not None]
         if not queue:
             return ids
         heapify(queue)
+        pair.append(None)
+        rank_of, merged = self.rank.get, self.merged
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         here = (1 << _POSITION) - 1
         while queue:
             top = heappop(queue)
             i, r = top & here, top >> _POSITION
-            j = after[i]
-            if ids[i] < 0 or j >= n or rank_of(ids[i] * _WIDTH + ids[j]) != r:
+            if pair[i] != r:
                 continue  # stale
+            j = after[i]
             ids[i] = new = merged[r]
             ids[j] = -1
+            pair[i] = pair[j] = None
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                r = rank_of(new * _WIDTH + ids[k])
+                pair[i] = r = rank_of(new * _WIDTH + ids[k])
                 if r is not None:
                     heappush(queue, r << _POSITION | i)
             p = before[i]
             if p >= 0:
-                r = rank_of(ids[p] * _WIDTH + new)
+                pair[p] = r = rank_of(ids[p] * _WIDTH + new)
                 if r is not None:
                     heappush(queue, r << _POSITION | p)
         return [x for x in ids if x >= 0]
 
     def _packed(self, piece: str) -> bytes:
+        if self.plain and piece[piece[:1] == " " :].isalpha():
+            return array("I", self.merge(piece.encode())).tobytes()
         ids: list[int] = []
         for part in self.cut(piece) if self.cut else [piece]:
             if part in self.special:
@@ -106,11 +114,18 @@ class ByteBpe:
             else:
                 for word in self.words(part):
                     ids += self.merge(word.encode())
-        return b"".join([x.to_bytes(4, "little") for x in ids])
+        return array("I", ids).tobytes()
 
     def encode_packed(self, text: str) -> bytes:
-        """The ids of a text as little-endian unsigned 32-bit integers."""
-        return b"".join(map(self.packed.__getitem__, spaced_pieces(text)))
+        """The ids of a text as unsigned 32-bit integers. A mark behind a letter is looked up by itself, so that a word
+        is remembered once."""
+        known, out = self.packed, []
+        for x in spaced_pieces(text):
+            if self.plain and x[-1] in _MARKS and x[-2:-1].isalpha():
+                out.append(known[x[:-1]])
+                x = x[-1]
+            out.append(known[x])
+        return b"".join(out)
 
     def decode_packed(self, ids: bytes) -> bytes:
         """The UTF-8 bytes of the text of such ids."""
