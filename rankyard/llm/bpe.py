@@ -66,7 +66,7 @@ class ByteBpe:
         names = sorted(self.special, key=len, reverse=True)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, names)) + ")").split if names else None
         self.plain = not any(x.isalpha() or _MARKS & set(x) for x in names)
-        self.packed = Memo(self._packed)
+        self.packed = Memo(self._packed, limit=160_000)  # some 60 MB
 
     def merge(self, data: bytes) -> list[int]:
         """The ids of one piece."""
