@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, embed_dup, html_text, kneser_ney, language_id, near_dup, sharding, token_cache, token_pack
+from . import bpe, decontaminate, embed_dup, hard_negatives, html_text, kneser_ney, language_id, mixing, near_dup, phrases, sharding, token_cache, token_pack
 from .common import scratch
 
 
@@ -58,8 +58,29 @@ def op10_token_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_pack.write_and_read(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchors are the vectors whose id is divisible by 100; every seventh label is moved on by one."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = vectors.select(F.col("vec_id").alias("id"), label.alias("label"), hard_negatives.whole(F.col("embedding"), 256).alias("v"), (F.col("vec_id") % 100 == 0).alias("anchor"))
+    return hard_negatives.mine(rows, positives=5, negatives=5, low=80, high=100)
+
+
+def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents labelled good weigh 2 and those labelled bad 0.5 in the draw."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    worth = F.when(F.col("quality") == 1, 2.0).when(F.col("quality") == 0, 0.5).otherwise(1.0)
+    mixed = mixing.mix(docs.join(labels, "doc_id", "left").withColumn("worth", worth), weights=(5, 2, 1), most=3, quality="worth")
+    return mixed.withColumn("target", F.round("target", 6))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(spark.read.parquet(f"{sf_dir}/documents.parquet"), least=30, max_words=4, contained=80, most=2000)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe_round_trip, op2_decontaminate, op3_language_id, op4_token_counts, op5_jump_shards, op6_html_text, op7_kneser_ney, op8_minhash_near_dup, op9_embedding_near_dup, op10_token_pack)}
+    return {f.__name__: f for f in (op1_bpe_round_trip, op2_decontaminate, op3_language_id, op4_token_counts, op5_jump_shards, op6_html_text, op7_kneser_ney, op8_minhash_near_dup, op9_embedding_near_dup, op10_token_pack, op11_hard_negatives, op12_source_mix, op13_collocations)}
 
 
 _COMPONENTS = """
@@ -83,6 +104,40 @@ nodes AS (SELECT id FROM vectors), {_COMPONENTS}
 SELECT n.id AS vec_id, (SELECT count(*) FROM links WHERE a = n.id) AS n_links, component_id, n.id = component_id AS kept FROM nodes n JOIN named USING (id)"""
 
 
+#: Every anchor against every vector.
+HARD_NEGATIVES_SQL = """WITH usable AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT a.id AS anchor_id, r.id AS id, a.label = r.label AS same, list_dot_product(a.v, r.v)::BIGINT AS score FROM usable a JOIN usable r ON a.id % 100 = 0 AND a.id <> r.id AND len(a.v) = len(r.v)),
+positives AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+negatives AS (SELECT p.*, s.id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.id) AS rank FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.same AND 80 * positive_score <= 100 * s.score AND s.score <= positive_score)
+SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM negatives WHERE rank <= 5"""
+
+#: The limits that hold are found by taking sources in order of their limit for a unit of weight.
+MIX_SQL = """WITH sized AS (SELECT d.doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, CASE q WHEN 1 THEN 2.0::DOUBLE WHEN 0 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS worth
+  FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS q FROM labels GROUP BY 1) USING (doc_id)),
+keyed AS (SELECT *, -ln((('0x' || md5('42:' || doc_id)[1:13])::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE) / worth AS key FROM sized),
+sources AS (SELECT source, sum(size)::BIGINT AS source_size, ([5, 2, 1])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM sized GROUP BY 1),
+shares AS (SELECT *, 3 * source_size AS most, sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest, sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weights FROM sources WINDOW o AS (ORDER BY 3 * source_size / weight, source NULLS LAST)),
+levels AS (SELECT max(rest::DOUBLE / weights) AS level FROM shares WHERE weight * rest::DOUBLE / weights <= most),
+targets AS (SELECT source, source_size, least(most::DOUBLE, weight * (SELECT level FROM levels)) AS target FROM shares),
+drawn AS (SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN floor(target / source_size + 1e-12) ELSE 0 END AS epochs, sum(size) OVER (PARTITION BY k.source ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) AS after FROM keyed k JOIN targets t ON k.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, round(target, 6) AS target, (size * (epochs + CASE WHEN 2 * after - size <= 2 * (target - epochs * source_size) THEN 1 ELSE 0 END))::BIGINT AS taken, (CASE WHEN size = 0 THEN epochs ELSE epochs + CASE WHEN 2 * after - size <= 2 * (target - epochs * source_size) THEN 1 ELSE 0 END END)::INT AS copies FROM drawn"""
+
+COLLOCATIONS_SQL = """WITH lowered AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+pieces AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM lowered),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY 1),
+runs AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM words CROSS JOIN (SELECT unnest([1, 2, 3, 4]) AS k)),
+counts AS (SELECT lang, k, phrase, count(*) AS f FROM runs GROUP BY ALL),
+phrases AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM counts WHERE k > 1 AND f >= 30),
+cuts AS (SELECT *, unnest(range(1, k)) AS cut FROM phrases),
+parts AS (SELECT c.lang, c.k, c.phrase, a, cut, l.f AS l, r.f AS r, (2000000::HUGEINT * a) // (l.f + r.f) AS score FROM cuts c JOIN counts l ON l.lang = c.lang AND l.phrase = array_to_string(w[1:cut], ' ') JOIN counts r ON r.lang = c.lang AND r.phrase = array_to_string(w[cut + 1:], ' ')),
+weakest AS (SELECT * FROM parts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+free AS (SELECT * FROM weakest x WHERE NOT EXISTS (SELECT 1 FROM phrases y WHERE y.lang = x.lang AND y.k > x.k AND 100 * y.a >= 80 * x.a AND contains(' ' || y.phrase || ' ', ' ' || x.phrase || ' '))),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM free)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL where it can express the rows: by brute force, for tables of the size of its check."""
-    return {"op8_minhash_near_dup": NEAR_DUP_SQL, "op9_embedding_near_dup": EMBED_DUP_SQL}
+    return {"op8_minhash_near_dup": NEAR_DUP_SQL, "op9_embedding_near_dup": EMBED_DUP_SQL, "op11_hard_negatives": HARD_NEGATIVES_SQL, "op12_source_mix": MIX_SQL, "op13_collocations": COLLOCATIONS_SQL}

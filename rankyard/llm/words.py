@@ -66,12 +66,10 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return found[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of all words of a column, one row after another, and how many each row has."""
-    data, offsets = text_bytes(texts)
-    if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
-    inside = ~_SPACE[data]
+def spans(data: np.ndarray, offsets: np.ndarray, white: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the words of rows begin in their bytes and their sizes, and how many each row has. white: by byte, whether it
+    parts words."""
+    inside = ~white[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     heads = offsets[:-1]
@@ -81,7 +79,20 @@ def hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     counts = np.diff(np.searchsorted(begin, offsets))
     last = inside
     last[:-1] &= ~inside[1:] | first[1:]
-    size = np.nonzero(last)[0] + 1 - begin
+    return begin, np.nonzero(last)[0] + 1 - begin, counts
+
+
+def hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words of a column, one row after another, and how many each row has."""
+    data, offsets = text_bytes(texts)
+    if not len(data):
+        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+    begin, size, counts = spans(data, offsets)
+    return span_hashes(data, begin, size), counts
+
+
+def span_hashes(data: np.ndarray, begin: np.ndarray, size: np.ndarray, value: np.ndarray = _VALUE) -> np.ndarray:
+    """The hashes of words in bytes. value: by byte, its value, 0 for what parts words."""
     out = np.empty(len(begin), np.uint64)
     long = np.nonzero(size > LONG)[0]
     end = begin + np.where(size > LONG, 1, size)
@@ -90,12 +101,12 @@ def hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         while at < len(begin):
             to = max(at + 1, int(np.searchsorted(end, begin[at] + SPAN, side="right")))
             heads = begin[at:to] - begin[at]
-            value = _VALUE[data[begin[at] : end[to - 1]]]
-            value *= _POWER[: len(value)]
-            # White space counts 0; the inverse power of its place makes a word's hash the same everywhere.
-            out[at:to] = mixed(np.add.reduceat(value, heads) * _INVERSE[heads] ^ (size[at:to].astype(np.uint64) * GOLD))
+            part = value[data[begin[at] : end[to - 1]]]
+            part *= _POWER[: len(part)]
+            # What parts words counts 0; the inverse power of its place makes a word's hash the same everywhere.
+            out[at:to] = mixed(np.add.reduceat(part, heads) * _INVERSE[heads] ^ (size[at:to].astype(np.uint64) * GOLD))
             at = to
     for k in long.tolist():
         word = data[begin[k] : begin[k] + size[k]].tobytes().lower()
         out[k] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-    return out, counts
+    return out
