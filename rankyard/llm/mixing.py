@@ -33,11 +33,11 @@ BROADCAST_ROWS = 200_000
 RANGE = 20_000
 
 
-def exponential(seed: int, key: Column, quality: Column) -> Column:
-    """An exponential number for a text key, divided by the quality."""
+def exponential(seed: int, key: Column) -> Column:
+    """An exponential number for a text key."""
     # 13 hexadecimal digits are 52 bits, which a double holds together with the half.
     digits = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key)), 1, 13), 16, 10).cast("double")
-    return -F.log((digits + 0.5) / float(1 << 52)) / quality
+    return -F.log((digits + 0.5) / float(1 << 52))
 
 
 def targets(sources: DataFrame, weights: Sequence[int], most: int) -> DataFrame:
@@ -60,15 +60,23 @@ def targets(sources: DataFrame, weights: Sequence[int], most: int) -> DataFrame:
     return level.select("source", "source_size", "place", target.alias("target"))
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), most: int = 3, quality: str | None = None, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """id, size, source_size, target, taken, copies of every row: taken words are the size times the copies."""
+def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), most: int = 3, quality: DataFrame | None = None, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """id, size, source_size, target, taken, copies of every row: taken words are the size times the copies.
+
+    quality has the id and the quality of documents (the greatest of an id counts); others have 1. It is joined when
+    texts have become sizes, so no text is shuffled.
+    """
     spark = docs.sparkSession
     size = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long")
-    worth = F.col(quality).cast("double") if quality else F.lit(1.0)
-    worth = F.when((worth > 0) & (worth < float("inf")), worth).otherwise(F.lit(1.0))
     # The text's digest is taken only where it is needed.
     key = F.when(F.col(id_col).isNotNull(), F.col(id_col).cast("string")).otherwise(F.md5(F.coalesce(F.col(text_col), F.lit(""))))
-    sized = written(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), exponential(seed, key, worth).alias("key"), worth.alias("worth")), "sized")
+    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), exponential(seed, key).alias("key"))
+    if quality is not None:
+        by_id = quality.groupBy(F.col(id_col).alias("id")).agg(F.max(F.col("quality").cast("double")).alias("worth"))
+        sized = sized.join(by_id, "id", "left")
+    worth = F.col("worth") if quality is not None else F.lit(1.0)
+    worth = F.when((worth > 0) & (worth < float("inf")), worth).otherwise(F.lit(1.0))
+    sized = written(sized.withColumn("worth", worth).withColumn("key", F.col("key") / F.col("worth")), "sized")
     by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     aims = written(targets(by_source, weights, most), "targets")
     rows, least = sized.agg(F.count("*"), F.coalesce(F.min("worth"), F.lit(1.0))).first()

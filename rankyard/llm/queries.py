@@ -68,10 +68,9 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents labelled good weigh 2 and those labelled bad 0.5 in the draw."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    worth = F.when(F.col("quality") == 1, 2.0).when(F.col("quality") == 0, 0.5).otherwise(1.0)
-    mixed = mixing.mix(docs.join(labels, "doc_id", "left").withColumn("worth", worth), weights=(5, 2, 1), most=3, quality="worth")
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    quality = labels.select("doc_id", F.when(F.col("quality") == 1, 2.0).when(F.col("quality") == 0, 0.5).otherwise(1.0).alias("quality"))
+    mixed = mixing.mix(docs, weights=(5, 2, 1), most=3, quality=quality)
     return mixed.withColumn("target", F.round("target", 6))
 
 
@@ -113,8 +112,8 @@ negatives AS (SELECT p.*, s.id AS negative_id, s.score AS negative_score, row_nu
 SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM negatives WHERE rank <= 5"""
 
 #: The limits that hold are found by taking sources in order of their limit for a unit of weight.
-MIX_SQL = """WITH sized AS (SELECT d.doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, CASE q WHEN 1 THEN 2.0::DOUBLE WHEN 0 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS worth
-  FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS q FROM labels GROUP BY 1) USING (doc_id)),
+MIX_SQL = """WITH sized AS (SELECT d.doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, coalesce(q, 1.0)::DOUBLE AS worth
+  FROM documents d LEFT JOIN (SELECT doc_id, max(CASE quality WHEN 1 THEN 2.0 WHEN 0 THEN 0.5 ELSE 1.0 END) AS q FROM labels GROUP BY 1) USING (doc_id)),
 keyed AS (SELECT *, -ln((('0x' || md5('42:' || doc_id)[1:13])::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE) / worth AS key FROM sized),
 sources AS (SELECT source, sum(size)::BIGINT AS source_size, ([5, 2, 1])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM sized GROUP BY 1),
 shares AS (SELECT *, 3 * source_size AS most, sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest, sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weights FROM sources WINDOW o AS (ORDER BY 3 * source_size / weight, source NULLS LAST)),

@@ -103,7 +103,8 @@ def mix_rows(spark, n=400, seed=1):
 
 def test_mix_comes_near_its_targets_and_takes_epochs_first(spark):
     docs = mix_rows(spark)
-    got = mixing.mix(docs, quality="worth").collect()
+    quality = docs.select("doc_id", F.col("worth").alias("quality"))
+    got = mixing.mix(docs, quality=quality).collect()
     source = {(r.doc_id, len((r.text or "").split())): r.source for r in docs.collect()}
     by = defaultdict(list)
     for r in got:
@@ -117,13 +118,13 @@ def test_mix_comes_near_its_targets_and_takes_epochs_first(spark):
         assert abs(sum(r.taken for r in rows) - float(aims[s])) <= max(r.size for r in rows) / 2 + 1
         epochs = int(aims[s] // sizes[s]) if sizes[s] else 0
         assert all(r.taken == r.size * r.copies and (r.size == 0 or epochs <= r.copies <= epochs + 1) and r.taken <= 3 * r.size for r in rows)
-    again = mixing.mix(docs.repartition(2), quality="worth").collect()
+    again = mixing.mix(docs.repartition(2), quality=quality.repartition(3)).collect()
     assert sorted(map(str, again)) == sorted(map(str, got))
 
 
 def test_mix_prefers_documents_of_high_quality(spark):
     docs = spark.createDataFrame([(k, "w " * 10, "a" if k % 2 else "b", 5.0 if k % 4 < 2 else 1.0) for k in range(4000)], "doc_id long, text string, source string, worth double")
-    got = mixing.mix(docs, weights=(1, 9), quality="worth").collect()
+    got = mixing.mix(docs, weights=(1, 9), quality=docs.select("doc_id", F.col("worth").alias("quality"))).collect()
     a = [r for r in got if r.doc_id % 2]
     good, bad = (sum(r.taken > 0 for r in a if (r.doc_id % 4 < 2) == x) for x in (True, False))
     assert abs(sum(r.taken for r in a) - 4000) <= 5 and good > 2.5 * bad
