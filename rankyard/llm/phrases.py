@@ -8,8 +8,8 @@ Most runs are rare, and to shuffle them all as text would take some 20 times the
 every run is counted by a hash of 24 bits in one of many buckets, in arrays of counters; what several runs share can only
 be counted too high. A bitmap of fixed size then says which hashes reach the least count: it is the same for any input,
 only less selective the larger that is, and a run that reaches the least count always passes. Then the runs that pass
-become rows, counted by batch before they are shuffled, and those below the least count go: all further steps
-are exact. Parts of a counted phrase occur at least as often as it does, so all counts that are needed are there.
+are counted as texts: by each task, then in groups of a hash, where those below the least count go. What is left are the
+rows of all further steps, which are exact. Parts of a counted phrase occur at least as often as it does, so all counts that are needed are there.
 
 Defined results: a null text is empty; a null language is "und", as the text "und" is; a run of more than
 BYTES bytes without a piece's end is one piece all the same; repeated rows count each time; no rows give no rows;
@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -34,11 +35,11 @@ from .words import _VALUE, GOLD, mixed, span_hashes, spans
 ENDS, GAPS = b".,;:!?\x0a\x0b\x0c\x0d", b"\x20\x09"
 UNKNOWN = "und"
 #: Bytes of text that are taken at once.
-BYTES = 4 << 20
+BYTES = 2 << 20
 #: Runs whose hashes are held at once, bits of a hash in its bucket, bytes of text for a bucket, bits of the bitmap.
-HELD, LOW, SHARE, FILTER = 4_000_000, 24, 4 << 20, 1 << 28
+HELD, LOW, SHARE, FILTER = 3_000_000, 24, 4 << 20, 1 << 28
 #: Different runs that a task counts before it hands them on.
-KEPT = 400_000
+KEPT = 300_000
 
 _END, _WHITE = np.zeros(256, bool), np.zeros(256, bool)
 _END[list(ENDS)] = True
@@ -220,9 +221,17 @@ class Counted:
         for column, x in zip(self.rows, (*row, times)):
             column.append(x)
 
-    def batch(self) -> pa.RecordBatch:
-        kinds = (pa.string(), pa.int32(), pa.string(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(self.rows, kinds)], ["lang", "words", "phrase", "f"])
+    def batch(self, buckets: int) -> pa.RecordBatch:
+        """One row a bucket, of lists."""
+        bucket = np.array([0 if isinstance(h, str) else h >> (64 - buckets.bit_length() + 1) for h in self.at], np.int32)
+        order = np.argsort(bucket, kind="stable")
+        begin = np.nonzero(np.diff(bucket[order], prepend=-1))[0]
+        at = pa.array(np.append(begin, len(order)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(at, pa.array(x, t).take(pa.array(order))) for x, t in zip(self.rows, _KINDS)]
+        return pa.RecordBatch.from_arrays([pa.array(bucket[order[begin]]), *lists], ["bucket", *_COLUMNS])
+
+
+_COLUMNS, _KINDS = ("lang", "words", "phrase", "f"), (pa.string(), pa.int32(), pa.string(), pa.int64())
 
 
 def counted(docs: DataFrame, least: int = 30, max_words: int = 4, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -240,12 +249,19 @@ def counted(docs: DataFrame, least: int = 30, max_words: int = 4, text_col: str
             if runs.hashes:
                 held.add(runs, bitmap.value)
             if len(held.at) > KEPT:
-                yield held.batch()
+                yield held.batch(buckets)
                 held = Counted()
-        yield held.batch()
+        if held.at:
+            yield held.batch(buckets)
+
+    def add(key, table):
+        rows = pa.table({c: pa.chunked_array([x.flatten() for x in table[c].chunks], t) for c, t in zip(_COLUMNS, _KINDS)})
+        sums = rows.group_by(list(_COLUMNS[:3]), use_threads=False).aggregate([("f", "sum")])
+        sums = sums.select(["lang", "words", "phrase", "f_sum"]).rename_columns(list(_COLUMNS))
+        return sums.filter((pc.field("f") >= least) | (pc.field("words") == 0))
 
-    rows = texts.mapInArrow(explode, "lang string, words int, phrase string, f bigint")
-    return rows.groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f")).where((F.col("f") >= least) | (F.col("words") == 0))
+    lists = texts.mapInArrow(explode, "bucket int, lang array<string>, words array<int>, phrase array<string>, f array<bigint>")
+    return lists.groupBy("bucket").applyInArrow(add, "lang string, words int, phrase string, f bigint")
 
 
 def scored(counts: DataFrame) -> DataFrame:
