@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankyard.functions.labels import category_of, percent_saved
-from rankyard.operators.summary import ALL, latest, or_zero, share
+from rankyard.operators.medians import same, with_medians
+from rankyard.operators.summary import ALL, latest, mean, or_zero, share
+from rankyard.staging import few
 
 CONTROL, TREATED, ORACLE = "baseline", "full", "oracle"
 MEANS = {"catalog_size": "mean_catalog_size", "input_tokens": "mean_input_tokens", "total_tokens": "mean_total_tokens", "turns": "mean_turns", "dollar_cost": "mean_dollar_cost", "wall_ms": "mean_wall_ms"}
@@ -22,12 +24,15 @@ def passed() -> Column:
 
 
 def macro_average(cells: DataFrame, coarsen: bool = True) -> DataFrame:
-    """Scenario means first, then their means by arm, model, category and pool: every scenario weighs the same."""
+    """Scenario means first, then their means by arm, model, category and pool: every scenario weighs the same.
+
+    Means are sums of decimals, so that no order of summing shows.
+    """
     by = ["arm", "model", "category", "pool_size"]
     named = cells.withColumn("category", category_of(F.col("category"), coarsen))
-    task = F.avg(F.when(F.col("ast_verdict") != "n/a", F.when(F.col("ast_verdict") == "pass", 1.0).otherwise(0.0)))
-    scenario = named.groupBy(*by, "scenario_id").agg(F.avg(F.when(passed(), 1.0).otherwise(0.0)).alias("success_rate"), task.alias("task_rate"), F.count("*").alias("runs"), *(F.avg(c).alias(m) for c, m in MEANS.items()))
-    return scenario.groupBy(*by).agg(F.count("*").alias("scenarios"), F.sum("runs").alias("n"), F.avg("success_rate").alias("success_rate"), F.avg("task_rate").alias("task_completion_rate"), *(F.avg(m).alias(m) for m in MEANS.values()))
+    task = mean(F.when(F.col("ast_verdict") != "n/a", F.when(F.col("ast_verdict") == "pass", 1.0).otherwise(0.0)))
+    scenario = named.groupBy(*by, "scenario_id").agg(mean(F.when(passed(), 1.0).otherwise(0.0)).alias("success_rate"), task.alias("task_rate"), F.count("*").alias("runs"), *(mean(F.col(c)).alias(m) for c, m in MEANS.items()))
+    return scenario.groupBy(*by).agg(F.count("*").alias("scenarios"), F.sum("runs").alias("n"), mean(F.col("success_rate")).alias("success_rate"), mean(F.col("task_rate")).alias("task_completion_rate"), *(mean(F.col(m)).alias(m) for m in MEANS.values()))
 
 
 def savings(averages: DataFrame) -> DataFrame:
@@ -75,26 +80,28 @@ def task_rows(cells: DataFrame, scenarios: DataFrame, arm: str | None = None) ->
 def task_history(rows: DataFrame, bucket: str, roll_up: bool = False) -> DataFrame:
     """One history row for each version, bucket, model and arm, with the bucket "all" if asked for.
 
-    The accuracy of task completion and the recall are null where no row has one.
+    The accuracy of task completion and the recall are null where no row has one. rows is read twice.
     """
     if roll_up:
         rows = rows.withColumn(bucket, F.explode(F.array(F.col(bucket), F.lit(ALL))))
     rate = lambda c: F.avg(F.when(F.col(c).isNotNull(), F.col(c).cast("int")))
-    extra = [F.avg(c).alias(c) for c in ("recall", "precision") if c in rows.columns]
-    return rows.groupBy(F.coalesce("engine_version", F.lit("unknown")).alias("engine_version"), bucket, "model", "arm").agg(
+    extra = [mean(F.col(c)).alias(c) for c in ("recall", "precision") if c in rows.columns]
+    aggregates = [
         latest(F.col("generated_at")).alias("timestamp"),
         F.count("*").alias("scenarios"),
         rate("task_completion_pass").alias("task_completion_accuracy"),
         share(F.col("selection_pass")).alias("selection_accuracy"),
         *extra,
-        or_zero(F.avg("total_tokens")).alias("mean_total_tokens"),
-        or_zero(F.median("wall_ms")).alias("latency_p50_ms"),
-    )
+        or_zero(mean(F.col("total_tokens"))).alias("mean_total_tokens"),
+    ]
+    versioned = rows.withColumn("engine_version", F.coalesce("engine_version", F.lit("unknown")))
+    return with_medians(versioned, ["engine_version", bucket, "model", "arm"], aggregates, {"latency_p50_ms": "wall_ms"})
 
 
 def latest_runs(rows: DataFrame, keys: list[str], stamp: str = "generated_at") -> DataFrame:
-    """All rows of each group that carry its latest time stamp."""
-    return rows.withColumn("_last", F.max(stamp).over(Window.partitionBy(*keys))).where(F.col(stamp) == F.col("_last")).drop("_last")
+    """All rows of each group that carry its latest time stamp: the groups' latest stamps, joined; rows is read twice."""
+    last = rows.groupBy(*keys).agg(F.max(stamp).alias(stamp)).where(F.col(stamp).isNotNull())
+    return same(rows, last, [*keys, stamp])
 
 
 def cell_key(version: Column | None, pool: Column) -> Column:
@@ -171,6 +178,6 @@ def dollar_cost(usage: DataFrame, prices: DataFrame) -> DataFrame:
     """usage with its cost: tokens of four kinds at the model's prices for a million, 0 for unknown models."""
     kinds = ("input", "output", "cached_input", "cache_creation")
     rates = prices.select("model", *(F.col(k).cast("double").alias(f"_{k}") for k in kinds))
-    out = usage.join(F.broadcast(rates), "model", "left")
+    out = usage.join(few(rates), "model", "left")
     total = sum((F.coalesce(F.col(f"{k}_tokens"), F.lit(0)) * F.coalesce(F.col(f"_{k}"), F.lit(0.0)) for k in kinds), F.lit(0.0)) / 1e6
     return out.withColumn("dollar_cost", total).drop(*(f"_{k}" for k in kinds))

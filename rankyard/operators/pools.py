@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankyard.functions import permutation
 from rankyard.functions.labels import seeded_order
 
 
@@ -24,38 +25,37 @@ def _one(rows: DataFrame, key: str, pick, ordinal: str) -> DataFrame:
     return rows.groupBy(key).agg(pick(F.struct(*(c for c in rows.columns if c != key)), F.col(ordinal)).alias("_row")).select(key, "_row.*")
 
 
-def pairs(queries: DataFrame, items: DataFrame, rows: int = 512) -> DataFrame:
-    """Every row of queries beside every row of items, dealt out by (block of queries, block of items).
+def numbered(universe: DataFrame, id_col: str = "item_id") -> DataFrame:
+    """item_id, position: the items in order of three digits of a digest, then id, numbered from 0 without gaps.
 
-    A block has about so many rows; the numbers of blocks come from the row counts, so neither side is held whole.
+    Rows are numbered within their 4096 groups of a digest, and the groups by their counts, so no task sorts all.
     """
-    count = lambda df, name: df.agg(F.ceil(F.greatest(F.count("*"), F.lit(1)) / rows).alias(name))
-    # One row.
-    counts = F.broadcast(count(queries, "_qs").crossJoin(count(items, "_is")))
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
-    one = lambda df, n: F.pmod(F.xxhash64(*df.columns), F.col(n))
-    asked = queries.crossJoin(counts).select(*queries.columns, one(queries, "_qs").alias("_q"), every("_is").alias("_i"))
-    known = items.crossJoin(counts).select(*items.columns, one(items, "_is").alias("_i"), every("_qs").alias("_q"))
-    # A number of partitions that is given is kept however small the shuffled sides are: the pairs are the work.
-    tasks = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return asked.repartition(tasks, "_q", "_i").join(known.repartition(tasks, "_q", "_i"), ["_q", "_i"]).drop("_q", "_i")
+    placed = universe.select(id_col, F.substring(F.md5(F.col(id_col).cast("string")), 1, 3).alias("_group"))
+    # At most 4096 rows.
+    counts = placed.groupBy("_group").agg(F.count("*").alias("_n"))
+    starts = counts.select("_group", (F.sum("_n").over(Window.orderBy("_group")) - F.col("_n")).alias("_start"))
+    within = F.row_number().over(Window.partitionBy("_group").orderBy(id_col)) - 1
+    return placed.withColumn("_within", within).join(F.broadcast(starts), "_group").select(id_col, (F.col("_start") + F.col("_within")).alias("position"))
 
 
 def pools(own: DataFrame, universe: DataFrame, sizes: Sequence[int], seed: int) -> DataFrame:
     """query_id, pool_size, item_id, ordinal: the own items of every scenario, then distractors up to each size.
 
-    own has (query_id, item_id, position). Distractors are the universe's items other than the own, in an order that
-    scenario and seed fix; own items always stay, so a pool can be larger than its size, and a universe that runs out
-    makes it smaller. Every scenario meets the universe once, in pairs of blocks, whatever the number of sizes, and only
-    the first max(sizes) items of each leave their task.
+    own has (query_id, item_id, position), universe distinct item_ids. Distractors are the universe's items other than the
+    own, in an order that scenario and seed fix; own items always stay, so a pool can be larger than its size, and a
+    universe that runs out makes it smaller. A scenario computes the positions of its first max(sizes) items in its own
+    permutation of the numbered universe and fetches them by a join: no scenario meets the whole universe.
     """
     scenarios, sizes = own.groupBy("query_id").agg(F.count("*").alias("n_own")), pool_sizes(sizes)
     most = sizes[-1]
-    order = Window.partitionBy("query_id").orderBy("draw", "item_id")
-    drawn = pairs(scenarios, universe.select("item_id")).withColumn("draw", seeded_order(seed, F.col("query_id"), F.col("item_id")))
+    # One row.
+    total = universe.agg(F.count("*").alias("_n"))
+    asked = scenarios.where(F.col("n_own") < most).crossJoin(F.broadcast(total))
     # Among the first max(sizes) items, own ones too, are the max(sizes) - n_own distractors that a pool can take.
-    drawn = drawn.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= most)
-    drawn = drawn.join(own.select("query_id", "item_id"), ["query_id", "item_id"], "left_anti").withColumn("rn", F.row_number().over(order))
+    places = permutation.first_positions(permutation.keys(seed, F.col("query_id")), F.least("_n", F.lit(most)), F.col("_n"))
+    drawn = asked.select("query_id", "n_own", F.posexplode(places).alias("draw", "position"))
+    drawn = drawn.join(numbered(universe.select("item_id")), "position").join(own.select("query_id", "item_id"), ["query_id", "item_id"], "left_anti")
+    drawn = drawn.withColumn("rn", F.row_number().over(Window.partitionBy("query_id").orderBy("draw")))
     targets = F.explode(F.array(*(F.lit(s) for s in sizes))).alias("pool_size")
     distractors = drawn.where(F.col("rn") + F.col("n_own") <= most).select("query_id", "item_id", (F.col("n_own") + F.col("rn")).alias("ordinal"), targets).where("ordinal <= pool_size")
     mine = own.withColumn("ordinal", F.row_number().over(Window.partitionBy("query_id").orderBy("position", "item_id")))
@@ -77,14 +77,23 @@ def pool_sizes(sizes: Sequence[int]) -> list[int]:
     return out
 
 
-def resolved_gold(gold: DataFrame, pool: DataFrame, key: str = "query_id") -> DataFrame:
-    """The rows of pool (key, item_id, name, description) for the gold items (key, item_id, position) of every scenario,
-    numbered in gold order; an item that its scenario's pool lacks gets a row that says so."""
-    found = gold.join(pool.select(key, "item_id", "name", "description"), [key, "item_id"], "left")
+def resolved_gold(gold: DataFrame, pool: DataFrame, key: str = "query_id", missing: str = "synthesize") -> DataFrame:
+    """The rows of pool (key, item_id, name, description, and input_schema if it has one) for the gold items (key, item_id, position) of every scenario,
+    numbered in gold order.
+
+    missing: what becomes of an item that its scenario's pool lacks. "synthesize" gives it a row that says so, "drop" leaves
+    it out, and the others are numbered without it. A pooled item keeps what it has, nulls too.
+    """
+    if missing not in ("synthesize", "drop"):
+        raise ValueError(f"unknown way {missing!r} with missing items: synthesize or drop")
+    columns = [c for c in ("name", "description", "input_schema") if c in pool.columns]
+    known = pool.select(key, "item_id", *columns, F.lit(True).alias("_pooled"))
+    found = gold.join(known, [key, "item_id"], "inner" if missing == "drop" else "left")
     item = F.col("item_id").cast("string")
     lacking = F.concat(F.lit("gold tool "), item, F.lit(" (synthesized: not in candidate_pool)"))  # fixed wording
     order = Window.partitionBy(key).orderBy("position", "item_id")
-    return found.select(key, F.row_number().over(order).alias("ordinal"), "item_id", F.coalesce("name", item).alias("name"), F.coalesce("description", lacking).alias("description"))
+    made = {"name": item, "description": lacking, "input_schema": F.lit("{}")}
+    return found.select(key, F.row_number().over(order).alias("ordinal"), "item_id", *(F.when(F.col("_pooled"), F.col(c)).otherwise(made[c]).alias(c) for c in columns))
 
 
 def gold_complete(rows: DataFrame, gold: str = "gold", pool: str = "pool_ids") -> DataFrame:

@@ -1,19 +1,31 @@
 """Rankers: BM25 over all items or within pools, dense cosine, reciprocal-rank fusion.
 
-All return rows (query id, item id, score, rank), best first, ties by item id; items of score 0 or less are not ranked.
+All return rows (query id, item id, score, rank), best first, ties by item id; items of score 0 or less are not ranked by
+BM25. A retriever is a function (queries, items, k) of tables with id, text and vector; methods are registered by name.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankyard.functions.labels import tokens
-from rankyard.operators.pools import pairs
+from rankyard.operators.registry import Registry
+from rankyard.staging import few, written
 
 K1, B, RRF = 1.2, 0.75, 60
+#: Postings of a term up to which one task holds it, and postings of a block.
+SEGMENT, BLOCK = 1 << 16, 128
+#: More than the rounding of scores and the order of summing can change.
+SLACK = 1e-6
+#: The term that marks an item in its postings: tokens are never empty.
+MARK = ""
 
 
 def idf(items: Column, frequency: Column) -> Column:
@@ -21,18 +33,20 @@ def idf(items: Column, frequency: Column) -> Column:
     return F.log(1 + (items - frequency + 0.5) / (frequency + 0.5))
 
 
-def term_counts(items: DataFrame, id_col: str, text_col: str, unicode: bool = False) -> DataFrame:
-    """id, term, tf, length of every term of every item; items without terms have no row."""
-    words = items.select(F.col(id_col).alias("item_id"), tokens(F.col(text_col), unicode).alias("words"))
-    words = words.select("item_id", F.size("words").alias("length"), F.explode("words").alias("term"))
-    return words.groupBy("item_id", "length", "term").agg(F.count("*").alias("tf"))
-
-
 def query_terms(queries: DataFrame, id_col: str, text_col: str, unicode: bool = False) -> DataFrame:
     """query_id, term: the different terms of every query."""
     return queries.select(F.col(id_col).alias("query_id"), F.explode(F.array_distinct(tokens(F.col(text_col), unicode))).alias("term"))
 
 
+def postings(items: DataFrame, terms: DataFrame, id_col: str, text_col: str, unicode: bool = False) -> DataFrame:
+    """item_id, length, term, tf of the given terms in every item, from one reading of the texts, and one row of the term
+    MARK for every item. Other words leave with the semi-join, before anything is shuffled where the terms are few."""
+    wanted = terms.select("term").distinct().unionByName(terms.sparkSession.range(1).select(F.lit(MARK).alias("term")))
+    words = items.select(F.col(id_col).alias("item_id"), F.coalesce(tokens(F.col(text_col), unicode), F.array().cast("array<string>")).alias("words"))
+    split = words.select("item_id", F.size("words").alias("length"), F.explode(F.concat("words", F.array(F.lit(MARK)))).alias("term"))
+    return split.join(wanted, "term", "left_semi").groupBy("item_id", "length", "term").agg(F.count("*").alias("tf"))
+
+
 def top(scored: DataFrame, k: int, by: Sequence[str] = ("query_id",), digits: int | None = 9) -> DataFrame:
     """The k best rows of each query with their rank; scores are compared as rounded, so summing order cannot matter."""
     score = F.round("score", digits) if digits is not None else F.col("score")
@@ -40,68 +54,137 @@ def top(scored: DataFrame, k: int, by: Sequence[str] = ("query_id",), digits: in
     return scored.withColumn("score", score).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _impact(k1: float, b: float) -> Column:
+    """What a term adds to the score of an item."""
+    return F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
+
+
+def impacts(found: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+    """term, item_id, impact, segment, segments, from postings: a term has as many segments as its postings need."""
+    # One row.
+    totals = found.where(F.col("term") == MARK).agg(F.count("*").alias("items"), (F.sum("length") / F.count("*")).alias("mean_length"))
+    hits = found.where(F.col("term") != MARK)
+    frequency = written(hits.groupBy("term").agg(F.count("*").alias("df")), "frequency")
+    segments = F.ceil(F.col("df") / SEGMENT).cast("int")
+    weighed = frequency.crossJoin(F.broadcast(totals)).select("term", idf(F.col("items"), F.col("df")).alias("idf"), "mean_length", segments.alias("segments"))
+    out = hits.join(few(weighed, frequency.count()), "term").withColumn("impact", _impact(k1, b))
+    return out.select("term", "item_id", "impact", F.pmod(F.xxhash64("item_id"), "segments").cast("int").alias("segment"), "segments")
+
+
+def impact_blocks(weighed: DataFrame) -> DataFrame:
+    """term, segment, segments, block, most, entries: every segment's postings by falling impact, BLOCK in a block, with the
+    block's greatest impact."""
+    order = Window.partitionBy("term", "segment").orderBy(F.desc("impact"), "item_id")
+    blocked = weighed.withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK).cast("int"))
+    entries = F.collect_list(F.struct("item_id", "impact")).alias("entries")  # BLOCK of them
+    return blocked.groupBy("term", "segment", "segments", "block").agg(F.max("impact").alias("most"), entries)
+
+
+def candidates(terms: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
+    """query_id, item_id: all items that can be among the k best of a query, and some others (MaxScore; Turtle and Flood, 1995).
+
+    The k-th best sum over the first blocks is a lower bound of the k-th best score. An item that has only terms whose
+    greatest impacts sum to less cannot reach it: the others are the query's essential terms. Of their blocks count those
+    whose greatest impact, with the greatest of all the query's other terms, reaches the bound.
+    """
+    heads = blocks.where("block = 0")
+    first = terms.join(heads.select("term", F.explode("entries").alias("e")), "term")
+    partial = first.groupBy("query_id", "e.item_id").agg(F.sum("e.impact").alias("score"))
+    ranked = top(partial, k, digits=None)
+    bound = ranked.where(F.col("rank") == k).select("query_id", (F.col("score") - SLACK).alias("bound"))
+    greatest = heads.groupBy("term").agg(F.max("most").alias("greatest"), F.first("segments").alias("segments"))
+    query, rising = Window.partitionBy("query_id"), Window.partitionBy("query_id").orderBy("greatest", "term")
+    weighed = terms.join(greatest, "term").join(bound, "query_id", "left").withColumn("bound", F.coalesce("bound", F.lit(0.0)))
+    weighed = weighed.withColumns({"upto": F.sum("greatest").over(rising), "all": F.sum("greatest").over(query)})
+    essential = weighed.where(F.col("upto") >= F.col("bound")).withColumn("need", F.col("bound") - (F.col("all") - F.col("greatest")) - SLACK)
+    asked = essential.select("query_id", "term", "need", F.explode(F.sequence(F.lit(0), F.col("segments") - 1)).alias("segment"))
+    found = asked.join(blocks, ["term", "segment"]).where(F.col("most") >= F.col("need"))
+    return found.select("query_id", "need", F.explode("entries").alias("e")).where(F.col("e.impact") >= F.col("need")).select("query_id", "e.item_id").distinct()
+
+
 def bm25(queries: DataFrame, items: DataFrame, k: int, query_cols=("id", "text"), item_cols=("id", "text"), k1: float = K1, b: float = B, unicode: bool = False) -> DataFrame:
     """The k best of all items for every query: query_id, item_id, score, rank.
 
-    Only terms that some query has are counted: an item's other words leave with the semi-join, so the shuffles carry
-    postings of query terms.
+    Postings of the queries' terms are written once. Only the candidates that blocks and bounds leave are scored, by a
+    join on item and term; a frequent term is spread over segments, so it is in no one task.
     """
     terms = query_terms(queries, *query_cols, unicode)
-    words = items.select(F.col(item_cols[0]).alias("item_id"), tokens(F.col(item_cols[1]), unicode).alias("words")).where(F.size("words") > 0)
-    # The number of items counts those without terms; the mean length is over all.
-    size = items.agg(F.count("*").alias("items"))
-    length = words.agg(F.sum(F.size("words")).alias("total"))
-    split = words.select("item_id", F.size("words").alias("length"), F.explode("words").alias("term"))
-    postings = split.join(terms.select("term").distinct(), "term", "left_semi").groupBy("item_id", "length", "term").agg(F.count("*").alias("tf"))
-    frequency = postings.groupBy("term").agg(F.count("*").alias("df"))
-    # One row each.
-    totals = size.crossJoin(length).select("items", (F.col("total") / F.col("items")).alias("mean_length"))
-    weighed = frequency.crossJoin(F.broadcast(totals)).select("term", idf(F.col("items"), F.col("df")).alias("idf"), "mean_length")
-    hits = terms.join(weighed, "term").join(postings, "term")
-    return top(_scored(hits, ["query_id", "item_id"], k1, b), k)
-
-
-def _scored(hits: DataFrame, by: list[str], k1: float, b: float) -> DataFrame:
-    share = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
-    return hits.groupBy(*by).agg(F.sum(share).alias("score")).where("score > 0")
+    found = written(postings(items, terms, *item_cols, unicode), "postings")
+    weighed = written(impacts(found, k1, b), "impacts")
+    blocks = written(impact_blocks(weighed), "blocks")
+    some = candidates(terms, blocks, k)
+    hits = some.join(terms, "query_id").join(weighed.select("item_id", "term", "impact"), ["item_id", "term"])
+    return top(hits.groupBy("query_id", "item_id").agg(F.sum("impact").alias("score")).where("score > 0"), k)
 
 
 def bm25_in_pools(queries: DataFrame, pools: DataFrame, items: DataFrame, k: int, query_cols=("id", "text"), item_cols=("id", "text"), k1: float = K1, b: float = B) -> DataFrame:
     """The k best items of every pool: query_id, pool_size, item_id, score, rank.
 
-    pools has (query_id, pool_size, item_id). Numbers of items, frequencies and mean lengths are the pool's own.
+    pools has (query_id, pool_size, item_id). Numbers of items, frequencies and mean lengths are the pool's own. A
+    query's item is looked up once, whatever the number of its pools that hold it.
     """
-    counts = term_counts(items, *item_cols)
-    lengths = counts.groupBy("item_id").agg(F.first("length").alias("length"))
     by = ["query_id", "pool_size"]
-    sizes = pools.join(lengths, "item_id", "left").groupBy(*by).agg(F.count("*").alias("items"), F.avg(F.coalesce("length", F.lit(0))).alias("mean_length"))
     terms = query_terms(queries, *query_cols)
-    postings = terms.join(counts.join(terms.select("term").distinct(), "term", "left_semi"), "term").join(pools, ["query_id", "item_id"])
-    frequency = postings.groupBy(*by, "term").agg(F.count("*").alias("df"))
+    found = written(postings(items, terms, *item_cols), "postings")
+    lengths = found.where(F.col("term") == MARK).select("item_id", "length")
+    sizes = pools.join(lengths, "item_id", "left").groupBy(*by).agg(F.count("*").alias("items"), F.avg(F.coalesce("length", F.lit(0))).alias("mean_length"))
+    members = pools.groupBy("query_id", "item_id").agg(F.collect_set("pool_size").alias("sizes"))  # as many as there are sizes
+    hits = members.join(terms, "query_id").join(found, ["item_id", "term"]).select("query_id", F.explode("sizes").alias("pool_size"), "item_id", "term", "tf", "length")
+    frequency = hits.groupBy(*by, "term").agg(F.count("*").alias("df"))
     weighed = frequency.join(sizes, by).withColumn("idf", idf(F.col("items"), F.col("df"))).select(*by, "term", "idf", "mean_length")
-    hits = postings.join(weighed, [*by, "term"])
-    return top(_scored(hits, [*by, "item_id"], k1, b), k, by)
+    scored = hits.join(weighed, [*by, "term"]).groupBy(*by, "item_id").agg(F.sum(_impact(k1, b)).alias("score"))
+    return top(scored.where("score > 0"), k, by)
 
 
-def cosine(x: Column, y: Column) -> Column:
-    """The cosine of two arrays in double precision."""
+def _directed(vector: Column) -> Column:
+    """The vector where it has a direction: null for null and zero vectors and those with null or non-finite components."""
+    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return F.when(F.coalesce(finite & F.exists(vector, lambda x: x != 0), F.lit(False)), vector.cast("array<double>"))
 
-    def dot(a: Column, c: Column) -> Column:
-        return F.aggregate(F.zip_with(a, c, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
-    return dot(x, y) / F.sqrt(dot(x, x) * dot(y, y))
+def _unit(rows: np.ndarray) -> np.ndarray:
+    rows = rows / np.abs(rows).max(1, keepdims=True)
+    return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
-def dense(queries: DataFrame, items: DataFrame, k: int, query_cols=("id", "vector"), item_cols=("id", "vector"), rows: int = 512) -> DataFrame:
+def dense(queries: DataFrame, items: DataFrame, k: int, query_cols=("id", "vector"), item_cols=("id", "vector"), query_rows: int = 512, item_rows: int = 8192) -> DataFrame:
     """The k items of largest cosine for every query, the query itself left out: query_id, item_id, score, rank.
 
-    A stated set of queries against all items, in pairs of blocks of about so many rows of each: the work is dealt out by
-    pair, and each task keeps the k best of its rows before they are shuffled.
+    A stated set of queries against all items: both are dealt into blocks, every pair of blocks is one matrix product, and
+    each task keeps the k best of its rows. Vectors that have no direction (null, zero, with null or non-finite
+    components) are not ranked and rank nothing; vectors of different length do not meet.
     """
-    asked = queries.select(F.col(query_cols[0]).alias("query_id"), F.col(query_cols[1]).alias("q"))
-    known = items.select(F.col(item_cols[0]).alias("item_id"), F.col(item_cols[1]).alias("x"))
-    scored = pairs(asked, known, rows).where("item_id <> query_id").select("query_id", "item_id", cosine(F.col("q"), F.col("x")).alias("score"))
-    return top(scored, k)
+    asked = queries.select(F.col(query_cols[0]).alias("id"), _directed(F.col(query_cols[1])).alias("v")).where("v IS NOT NULL")
+    known = items.select(F.col(item_cols[0]).alias("id"), _directed(F.col(item_cols[1])).alias("v")).where("v IS NOT NULL")
+    query_id, item_id = asked.schema["id"].dataType, known.schema["id"].dataType
+    high, wide = max(1, math.ceil(asked.count() / query_rows)), max(1, math.ceil(known.count() / item_rows))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    place = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    left = asked.select(F.size("v").alias("dim"), place(high).alias("i"), every(wide).alias("j"), F.col("id").alias("query_id"), F.lit(None).cast(item_id).alias("item_id"), "v")
+    right = known.select(F.size("v").alias("dim"), every(high).alias("i"), place(wide).alias("j"), F.lit(None).cast(query_id).alias("query_id"), F.col("id").alias("item_id"), "v")
+
+    def multiply(key, table):
+        asks = np.asarray(table["query_id"].is_valid())
+        # Ascending ids, so that the first of equal scores is the smaller one.
+        order = np.asarray(pc.sort_indices(table["item_id"]))
+        order = order[~asks[order]]
+        rows = table["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(asks), -1)
+        q, names, others = np.nonzero(asks)[0], table["query_id"].to_pylist(), table["item_id"].to_pylist()
+        out = ([], [], [])
+        if len(q) and len(order):
+            scores = np.round(_unit(rows[q]) @ _unit(rows[order]).T, 9)
+            for r, line in zip(q.tolist(), scores):
+                # One more than k, for the query itself may be among them.
+                least = np.partition(line, len(line) - k - 1)[len(line) - k - 1] if len(line) > k + 1 else -2.0
+                some = np.nonzero(line >= least)[0]
+                some = some[np.argsort(-line[some], kind="stable")[: k + 1]]
+                best = [(others[order[c]], float(line[c])) for c in some.tolist() if others[order[c]] != names[r]][:k]
+                for column, values in zip(out, ([names[r]] * len(best), *zip(*best)) if best else ()):
+                    column += values
+        return pa.table({"query_id": pa.array(out[0], table.schema.field("query_id").type), "item_id": pa.array(out[1], table.schema.field("item_id").type), "score": pa.array(out[2], pa.float64())})
+
+    kinds = f"query_id {query_id.simpleString()}, item_id {item_id.simpleString()}, score double"
+    return top(left.unionByName(right).groupBy("dim", "i", "j").applyInArrow(multiply, kinds), k)
 
 
 def fused(rankings: Sequence[DataFrame], k: int, constant: int = RRF) -> DataFrame:
@@ -112,9 +195,18 @@ def fused(rankings: Sequence[DataFrame], k: int, constant: int = RRF) -> DataFra
     return top(every.groupBy("query_id", "item_id").agg(F.sum(1.0 / (constant + F.col("rank"))).alias("score")), k)
 
 
-def retriever(method: str):
-    """The ranker of a method name: bm25, semantic or hybrid (a function of rankings)."""
-    known = {"bm25": bm25, "semantic": dense, "hybrid": fused}
-    if method not in known:
-        raise ValueError(f"unknown method {method!r}: one of {', '.join(known)}")
-    return known[method]
+def hybrid(queries: DataFrame, items: DataFrame, k: int, depth: int | None = None) -> DataFrame:
+    """BM25 and cosine, fused: of each the depth best count (k by default)."""
+    return fused([bm25(queries, items, depth or k), dense(queries, items, depth or k)], k)
+
+
+Retriever = Callable[[DataFrame, DataFrame, int], DataFrame]
+retrievers: Registry[Retriever] = Registry("method")
+retrievers.add("bm25", bm25)
+retrievers.add("semantic", dense)
+retrievers.add("hybrid", hybrid)
+
+
+def retriever(method: str) -> Retriever:
+    """The ranker of a method name: a function (queries, items, k)."""
+    return retrievers[method]

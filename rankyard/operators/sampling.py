@@ -28,7 +28,8 @@ def stratified(rows: DataFrame, n: int, seed: int, by: str, id_col: str = "id")
     # One row for each group.
     named = groups.withColumns({"place": F.row_number().over(Window.orderBy(by)), "groups": F.count("*").over(Window.partitionBy())})
     quota = named.select(by, F.expr(f"{n} div groups + CASE WHEN place <= {n} % groups THEN 1 ELSE 0 END").alias("quota"))
-    return _drawn(rows, by, seed, id_col).join(F.broadcast(quota), by).where("draw <= quota").drop("draw", "quota")
+    # No quota is above n: with that literal bound, tasks keep the first n of each group before they are shuffled.
+    return _drawn(rows, by, seed, id_col).where(F.col("draw") <= n).join(F.broadcast(quota), by).where("draw <= quota").drop("draw", "quota")
 
 
 def round_robin(rows: DataFrame, n: int, seed: int, by: str, id_col: str = "id") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from rankyard.functions.labels import tokens
+from rankyard.staging import written
 
 GRAM = 8
 
@@ -24,39 +25,27 @@ def scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """query_id, item_id: documents with the first GRAM tokens of a benchmark item in a row, by a join of such runs."""
-    asked = scenarios(spark, sf_dir).select(F.col("id").alias("query_id"), tokens(F.col("text")).alias("t")).where(F.size("t") >= GRAM)
-    asked = asked.select("query_id", F.array_join(F.slice("t", 1, GRAM), " ").alias("run"))
-    runs = F.expr(f"transform(sequence(1, size(t) - {GRAM - 1}), i -> array_join(slice(t, i, {GRAM}), ' '))")
-    found = items(spark, sf_dir).select(F.col("id").alias("item_id"), tokens(F.col("text")).alias("t")).where(F.size("t") >= GRAM)
-    return found.select("item_id", F.explode(runs).alias("run")).join(asked, "run").select("query_id", "item_id").distinct()
-
-
-def whole_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """query_id, item_id: documents with all tokens of a benchmark item in a row, whatever its length.
 
-    Candidates share the item's first run of GRAM tokens, or the whole of a shorter item; the texts of both then decide.
+    Candidates share the hash of the item's first run of GRAM tokens, or of the whole of a shorter item; the texts of both
+    then decide. The links are written: queries read them several times.
     """
     spaced = lambda t: F.concat(F.lit(" "), F.array_join(t, " "), F.lit(" "))
     asked = scenarios(spark, sf_dir).select(F.col("id").alias("query_id"), tokens(F.col("text")).alias("t")).where(F.size("t") > 0)
-    asked = asked.select("query_id", F.array_join(F.slice("t", 1, GRAM), " ").alias("run"), F.least(F.size("t"), F.lit(GRAM)).alias("n"), spaced(F.col("t")).alias("whole"))
+    asked = asked.select("query_id", F.xxhash64(F.slice("t", 1, GRAM)).alias("run"), F.least(F.size("t"), F.lit(GRAM)).alias("n"), spaced(F.col("t")).alias("whole"))
     # One row, of at most GRAM lengths.
     lengths = F.broadcast(asked.agg(F.collect_set("n").alias("lengths")))
     found = items(spark, sf_dir).select(F.col("id").alias("item_id"), tokens(F.col("text")).alias("t"))
     split = found.crossJoin(lengths).select("item_id", "t", F.explode("lengths").alias("n")).where("size(t) >= n")
-    split = split.select("item_id", "n", F.explode(F.expr("array_distinct(transform(sequence(1, size(t) - n + 1), i -> array_join(slice(t, i, n), ' ')))")).alias("run"))
+    split = split.select("item_id", "n", F.explode(F.expr("transform(sequence(1, size(t) - n + 1), i -> xxhash64(slice(t, i, n)))")).alias("run"))
     candidates = split.join(asked, ["n", "run"]).select("query_id", "item_id", "whole").distinct()
-    return candidates.join(found.select("item_id", spaced(F.col("t")).alias("text")), "item_id").where("contains(text, whole)").select("query_id", "item_id").distinct()
+    links = candidates.join(found.select("item_id", spaced(F.col("t")).alias("text")), "item_id").where("contains(text, whole)")
+    return written(links.select("query_id", "item_id").distinct(), "gold")
 
 
 ITEMS_SQL = "items AS (SELECT doc_id AS id, text, lang, source FROM documents)"
 SCENARIOS_SQL = "scenarios AS (SELECT item_id AS id, text FROM benchmark)"
-GOLD_SQL = f"""
-asked AS (SELECT id AS query_id, array_to_string(t[1:{GRAM}], ' ') AS run FROM (SELECT id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM scenarios) WHERE len(t) >= {GRAM}),
-runs AS (SELECT id AS item_id, unnest(list_transform(range(1, len(t) - {GRAM - 2}), lambda i: array_to_string(t[i:i + {GRAM - 1}], ' '))) AS run FROM (SELECT id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM items) WHERE len(t) >= {GRAM}),
-gold AS (SELECT DISTINCT query_id, item_id FROM asked JOIN runs USING (run))"""
-
-WHOLE_GOLD_SQL = """
+GOLD_SQL = """
 asked AS (SELECT id AS query_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM scenarios),
 spaced AS (SELECT id AS item_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ') || ' ' AS whole FROM items),
 gold AS (SELECT DISTINCT query_id, item_id FROM asked JOIN spaced ON len(t) > 0 AND contains(whole, ' ' || array_to_string(t, ' ') || ' '))"""

@@ -14,10 +14,10 @@ from rankyard.streaming import rollups
 _CELLS = f"WITH {A.CELLS_SQL}"
 _MEAN_NAMES = {"catalog_size": "mean_catalog_size", "input_tokens": "mean_input_tokens", "total_tokens": "mean_total_tokens", "turns": "mean_turns", "dollar_cost": "mean_dollar_cost", "wall_ms": "mean_wall_ms"}
 _AVERAGES = f"""
-per_scenario AS (SELECT arm, model, 'bfcl' AS category, pool_size, scenario_id, avg(CASE WHEN programmatic_verdict = 'pass' OR judge_verdict = 'pass' THEN 1.0 ELSE 0.0 END) AS success_rate,
-  avg(CASE WHEN ast_verdict <> 'n/a' THEN (ast_verdict = 'pass')::INT END) AS task_rate, count(*) AS runs, {', '.join(f'avg({c}) AS {m}' for c, m in _MEAN_NAMES.items())} FROM cells GROUP BY arm, model, pool_size, scenario_id),
-averages AS (SELECT arm, model, category, pool_size, count(*) AS scenarios, sum(runs)::BIGINT AS n, avg(success_rate) AS success_rate, avg(task_rate) AS task_completion_rate, {', '.join(f'avg({m}) AS {m}' for m in _MEAN_NAMES.values())} FROM per_scenario GROUP BY ALL)"""
-_ROUNDED = ", ".join(f"round({m}, 6) AS {m}" for m in ("success_rate", "task_completion_rate", *_MEAN_NAMES.values()))
+per_scenario AS (SELECT arm, model, 'bfcl' AS category, pool_size, scenario_id, avg((programmatic_verdict = 'pass' OR judge_verdict = 'pass')::INT) AS success_rate,
+  avg(CASE WHEN ast_verdict <> 'n/a' THEN (ast_verdict = 'pass')::INT END) AS task_rate, count(*) AS runs, {', '.join(f'avg({c}::DECIMAL(28,12)) AS {m}' for c, m in _MEAN_NAMES.items())} FROM cells GROUP BY arm, model, pool_size, scenario_id),
+averages AS (SELECT arm, model, category, pool_size, count(*) AS scenarios, sum(runs)::BIGINT AS n, avg(success_rate::DECIMAL(28,12)) AS success_rate, avg(task_rate::DECIMAL(28,12)) AS task_completion_rate, {', '.join(f'avg({m}::DECIMAL(28,12)) AS {m}' for m in _MEAN_NAMES.values())} FROM per_scenario GROUP BY ALL)"""
+_ROUNDED = ", ".join(f"round({m}::DECIMAL(28,12), 6)::DOUBLE AS {m}" for m in ("success_rate", "task_completion_rate", *_MEAN_NAMES.values()))
 
 
 @query(f"{_CELLS}, {_AVERAGES} SELECT arm, model, category, pool_size, scenarios, n, {_ROUNDED} FROM averages")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rankyard.functions import permutation
 from rankyard.operators import metrics, pools, ranking, sampling, summary
 from rankyard.plans import adapters as A
-from rankyard.plans.registry import ORACLES, query
+from rankyard.plans.registry import query
+from rankyard.staging import written
 
 KS = (1, 3, 5, 10)
 SIZES = (30, 150, 600)
@@ -23,7 +25,7 @@ idf AS (SELECT term, ln(1 + ((SELECT items FROM totals) - count(*) + 0.5) / (cou
 scored AS (SELECT query_id, item_id, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / (SELECT mean_length FROM totals)))), 9) AS score
   FROM terms JOIN idf USING (term) JOIN counts USING (term) JOIN lengths USING (item_id) GROUP BY ALL),
 ranking AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM scored WHERE score > 0) WHERE rank <= 10)"""
-_BASE = f"WITH {A.ITEMS_SQL}, {A.SCENARIOS_SQL}"
+_BASE = f"WITH RECURSIVE {A.ITEMS_SQL}, {A.SCENARIOS_SQL}"
 
 
 def _metrics(by: str, scenarios: str, ranking: str, gold: str, ks: str, sdk: bool = False) -> str:
@@ -73,41 +75,47 @@ _GLOBAL = f"{_BASE}, {_BM25}, {A.GOLD_SQL}, asked_ids AS (SELECT id AS query_id
 
 
 @query(f"{_GLOBAL}, {_metrics('query_id', 'asked_ids', 'ranking', 'gold', '[1, 3, 5, 10]')} SELECT query_id, {_SHOWN} FROM metric")
-def bm25_metrics_at_ks(spark, sf_dir, gold=A.gold):
-    return shown(metrics.at_ks(_asked(spark, sf_dir), _bm25(spark, sf_dir), gold(spark, sf_dir), KS), "query_id")
+def bm25_metrics_at_ks(spark, sf_dir):
+    return shown(metrics.at_ks(_asked(spark, sf_dir), _bm25(spark, sf_dir), A.gold(spark, sf_dir), KS), "query_id")
 
 
 @query(f"{_GLOBAL}, {_metrics('query_id', 'asked_ids', 'ranking', 'gold', '[1, 3, 5, 10]', sdk=True)} SELECT query_id, {_SHOWN} FROM metric")
-def bm25_metrics_sdk_variant(spark, sf_dir, gold=A.gold):
-    return shown(metrics.at_ks(_asked(spark, sf_dir), _bm25(spark, sf_dir), gold(spark, sf_dir), KS, variant="sdk"), "query_id")
+def bm25_metrics_sdk_variant(spark, sf_dir):
+    return shown(metrics.at_ks(_asked(spark, sf_dir), _bm25(spark, sf_dir), A.gold(spark, sf_dir), KS, variant="sdk"), "query_id")
+
+
+def _pools_sql(own: str, universe: str, sizes, seed: int) -> str:
+    """Pools of the table own over the items of universe, as common table expressions of DuckDB (under WITH RECURSIVE)."""
+    return f"""
+n_own AS (SELECT query_id, count(*) AS n_own FROM {own} GROUP BY 1),
+numbered AS (SELECT item_id, row_number() OVER (ORDER BY md5(item_id::VARCHAR)[1:3], item_id) - 1 AS position FROM {universe}),
+{permutation.walk_sql(f"(SELECT * FROM n_own WHERE n_own < {max(sizes)})", max(sizes), seed)},
+drawn AS (SELECT query_id, n_own, item_id, row_number() OVER (PARTITION BY query_id ORDER BY draw) AS rn FROM drawn_at JOIN numbered USING (position) JOIN n_own USING (query_id) WHERE NOT EXISTS (SELECT 1 FROM {own} o WHERE o.query_id = drawn_at.query_id AND o.item_id = numbered.item_id)),
+sizes AS (SELECT unnest({list(sizes)}) AS pool_size),
+pools AS (SELECT query_id, pool_size, item_id, n_own + rn AS ordinal FROM drawn CROSS JOIN sizes WHERE n_own + rn <= pool_size
+  UNION ALL SELECT query_id, pool_size, item_id, row_number() OVER (PARTITION BY query_id, pool_size ORDER BY position, item_id) FROM {own} CROSS JOIN sizes)"""
 
 
 _POOLS = f"""
 own AS (SELECT query_id, item_id, item_id AS position FROM gold UNION ALL SELECT id, id, id FROM scenarios WHERE id NOT IN (SELECT query_id FROM gold) AND id IN (SELECT id FROM items)),
-n_own AS (SELECT query_id, count(*) AS n_own FROM own GROUP BY 1),
-drawn AS (SELECT query_id, n_own, i.id AS item_id, row_number() OVER (PARTITION BY query_id ORDER BY md5('{SEED}:' || query_id || ':' || i.id), i.id) AS rn
-  FROM items i CROSS JOIN n_own WHERE NOT EXISTS (SELECT 1 FROM own o WHERE o.query_id = n_own.query_id AND o.item_id = i.id)),
-sizes AS (SELECT unnest([30, 150, 600]) AS pool_size),
-pools AS (SELECT query_id, pool_size, item_id, n_own + rn AS ordinal FROM drawn CROSS JOIN sizes WHERE n_own + rn <= pool_size
-  UNION ALL SELECT query_id, pool_size, item_id, row_number() OVER (PARTITION BY query_id, pool_size ORDER BY position, item_id) FROM own CROSS JOIN sizes)"""
+{_pools_sql("own", "(SELECT id AS item_id FROM items)", SIZES, SEED)}"""
 _POOLED = f"{_BASE}, {A.GOLD_SQL}, {_POOLS}"
 
 
-def _own(spark, sf_dir, gold=A.gold):
+def _own(spark, sf_dir, links):
     """The gold documents of each benchmark item; the document of the same number where there are none."""
-    links = gold(spark, sf_dir)
     rest = _asked(spark, sf_dir).join(links, "query_id", "left_anti").join(A.items(spark, sf_dir).select(F.col("id").alias("query_id")), "query_id", "left_semi")
     return links.unionByName(rest.withColumn("item_id", F.col("query_id"))).withColumn("position", F.col("item_id"))
 
 
-def _pools(spark, sf_dir, gold=A.gold):
+def _pools(spark, sf_dir, links):
     universe = A.items(spark, sf_dir).select(F.col("id").alias("item_id"))
-    return pools.pools(_own(spark, sf_dir, gold), universe, SIZES, SEED)
+    return pools.pools(written(_own(spark, sf_dir, links), "own"), universe, SIZES, SEED)
 
 
 @query(f"{_POOLED} SELECT query_id, pool_size, item_id, ordinal FROM pools")
-def pool_membership_nested(spark, sf_dir, gold=A.gold):
-    return _pools(spark, sf_dir, gold)
+def pool_membership_nested(spark, sf_dir):
+    return _pools(spark, sf_dir, A.gold(spark, sf_dir))
 
 
 _IN_POOLS = f"""{_POSTINGS},
@@ -121,16 +129,17 @@ asked_pools AS (SELECT DISTINCT query_id, pool_size FROM pools)"""
 _POOL_METRICS = f"{_POOLED}, {_IN_POOLS}, {_metrics('query_id, pool_size', 'asked_pools', 'ranking', 'gold', '[1, 3, 5, 10]')}"
 
 
-def pool_metrics(spark, sf_dir, gold=A.gold):
-    """Metric rows of every scenario, pool size and k with pool-local statistics."""
-    members = _pools(spark, sf_dir, gold)
+def pool_metrics(spark, sf_dir):
+    """Metric rows of every scenario, pool size and k with pool-local statistics; pools are written, for they are read three times."""
+    links = A.gold(spark, sf_dir)
+    members = written(_pools(spark, sf_dir, links), "pools")
     ranked = ranking.bm25_in_pools(A.scenarios(spark, sf_dir), members, A.items(spark, sf_dir), max(KS))
-    return metrics.at_ks(members, ranked, gold(spark, sf_dir), KS, by=("query_id", "pool_size"))
+    return metrics.at_ks(members, ranked, links, KS, by=("query_id", "pool_size"))
 
 
 @query(f"{_POOL_METRICS} SELECT query_id, pool_size, {_SHOWN} FROM metric")
-def bm25_pool_local(spark, sf_dir, gold=A.gold):
-    return shown(pool_metrics(spark, sf_dir, gold), "query_id", "pool_size")
+def bm25_pool_local(spark, sf_dir):
+    return shown(pool_metrics(spark, sf_dir), "query_id", "pool_size")
 
 
 _STATS = ", ".join(f"round(avg({c}), 6) AS mean_{n}, round(median({c}), 6) AS median_{n}" for c, n in (("precision_at_k", "precision"), ("recall_at_k", "recall"), ("reciprocal_rank", "mrr"), ("ndcg_at_k", "ndcg")))
@@ -145,10 +154,10 @@ def rounded(df, digits: int = 6):
 SELECT CASE WHEN grouping(bucket) = 1 THEN 'all' ELSE bucket END AS bucket, pool_size, k, count(*) AS n, {_STATS}, round(avg(hit_at_k::INT), 6) AS hit_rate, round(avg(complete_at_k::INT), 6) AS complete_rate, grouping(pool_size) = 1 AS overall
 FROM b GROUP BY GROUPING SETS ((bucket, pool_size, k), (bucket, k), (pool_size, k), (k))"""
 )
-def summary_grouping_sets(spark, sf_dir, gold=A.gold):
+def summary_grouping_sets(spark, sf_dir):
     from rankyard.functions.labels import subset_of
 
-    rows = pool_metrics(spark, sf_dir, gold).withColumn("bucket", subset_of(F.col("gold_count")))
+    rows = pool_metrics(spark, sf_dir).withColumn("bucket", subset_of(F.col("gold_count")))
     return rounded(summary.by_bucket(rows))
 
 
@@ -156,8 +165,8 @@ def summary_grouping_sets(spark, sf_dir, gold=A.gold):
     f"""{_POOL_METRICS}, once AS (SELECT pool_size, query_id, max(gold_score) AS s FROM metric GROUP BY ALL)
 SELECT pool_size, round(coalesce(avg(s), 0), 6) AS mean_gold_score, round(coalesce(median(s), 0), 6) AS median_gold_score, round(coalesce(stddev_pop(s), 0), 6) AS stddev_gold_score, count(s) AS found, count(*) AS scenarios, round(count(s) / count(*), 6) AS coverage FROM once GROUP BY 1"""
 )
-def gold_score_coverage(spark, sf_dir, gold=A.gold):
-    return rounded(summary.gold_scores(pool_metrics(spark, sf_dir, gold), ["pool_size"]))
+def gold_score_coverage(spark, sf_dir):
+    return rounded(summary.gold_scores(pool_metrics(spark, sf_dir), ["pool_size"]))
 
 
 @query(
@@ -166,11 +175,11 @@ p AS (SELECT *, CASE WHEN query_id % 3 = 0 THEN 'sragents' WHEN query_id % 3 = 1
 q AS (SELECT *, unnest(CASE WHEN mode = 'skill' THEN [sub, 'all'] ELSE [sub] END) AS subset FROM p)
 SELECT corpus, subset, mode, k, pool_size, count(*) AS n, {_STATS}, round(avg(complete_at_k::INT), 6) AS complete_set_rate, round(avg(hit_at_k::INT), 6) AS hit_rate, round(avg(complete_at_k::INT), 6) AS complete_rate FROM q GROUP BY ALL"""
 )
-def retrieval_by_corpus(spark, sf_dir, gold=A.gold):
+def retrieval_by_corpus(spark, sf_dir):
     third = F.col("query_id") % 3
     corpus = F.when(third == 0, F.lit("sragents-")).when(third == 1, F.lit("metatool-st-")).otherwise(F.lit("toolret-x-"))
     category = F.when(third == 0, F.concat(F.lit("sragents-d"), (F.col("query_id") % 2).cast("string"))).when(third == 1, F.lit("metatool-single"))
-    rows = pool_metrics(spark, sf_dir, gold).withColumns({"scenario_id": F.concat(corpus, F.col("query_id").cast("string")), "category": category, "target_pool_size": F.col("pool_size")})
+    rows = pool_metrics(spark, sf_dir).withColumns({"scenario_id": F.concat(corpus, F.col("query_id").cast("string")), "category": category, "target_pool_size": F.col("pool_size")})
     return rounded(summary.by_corpus(rows))
 
 
@@ -180,9 +189,9 @@ SELECT 'e1' AS engine_version, type, pool_size, k, count(*) AS n, {_STATS}, roun
 round(coalesce(avg(gold_score), 0), 6) AS mean_similarity, round(coalesce(median(gold_score), 0), 6) AS median_similarity, round(coalesce(stddev_pop(gold_score), 0), 6) AS stddev_similarity, round(count(gold_score) / count(*), 6) AS coverage,
 (SELECT max('2026-01-' || lpad((query_id % 28 + 1)::VARCHAR, 2, '0')) FROM r) AS "timestamp", 'retriever_evaluation' AS source FROM r GROUP BY type, pool_size, k"""
 )
-def retrieval_history(spark, sf_dir, gold=A.gold):
+def retrieval_history(spark, sf_dir):
     kind = F.when(F.col("query_id") % 2 == 0, F.lit("simple")).otherwise(F.lit("multiple"))
-    rows = pool_metrics(spark, sf_dir, gold).withColumns({"scenario_id": F.concat_ws("-", F.lit("bfcl"), kind, F.col("query_id").cast("string")), "target_pool_size": F.col("pool_size"), "engine_version": F.lit("e1"), "generated_at": F.concat(F.lit("2026-01-"), F.lpad((F.col("query_id") % 28 + 1).cast("string"), 2, "0"))})
+    rows = pool_metrics(spark, sf_dir).withColumns({"scenario_id": F.concat_ws("-", F.lit("bfcl"), kind, F.col("query_id").cast("string")), "target_pool_size": F.col("pool_size"), "engine_version": F.lit("e1"), "generated_at": F.concat(F.lit("2026-01-"), F.lpad((F.col("query_id") % 28 + 1).cast("string"), 2, "0"))})
     return rounded(summary.retrieval_history(rows))
 
 
@@ -190,28 +199,11 @@ _SET_SIZES = (5, 20)
 
 
 @query(
-    f"""WITH {A.ORDER_ITEMS_SQL}, few AS (SELECT * FROM order_items WHERE query_id <= 400), n AS (SELECT query_id, count(*) AS n_own FROM few GROUP BY 1),
-u AS (SELECT p_partkey AS item_id FROM part WHERE p_size <= 10), drawn AS (SELECT query_id, n_own, u.item_id, row_number() OVER (PARTITION BY query_id ORDER BY md5('7:' || query_id || ':' || u.item_id), u.item_id) AS rn FROM u CROSS JOIN n WHERE NOT EXISTS (SELECT 1 FROM few s WHERE s.query_id = n.query_id AND s.item_id = u.item_id)),
-z AS (SELECT unnest([5, 20]) AS pool_size)
-SELECT query_id, pool_size, item_id, n_own + rn AS ordinal FROM drawn CROSS JOIN z WHERE n_own + rn <= pool_size
-UNION ALL SELECT query_id, pool_size, item_id, row_number() OVER (PARTITION BY query_id, pool_size ORDER BY position, item_id) FROM few CROSS JOIN z"""
-)
-def pool_own_gold_only(spark, sf_dir):
-    """Pools of the orders numbered up to 400 (a stated set of scenarios) over all small parts."""
-    own = A.order_items(spark, sf_dir).where("query_id <= 400")
-    universe = A.read(spark, sf_dir, "part").where("p_size <= 10").select(F.col("p_partkey").alias("item_id"))
-    return pools.pools(own, universe, _SET_SIZES, 7)
-
-
-@query(
-    f"""WITH {A.ORDER_ITEMS_SQL}, n AS (SELECT query_id, count(*) AS n_own FROM order_items GROUP BY 1),
-drawn AS (SELECT query_id, n_own, u.p_partkey AS item_id, row_number() OVER (PARTITION BY query_id ORDER BY md5('7:' || query_id || ':' || u.p_partkey), u.p_partkey) AS rn FROM part u CROSS JOIN n WHERE NOT EXISTS (SELECT 1 FROM order_items s WHERE s.query_id = n.query_id AND s.item_id = u.p_partkey)),
-z AS (SELECT unnest([5, 20]) AS pool_size)
-SELECT query_id, pool_size, item_id, n_own + rn AS ordinal FROM drawn CROSS JOIN z WHERE n_own + rn <= pool_size
-UNION ALL SELECT query_id, pool_size, item_id, row_number() OVER (PARTITION BY query_id, pool_size ORDER BY position, item_id) FROM order_items CROSS JOIN z"""
+    f"""WITH RECURSIVE {A.ORDER_ITEMS_SQL}, {_pools_sql("order_items", "(SELECT p_partkey AS item_id FROM part)", _SET_SIZES, 7)}
+SELECT query_id, pool_size, item_id, ordinal FROM pools"""
 )
 def pool_own_gold_every_order(spark, sf_dir):
-    """Pools of all orders over all parts: every order meets every part, so quadratic."""
+    """Pools of all orders over all parts, whose own items are the parts of the order."""
     universe = A.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("item_id"))
     return pools.pools(A.order_items(spark, sf_dir), universe, _SET_SIZES, 7)
 
@@ -323,23 +315,9 @@ def catalogue_last_wins(spark, sf_dir):
 lists AS (SELECT query_id, list(item_id ORDER BY rank) AS full_pool, list(item_id ORDER BY rank) FILTER (WHERE rank <= 3) AS short FROM ranking GROUP BY 1)
 SELECT query_id, full_pool, short FROM lists"""
 )
-def candidate_slices(spark, sf_dir, gold=A.gold):
+def candidate_slices(spark, sf_dir):
     """Two slices of one scenario's rows, at the pool's k and at the shortlist's; both are needed."""
-    rows = metrics.at_ks(_asked(spark, sf_dir), _bm25(spark, sf_dir), gold(spark, sf_dir), (3, 10))
+    rows = metrics.at_ks(_asked(spark, sf_dir), _bm25(spark, sf_dir), A.gold(spark, sf_dir), (3, 10))
     ids = lambda k: F.first(F.when(F.col("k") == k, F.transform("retrieved", lambda e: e["id"])), ignorenulls=True)
     both = rows.groupBy("query_id").agg(ids(10).alias("full_pool"), ids(3).alias("short"))
     return both.where("full_pool IS NOT NULL AND short IS NOT NULL AND size(full_pool) > 0")
-
-
-def _with_whole_gold(cut):
-    """The query of the same name and _whole_gold, whose gold holds all of an item's tokens instead of its first ones."""
-
-    def whole(spark, sf_dir):
-        return cut(spark, sf_dir, A.whole_gold)
-
-    whole.__name__ = f"{cut.__name__}_whole_gold"
-    return query(ORACLES[cut.__name__].replace(A.GOLD_SQL, A.WHOLE_GOLD_SQL))(whole)
-
-
-for _cut in (bm25_metrics_at_ks, bm25_metrics_sdk_variant, pool_membership_nested, bm25_pool_local, summary_grouping_sets, gold_score_coverage, retrieval_by_corpus, retrieval_history, candidate_slices):
-    _with_whole_gold(_cut)

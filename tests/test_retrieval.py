@@ -99,19 +99,65 @@ def test_pools_nest_keep_own_and_run_out(spark):
     assert sorted(got) == sorted(pools.pools(own.repartition(3), universe.repartition(7), [1, 5, 100], 42).collect())
 
 
-def test_pools_by_brute_force_whatever_the_blocks(spark):
+def order_of(seed, query, n):
+    """The permutation of 0 ... n - 1, position by position, in plain Python."""
+    import hashlib
+
+    digest = hashlib.md5(f"{seed}:{query}".encode()).hexdigest()
+    keys = [int(digest[7 * k : 7 * k + 7], 16) for k in range(4)]
+    h = next(h for h in range(1, 40) if 4**h >= n)
+    out = []
+    for x in range(n):
+        while True:
+            left, right = x >> h, x % (1 << h)
+            for k in keys:
+                y = (right * 48271 + k) % 2147483647
+                left, right = right, left ^ (y * y % 2147483647 // 8 % (1 << h))
+            x = (left << h) + right
+            if x < n:
+                break
+        out.append(x)
+    return out
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 40, 1000])
+def test_permutations_are_bijections_and_differ(n):
+    orders = {tuple(order_of(7, q, n)) for q in range(20)}
+    assert all(sorted(o) == list(range(n)) for o in orders)
+    assert len(orders) >= min(20, math.factorial(n)) * 0.8 if n > 4 else True
+
+
+def test_every_place_is_taken_about_equally_often(spark):
+    from rankyard.functions import permutation
+
+    rows = spark.range(3000).select(permutation.first_positions(permutation.keys(1, F.col("id")), F.lit(5), F.lit(50)).alias("p"))
+    counts = [r["count"] for r in rows.select(F.explode("p").alias("p")).groupBy("p").count().collect()]
+    assert len(counts) == 50 and all(200 < c < 400 for c in counts)
+
+
+def test_pools_by_brute_force(spark):
     import hashlib
 
     own = spark.createDataFrame([(q, (q * 7 + k) % 40 + 1, k) for q in range(25) for k in range(q % 4 + 1)], "query_id long, item_id long, position int")
     universe = spark.range(1, 41).withColumnRenamed("id", "item_id")
+    places = sorted(range(1, 41), key=lambda i: (hashlib.md5(str(i).encode()).hexdigest()[:3], i))
+    assert {r.item_id: r.position for r in pools.numbered(universe).collect()} == {i: k for k, i in enumerate(places)}
     mine = {q: [r.item_id for r in own.where(f"query_id = {q}").orderBy("position").collect()] for q in range(25)}
     wanted = set()
     for q, first in mine.items():
-        rest = sorted((i for i in range(1, 41) if i not in first), key=lambda i: (hashlib.md5(f"7:{q}:{i}".encode()).hexdigest(), i))
+        rest = [i for i in (places[x] for x in order_of(7, q, 40)) if i not in first]
         wanted |= {(q, size, i, n) for size in (3, 9) for n, i in enumerate(first + rest, 1) if n <= max(size, len(first))}
     found = pools.pools(own, universe, (3, 9), 7)
     assert {tuple(r) for r in found.collect()} == wanted and found.count() == len(wanted)
-    assert {tuple(r) for r in pools.pairs(own.select("query_id").distinct(), universe, rows=4).collect()} == {(q, i) for q in range(25) for i in range(1, 41)}
+    assert pools.pools(own, universe.limit(0), (3, 9), 7).count() == 2 * own.count()
+    assert pools.pools(own.limit(0), universe, (3, 9), 7).count() == 0
+
+
+def test_pools_enumerate_no_pairs(spark):
+    own = spark.createDataFrame([(0, 1, 0)], "query_id long, item_id long, position int")
+    plan = pools.pools(own, spark.range(1000).withColumnRenamed("id", "item_id"), (5,), 7)._jdf.queryExecution().executedPlan().toString()
+    # The one-row count of items is the only table that all scenarios meet.
+    assert plan.count("NestedLoop") + plan.count("CartesianProduct") <= 1
 
 
 def test_every_order_has_pools_that_any_part_can_enter(spark):
@@ -146,20 +192,114 @@ def test_stratified_quotas(spark):
 
 def test_statistics(spark):
     values = spark.createDataFrame([(float(v),) for v in (2, 4, 4, 4, 5, 5, 7, 9)], "x double")
-    got = values.agg(*summary.stats(F.col("x"), "x")).first()
+    got = summary.stats(values, [], "x", "x").first()
     assert (got.mean_x, got.median_x, got.stddev_x) == (5.0, 4.5, 2.0)
-    none = values.limit(0).agg(*summary.stats(F.col("x"), "x")).first()
+    none = summary.stats(values.limit(0), [], "x", "x").first()
     assert (none.mean_x, none.median_x, none.stddev_x) == (0.0, 0.0, 0.0)
 
 
+def test_medians_are_exact(spark):
+    import random
+    import statistics
+
+    from rankyard.operators.medians import medians
+
+    rnd = random.Random(4)
+    draws = {"normal": lambda: rnd.gauss(0, 1), "tail": lambda: rnd.expovariate(1) ** 9, "ties": lambda: float(rnd.randint(-2, 2)), "close": lambda: 1 + rnd.random() * 1e-9, "mixed": lambda: rnd.choice([0.0, -0.0, 5e-324, -1e308, 1e308, float("inf"), 2.5])}
+    rows = [(name if k % 7 else None, n, draw()) for name, draw in draws.items() for n in (1, 2, 3, 10, 401) for k in range(n)]
+    rows += [("nothing", 0, None), (None, 2, None)]
+    df = spark.createDataFrame(rows, "g string, n int, x double").repartition(7)
+    wanted = {}
+    for g, n, x in rows:
+        wanted.setdefault((g, n), []).extend([x] if x is not None else [])
+    found = {(r.g, r.n): r.m for r in medians(df, ["g", "n"], {"m": "x", "twice": "x"}).collect()}
+    assert found == {k: pytest.approx(statistics.median(v), nan_ok=True) for k, v in wanted.items() if v}
+    plan = medians(df, ["g"], {"m": "x"})._jdf.queryExecution().executedPlan().toString()
+    assert "median(" not in plan and "percentile" not in plan
+
+
+def test_ranges_never_fall_as_values_rise(spark):
+    from rankyard.operators.medians import value_range
+
+    values = [float("-inf"), -1e308, -2.0, -1.9999999, -5e-324, -0.0, 0.0, 5e-324, 1e-300, 0.3, 0.30000000000000004, 1.0, 2.0, 1e308, float("inf"), float("nan")]
+    got = [r.r for r in spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, v double").select("k", value_range(F.col("v")).alias("r")).orderBy("k").collect()]
+    assert got == sorted(got) and got[5] == got[6]
+
+
 def test_fusion(spark):
     a = spark.createDataFrame([(0, 1, 1), (0, 2, 2)], "query_id long, item_id long, rank int")
     b = spark.createDataFrame([(0, 2, 1), (0, 3, 2)], "query_id long, item_id long, rank int")
     got = ranking.fused([a, b], 3).orderBy("rank").collect()
     assert [r.item_id for r in got] == [2, 1, 3]
     assert got[0].score == pytest.approx(1 / 62 + 1 / 61, abs=1e-8)
-    with pytest.raises(ValueError):
+
+
+def test_retrievers_share_a_signature(spark, tools):
+    vectors = [[1.0, 0.0], [0.0, 1.0], [1.0, 1.0], None, [0.0, 0.0]]
+    items = spark.createDataFrame([(i, t, v) for (i, t), v in zip(TOOLS, vectors)], "id long, text string, vector array<double>")
+    asked_ = spark.createDataFrame([(100, "table rows", [1.0, 0.1]), (101, "message", None)], "id long, text string, vector array<double>")
+    got = {m: [(r.query_id, r.item_id) for r in ranking.retriever(m)(asked_, items, 2).orderBy("query_id", "rank").collect()] for m in ranking.retrievers}
+    assert got["semantic"] == [(100, 1), (100, 3)]
+    assert got["bm25"] == [(100, 3), (100, 2), (101, 4)]
+    assert set(got["hybrid"]) <= set(got["bm25"]) | set(got["semantic"]) and (101, 4) in got["hybrid"]
+    with pytest.raises(ValueError, match="unknown method 'magic'"):
         ranking.retriever("magic")
+    with pytest.raises(ValueError, match="registered already"):
+        ranking.retrievers.add("bm25", ranking.bm25)
+    with pytest.raises(TypeError):
+        ranking.retrievers.add("broken", None)
+
+
+def test_vectors_without_direction_rank_nothing(spark):
+    odd = [(1, [1.0, 2.0]), (2, [0.0, 0.0]), (3, None), (4, [1.0, None]), (5, [float("nan"), 1.0]), (6, [float("inf"), 1.0]), (7, [1.0, 2.0, 3.0]), (8, [1e200, 2e200]), (9, [])]
+    items = spark.createDataFrame(odd, "id long, vector array<double>")
+    got = ranking.dense(items, items, 5).collect()
+    assert sorted((r.query_id, r.item_id, r.score) for r in got) == [(1, 8, 1.0), (8, 1, 1.0)]
+    assert ranking.dense(items.limit(0), items, 5).collect() == ranking.dense(items, items.limit(0), 5).collect() == []
+
+
+@pytest.mark.parametrize("segment,block,words", [(1 << 16, 128, 30), (7, 2, 30), (20, 3, 400)])
+def test_pruned_bm25_is_that_of_all_postings(spark, monkeypatch, segment, block, words):
+    import random
+
+    rnd = random.Random(words)
+    monkeypatch.setattr(ranking, "SEGMENT", segment)
+    monkeypatch.setattr(ranking, "BLOCK", block)
+    text = lambda n: " ".join(f"w{int(rnd.paretovariate(0.6)) % words}" for _ in range(n))
+    texts = [text(rnd.randint(0, 30)) for _ in range(150)] + [None, ""]
+    asks = [text(rnd.randint(1, 12)) for _ in range(25)] + ["", None]
+    split = [(t or "").split() for t in texts]
+    mean, wanted = sum(map(len, split)) / len(split), []
+    for q, ask in enumerate(asks):
+        scores = {}
+        for t in set((ask or "").split()):
+            df = sum(t in s for s in split)
+            for i, s in enumerate(split):
+                if t in s:
+                    tf = s.count(t)
+                    scores[i] = scores.get(i, 0) + math.log(1 + (len(split) - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(s) / mean))
+        best = sorted(scores, key=lambda i: (-round(scores[i], 9), i))[:4]
+        wanted += [(q, i, round(scores[i], 6), n) for n, i in enumerate(best, 1)]
+    found = ranking.bm25(asked(spark, *asks), spark.createDataFrame(list(enumerate(texts)), "id long, text string"), 4)
+    assert sorted((r.query_id, r.item_id, round(r.score, 6), r["rank"]) for r in found.collect()) == sorted(wanted)
+
+
+def test_bounds_leave_few_candidates(spark):
+    items = spark.createDataFrame([(k, "common " * (k % 5 + 1) + (f"rare{k}" if k % 100 == 0 else "")) for k in range(2000)], "id long, text string")
+    terms = ranking.query_terms(asked(spark, "common rare0 rare100 rare200"), "id", "text")
+    found = ranking.postings(items, terms, "id", "text")
+    blocks = ranking.impact_blocks(ranking.impacts(found))
+    assert 3 <= ranking.candidates(terms, blocks, 3).count() < 100
+
+
+def test_gold_that_the_pool_lacks(spark):
+    gold = spark.createDataFrame([(1, 5, 0), (1, 6, 1), (1, 7, 2)], "query_id long, item_id long, position int")
+    pool = spark.createDataFrame([(1, 5, "five", None, "{}"), (1, 7, None, "seventh", None), (2, 6, "six", "sixth", None)], "query_id long, item_id long, name string, description string, input_schema string")
+    made = [tuple(r)[1:] for r in pools.resolved_gold(gold, pool).orderBy("ordinal").collect()]
+    assert made == [(1, 5, "five", None, "{}"), (2, 6, "6", "gold tool 6 (synthesized: not in candidate_pool)", "{}"), (3, 7, None, "seventh", None)]
+    assert [tuple(r)[1:3] for r in pools.resolved_gold(gold, pool, missing="drop").orderBy("ordinal").collect()] == [(1, 5), (2, 7)]
+    with pytest.raises(ValueError):
+        pools.resolved_gold(gold, pool, missing="guess")
 
 
 def test_gold_holds_the_whole_item_and_short_items_count(spark, tmp_path):
@@ -170,18 +310,10 @@ def test_gold_holds_the_whole_item_and_short_items_count(spark, tmp_path):
     texts = [(1, f"x {long} y"), (2, "one two three four five six seven eight nine"), (3, "two three four five six seven eight nine ten"), (4, "a SHORT item b"), (5, "shorts item short items"), (6, ""), (7, None), (8, f"{long[:-4]} no {long} Short item {long}")]
     spark.createDataFrame(asked, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     spark.createDataFrame([(k, t, "en", "s") for k, t in texts], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
-    found = [tuple(r) for r in adapters.whole_gold(spark, str(tmp_path)).collect()]
+    found = [tuple(r) for r in adapters.gold(spark, str(tmp_path)).collect()]
     assert sorted(found) == [(1, 1), (1, 8), (2, 4), (2, 8)]
 
 
-def test_queries_of_whole_gold_state_it(spark):
-    from rankyard.plans import adapters, catalogue
-
-    whole = [n for n in catalogue.queries() if n.endswith("_whole_gold")]
-    assert len(whole) == 9
-    assert all(adapters.WHOLE_GOLD_SQL in catalogue.oracle_sql()[n] and adapters.GOLD_SQL not in catalogue.oracle_sql()[n] for n in whole)
-
-
 def test_cosines_are_dealt_out_by_block_pairs(spark):
     import numpy as np
 
@@ -192,8 +324,5 @@ def test_cosines_are_dealt_out_by_block_pairs(spark):
     wanted = {(q, int(i), n + 1) for q in range(0, 60, 4) for n, i in enumerate([i for i in np.argsort(-scores[q]) if i != q][:6])}
     asked = items.where("id % 4 = 0")
     for rows in (4, 512):
-        found = ranking.dense(asked, items, 6, rows=rows).collect()
+        found = ranking.dense(asked, items, 6, query_rows=rows, item_rows=2 * rows).collect()
         assert {(r.query_id, r.item_id, r.rank) for r in found} == wanted and len(found) == len(wanted)
-    # 15 queries and 60 items in blocks of 4 are 60 pairs of blocks: every task has some.
-    used = pools.pairs(asked.select("id"), items.select(F.col("id").alias("item_id")), rows=4).select(F.spark_partition_id().alias("p")).distinct()
-    assert used.count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
