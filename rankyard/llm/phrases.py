@@ -222,13 +222,21 @@ class Counted:
             column.append(x)
 
     def batch(self, buckets: int) -> pa.RecordBatch:
-        """One row a bucket, of lists."""
-        bucket = np.array([0 if isinstance(h, str) else h >> (64 - buckets.bit_length() + 1) for h in self.at], np.int32)
-        order = np.argsort(bucket, kind="stable")
-        begin = np.nonzero(np.diff(bucket[order], prepend=-1))[0]
-        at = pa.array(np.append(begin, len(order)).astype(np.int32))
-        lists = [pa.ListArray.from_arrays(at, pa.array(x, t).take(pa.array(order))) for x, t in zip(self.rows, _KINDS)]
-        return pa.RecordBatch.from_arrays([pa.array(bucket[order[begin]]), *lists], ["bucket", *_COLUMNS])
+        """One row a bucket: its runs in order, which compresses them well."""
+        bucket = [0 if isinstance(h, str) else h >> (64 - buckets.bit_length() + 1) for h in self.at]
+        rows = pa.table([pa.array(bucket, pa.int32()), *(pa.array(x, t) for x, t in zip(self.rows, _KINDS))], names=["bucket", *_COLUMNS])
+        rows = rows.take(pc.sort_indices(rows, [(c, "ascending") for c in ("bucket", "lang", "phrase")]))
+        at = rows["bucket"].to_numpy()
+        begin = np.nonzero(np.diff(at, prepend=-1))[0].tolist()
+        blobs = [_stored(rows.slice(a, b - a).drop_columns("bucket")) for a, b in zip(begin, [*begin[1:], len(at)])]
+        return pa.RecordBatch.from_arrays([pa.array(at[begin]), pa.array(blobs, pa.binary())], ["bucket", "runs"])
+
+
+def _stored(rows: pa.Table) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+        stream.write_table(rows.combine_chunks())
+    return out.getvalue().to_pybytes()
 
 
 _COLUMNS, _KINDS = ("lang", "words", "phrase", "f"), (pa.string(), pa.int32(), pa.string(), pa.int64())
@@ -255,13 +263,13 @@ def counted(docs: DataFrame, least: int = 30, max_words: int = 4, text_col: str
             yield held.batch(buckets)
 
     def add(key, table):
-        rows = pa.table({c: pa.chunked_array([x.flatten() for x in table[c].chunks], t) for c, t in zip(_COLUMNS, _KINDS)})
+        rows = pa.concat_tables([pa.ipc.open_stream(x.as_py()).read_all() for x in table["runs"]])
         sums = rows.group_by(list(_COLUMNS[:3]), use_threads=False).aggregate([("f", "sum")])
         sums = sums.select(["lang", "words", "phrase", "f_sum"]).rename_columns(list(_COLUMNS))
         return sums.filter((pc.field("f") >= least) | (pc.field("words") == 0))
 
-    lists = texts.mapInArrow(explode, "bucket int, lang array<string>, words array<int>, phrase array<string>, f array<bigint>")
-    return lists.groupBy("bucket").applyInArrow(add, "lang string, words int, phrase string, f bigint")
+    parts = texts.mapInArrow(explode, "bucket int, runs binary")
+    return parts.groupBy("bucket").applyInArrow(add, "lang string, words int, phrase string, f bigint")
 
 
 def scored(counts: DataFrame) -> DataFrame:
