@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from rankyard.functions import labels
 from rankyard.operators import calls, cells, compare, metrics
+from rankyard.operators import rejudge as rejudging
 from rankyard.plans import adapters as A
 from rankyard.plans.registry import query
 from rankyard.plans.retrieval import rounded
@@ -259,7 +260,11 @@ def stream_sessions(spark, sf_dir):
     return rollups.sessions(A.read(spark, sf_dir, "events"), "30 minutes")
 
 
-@query()
+_VERDICTS = """SELECT conv_id, turn, CASE WHEN role IN ('user', 'assistant') THEN 'pass' ELSE 'fail' END AS verdict, FALSE AS wrong_tool,
+CASE WHEN role IN ('user', 'assistant') THEN []::VARCHAR[] ELSE ['say: ''role''="' || role || '" not in ["User","assistant"]'] END AS arg_mismatches, CASE WHEN role IN ('user', 'assistant') THEN 1.0 ELSE 0.5 END::DOUBLE AS recall FROM conversations"""
+
+
+@query(_VERDICTS)
 def ast_verdicts(spark, sf_dir):
     """Recorded calls of conversations against gold calls that name the role and a text length."""
     from rankyard.functions.arguments import argument_recall, ast_verdict, effective_calls
@@ -272,13 +277,33 @@ def ast_verdicts(spark, sf_dir):
     return out.select("conv_id", "turn", "judged.verdict", "judged.wrong_tool", "judged.arg_mismatches", "recall")
 
 
-@query()
+def _rejudged(spark, sf_dir):
+    """All cells against a table of their scenarios. Scenarios of the type simple have gold calls: area with base 1 (or
+    "one") and any or no unit. What a cell called depends on its turns: another tool for every fifth, else area with the
+    base turns % 2, behind the gateway for every third. The judge passes texts of even length."""
+    c = A.cells(spark, sf_dir)
+    gold = F.when(F.col("scenario_id").startswith("bfcl-simple-"), F.lit('[{"tool": "area", "args": {"base": [1, "one"], "unit": ["", "m"]}}]')).otherwise(F.lit("[]"))
+    scenarios = c.select("scenario_id").distinct().select(F.col("scenario_id").alias("id"), F.lit("p").alias("prompt"), F.lit(None).cast("string").alias("judge_criteria"), gold.alias("gold_calls"))
+    base = F.concat(F.lit('{"base": '), (F.col("turns") % 2).cast("string"), F.lit("}"))
+    call = F.when(F.col("turns") % 5 == 0, F.lit('{"tool_id": "volume", "args": {"base": 1}}'))
+    call = call.when(F.col("turns") % 3 == 0, F.concat(F.lit('{"tool_id": "invoke_tool", "args": {"toolId": "area", "args": '), base, F.lit("}}")))
+    call = call.otherwise(F.concat(F.lit('{"tool_id": "area", "args": '), base, F.lit("}")))
+    stored = c.withColumns({"tool_calls": F.concat(F.lit("["), call, F.lit("]")), "final_text": F.repeat(F.lit("x"), F.col("turns")), "judge_explanation": F.lit(None).cast("string")})
+    judge = lambda prompt, criteria, text, rubric: F.struct(F.when(F.length(text) % 2 == 0, "pass").otherwise("fail").alias("verdict"), F.concat(rubric, F.lit(": "), prompt).alias("explanation"))
+    return rejudging.rejudge(stored, scenarios, judge)
+
+
+_ANEW = """anew AS (SELECT *, scenario_id LIKE 'bfcl-simple-%' AS scored, CASE WHEN scenario_id NOT LIKE 'bfcl-simple-%' THEN ast_verdict WHEN turns % 5 <> 0 AND turns % 2 = 1 THEN 'pass' ELSE 'fail' END AS ast_new,
+  CASE WHEN programmatic_verdict = 'pass' THEN judge_verdict WHEN turns % 2 = 0 THEN 'pass' ELSE 'fail' END AS judge_new FROM cells)"""
+
+
+@query(f"{_CELLS}, {_ANEW} SELECT arm, ast_new AS ast_verdict, judge_new AS judge_verdict, count(*) AS n, count(*) FILTER (WHERE programmatic_verdict <> 'pass') AS explained FROM anew GROUP BY ALL")
 def rejudge(spark, sf_dir):
-    """Cells whose stored verdict is judged anew, with counts of those that changed."""
-    from rankyard.functions.arguments import rejudged
+    """Cells by their new verdicts."""
+    return _rejudged(spark, sf_dir).rows.groupBy("arm", "ast_verdict", "judge_verdict").agg(F.count("*").alias("n"), F.count_if(F.col("judge_explanation") == "strict: p").alias("explained"))
 
-    c = A.cells(spark, sf_dir)
-    gold = F.when(F.col("ast_verdict") != "n/a", F.lit('[{"tool": "t", "args": {"x": [1, "one"]}}]'))
-    made = F.concat(F.lit('[{"tool_id": "t", "args": {"x": '), (F.col("turns") % 2).cast("string"), F.lit("}}]"))
-    out = rejudged(c, gold, made)
-    return out.groupBy("arm", "ast_verdict").agg(F.count("*").alias("n"), F.count_if("changed").alias("changed"))
+
+@query(f"{_CELLS}, {_ANEW} SELECT count(*) AS total, count(*) FILTER (WHERE programmatic_verdict <> 'pass') AS rejudged, count(*) FILTER (WHERE scored) AS ast_scored, count(*) FILTER (WHERE programmatic_verdict = 'pass') AS skipped_pass, count(*) FILTER (WHERE ast_new <> ast_verdict) AS changed FROM anew")
+def rejudge_counters(spark, sf_dir):
+    """What was judged anew, from the pass that wrote it."""
+    return _rejudged(spark, sf_dir).audit
