@@ -277,6 +277,7 @@ def plain_density(node, ratio):
 def test_densities_are_those_of_the_formula(page):
     root = html_text.parse(f"<body>{page}</body>")
     nodes = html_text.measure(root)
+    assert html_text.measure(root) == nodes
     body = next(n for n in nodes if n.tag == "body")
     whole = plain_density(body, 0.0)
     ratio = whole[2] / whole[0] if whole[0] else 0.0
@@ -286,6 +287,79 @@ def test_densities_are_those_of_the_formula(page):
         assert n.total == pytest.approx(sum(plain_density(c, ratio)[4] for c in n.children if not isinstance(c, str) and not c.dropped))
 
 
+ARTICLE = "<h1>The title</h1>" + "".join(f"<p>Paragraph {k} has many plain words in it and no links at all, as articles have.</p>" for k in range(5))
+READERS = [f"I am reader {k} and disagree with every word of this at quite some length." for k in range(40)]
+REFERENCES = "".join(f"<li><a href=x>reference number {k}</a></li>" for k in range(5))
+
+
+@pytest.mark.parametrize(
+    "page,more",
+    [
+        (f"<body><form method=post><nav><a href=x>Home</a></nav><div>{ARTICLE}</div><input value=a><button>Go</button></form></body>", 0),
+        (f"<body><div role=form><div>{ARTICLE}</div></div></body>", 0),
+        (f"<body><form action=x>Search the site <input></form><div>{ARTICLE}</div></body>", 0),
+        (f"<body><article>{ARTICLE}<h2 id=copyright>On copyright</h2><p>more words</p></article></body>", 2),
+        (f"<body><article>{ARTICLE}<section id=search><h2>Search</h2><p>of the section</p></section></article></body>", 2),
+        (f'<body><article>{ARTICLE}<p class="notice">a paragraph of that name</p></article></body>', 1),
+        (f"<body><header>Site</header><div class=post><header><h1>Own title</h1></header>{ARTICLE}</div></body>", 1),
+        (f"<body><header><h1>Site</h1><nav><a href=x>Home</a></nav></header><div>{ARTICLE}</div></body>", 0),
+        (f"<body><article>{ARTICLE}<ul>{REFERENCES}</ul></article></body>", 5),
+        (f"<body><div>{ARTICLE}<h3>References</h3><ul>{REFERENCES}</ul></div></body>", 6),
+        (f"<body><div>{ARTICLE}<ul>{REFERENCES}</ul></div></body>", 0),
+        *((f"<body>{outer}<div class=discussion>" + "".join(form.format(t) for t in READERS) + "</div></body>", 0) for outer in (f"<article>{ARTICLE}</article>", f"<div class=post>{ARTICLE}</div>") for form in ("<div><b>Ann</b><p>{}</p></div>", "<section><span>Ann</span><p>{}</p><a href=x>Answer</a></section>")),
+        (f"<body><div id=page><div>{ARTICLE}</div><ol>" + "".join(f"<li><b>Bob</b><div>{t}</div></li>" for t in READERS) + "</ol></div></body>", 0),
+    ],
+)
+def test_what_an_article_is(page, more):
+    got = html_text.main_text(page).split("\n")
+    assert len(got) == 6 + more and not set(got) & set(READERS) and "Site" not in got, got
+
+
+def plain_choice(root):
+    """The node of the largest sum of its children's densities, the outermost of equal ones, and the path up from it, by
+    plain recursion; boxes named as other parts, and what is in them, neither count nor are chosen."""
+    body = next(c for c in root.children if not isinstance(c, str) and c.tag == "body")
+    whole = plain_density(body, 0.0)
+    ratio = whole[2] / whole[0] if whole[0] else 0.0
+    best = [0.0, None]
+
+    def visit(node):
+        kept = [c for c in node.children if not isinstance(c, str) and not c.dropped]
+        total = sum(plain_density(c, ratio)[4] for c in kept if not c.named)
+        if plain_density(node, ratio)[0] and node.tag not in html_text.PHRASING and (best[1] is None or total > best[0]):
+            best[:] = [total, node]
+        for c in kept:
+            if not c.named:
+                visit(c)
+
+    visit(root)
+    return best[1]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["<p>", "</p>", "<div>", "</div>", "<div class=ad>", "<a href=x>", "</a>", "words of text ", "more of them in a row ", "<ul>", "<li>", "</ul>", "<b>", "</b>", "<nav>menu</nav>"]), max_size=40).map("".join))
+def test_the_choice_is_that_of_plain_recursion(page):
+    root = html_text.parse(f"<body><p>{'a long first paragraph ' * 12}</p>{page}</body>")
+    wanted = plain_choice(root)
+    nodes = html_text.measure(root)
+    best = max((n for n in html_text.unnamed(root, nodes) if n.chars and n.tag not in html_text.PHRASING), key=lambda n: n.total)
+    assert best is wanted or best.total == pytest.approx(wanted.total)
+    # Nothing that is not in the chosen subtree comes out, and all plain paragraphs in it do.
+    article, threshold = html_text.chosen(root)
+    text = html_text.blocks(article, threshold)
+    inside = []
+
+    def paragraphs(node):
+        for c in node.children:
+            if not isinstance(c, str) and not c.dropped and not c.named:
+                if c.tag == "p" and c.chars and not c.link_chars and not any(not isinstance(x, str) for x in c.children):
+                    inside.append(" ".join("".join(c.children).split()))
+                paragraphs(c)
+
+    paragraphs(article)
+    assert not set(inside) - set(text)
+
+
 def test_page_rows(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (2, None, None, "x"), (None, "u", "", "x"), (4, "u", "plain words", "x"), (5, "u", "<p>" * 3000 + "deep" + "<div>" * 3000, "x")], "page_id long, url string, html string, text string")
     got = {r.page_id: r for r in html_text.extract(pages).collect()}
