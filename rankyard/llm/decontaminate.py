@@ -1,6 +1,7 @@
 """Benchmark decontamination: rare word-pair seeds, then Smith-Waterman alignment.
 
-Words are the pieces between white space, lower-cased, without characters that are neither letters nor digits. An item is
+Words are the pieces between white space, lower-cased, without characters that are neither letters nor digits; every
+character of a script that is written without spaces (SCRIPTS) is a word. An item is
 aligned with the words of a document that can belong to it: a match counts 2, a mismatch or a gap -1, and the best local
 alignment divided by that of the item with itself is the similarity. A passage at the threshold t or above is
 contamination; at 0.5, an item with a quarter of its words replaced is found (0.625).
@@ -9,13 +10,15 @@ Seeds are pairs of words at a distance of one or two, in the item and in the doc
 without them: with m matches and e errors, 2 m - e >= 2 t n for an item of n words, so at least t n - 1 times two
 neighbouring matches have one error or none between them, each time from another word of the item. The pairs are counted
 in all documents; an item seeds with its rarer ones, all but those of half of t n - 1 words, and a passage counts where
-as many seeds as are left lie together. Items of more than 1 / t words are covered by this; shorter ones are not looked for.
+as many seeds as are left lie together. Items of more than 1 / t words are covered by this. Of a shorter one, a single
+word of a document would reach the threshold, which says nothing: such items are looked up whole, and a document that
+consists of their words and no others is their copy.
 
 Documents never move: both passes are scans, so neither a frequent pair nor a passage in a third of all rows makes a
 large task. The benchmark is taken in blocks of at most BLOCK words, each broadcast by itself; a benchmark of any size
 is a loop over blocks, and each block's pairs are counted in all documents that were given.
 
-Defined results: null and empty texts, of documents or items, match nothing; so does an item of at most 1 / t words. A
+Defined results: null and empty texts, of documents or items, and items without words match nothing. A
 row is reported for each document row and item; items with equal ids count as one, with the best similarity; item ids
 are integers. Empty tables give no rows. Columns other than those that are named are not read.
 """
@@ -38,6 +41,9 @@ from .words import slices
 #: Distances of two words that make a seed.
 REACH = (1, 2)
 BLOCK = 1_000_000
+#: Scripts without spaces between words.
+SCRIPTS = "Han Hiragana Katakana Thai Lao Khmer Myanmar".split()
+_UNSPACED = "([" + "".join(rf"\p{{{x}}}" for x in SCRIPTS) + "])"
 _HALF = 32
 _OTHER, _NONE = -1, -2
 
@@ -46,6 +52,14 @@ def word(piece: str) -> str:
     return piece.lower() if piece.isalnum() else "".join(c for c in piece.lower() if c.isalnum())
 
 
+def spaced(texts: pa.Array) -> pa.Array:
+    """Texts with spaces around the characters of scripts that have none between words."""
+    some = pc.invert(pc.string_is_ascii(texts))
+    if not pc.any(some).as_py():
+        return texts
+    return pc.replace_with_mask(texts, some, pc.replace_substring_regex(texts.filter(some), _UNSPACED, r" \1 "))
+
+
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
     """The best local alignment's score and the passage's words from and to which it goes (a half-open range)."""
     n = len(passage)
@@ -79,11 +93,15 @@ class Items:
         self.threshold = threshold
         self.vocabulary: dict[str, int] = {}
         self.ids, self.words = [], []
-        for key, text in rows:
-            found = [w for w in map(word, (text or "").split()) if w]
+        #: Ids of items that are looked up whole, by their words.
+        self.whole: dict[tuple[int, ...], list] = {}
+        for (key, _), text in zip(rows, spaced(pa.array([t or "" for _, t in rows], pa.string())).to_pylist()):
+            found = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in map(word, text.split()) if w]
             if len(found) * threshold > 1:
                 self.ids.append(key)
-                self.words.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in found], np.int64))
+                self.words.append(np.array(found, np.int64))
+            elif found:
+                self.whole.setdefault(tuple(found), []).append(key)
         self.size = np.array([len(x) for x in self.words], np.int64)
         #: Words that a passage at the threshold spans at most, and seeds that it has at least.
         self.span = np.ceil(self.size * (3 - 2 * threshold)).astype(np.int64)
@@ -137,7 +155,7 @@ class Items:
     def numbered(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Word numbers of texts, with a gap of other words behind each; where each text begins; the places where a seed
         does, and which."""
-        lists = pc.utf8_split_whitespace(pc.fill_null(texts, ""))
+        lists = pc.utf8_split_whitespace(spaced(pc.fill_null(texts, "")))
         coded = lists.flatten().dictionary_encode()
         number = self.known_words(coded.dictionary)[coded.indices.to_numpy()]
         keep = number != _NONE
@@ -166,8 +184,15 @@ class Items:
         return self.seeds[found], n
 
     def search(self, texts: pa.Array) -> Iterator[tuple[int, int, float, int, int]]:
-        """Text, item, similarity, first word and word after the last, of every passage at the threshold or above."""
+        """Text, item's id, similarity, first word and word after the last, of every passage at the threshold or above."""
         words, begins, places, seeds = self.numbered(texts)
+        if self.whole:
+            sizes = np.diff(np.append(begins, len(words))) - max(REACH)
+            for d in np.nonzero((sizes > 0) & (sizes <= max(map(len, self.whole))))[0].tolist():
+                for key in self.whole.get(tuple(words[begins[d] : begins[d] + sizes[d]].tolist()), ()):
+                    yield d, key, 1.0, 0, int(sizes[d])
+        if not len(self.seeds):
+            return
         key = self.seeds[seeds]
         low, high = np.searchsorted(self.key, key, side="left"), np.searchsorted(self.key, key, side="right")
         many = high - low
@@ -200,7 +225,7 @@ class Items:
                     continue
                 score, i, j = align(self.words[k], passage)
                 if score >= self.threshold * 2 * n:
-                    yield d, k, score / (2 * n), a + i - int(begins[d]), a + j - int(begins[d])
+                    yield d, self.ids[k], score / (2 * n), a + i - int(begins[d]), a + j - int(begins[d])
 
     def shared(self, k: int, passage: np.ndarray) -> int:
         """At most that many words of an item can match."""
@@ -238,7 +263,7 @@ def _rare(docs: DataFrame, items: Items, text_col: str) -> None:
 def _best(items: Items, texts: pa.Array) -> dict[tuple[int, int], tuple]:
     best: dict[tuple[int, int], tuple] = {}
     for d, k, similarity, a, b in items.search(texts):
-        key = (d, items.ids[k])
+        key = (d, k)
         best[key] = max(best.get(key, (0.0,)), (similarity, -a, -b))
     return best
 

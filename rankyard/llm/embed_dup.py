@@ -10,8 +10,8 @@ Equal vectors are one class from the start. A tile pair's task gives sums and a
 pairs, so a group of near copies costs arithmetic and no rows. All pairs of tiles are multiplied: the work grows with
 the square of the number of distinct vectors, as comparing everything with everything does, at 64 products a pair.
 
-Defined results: a vector that is null or zero, or holds null or non-finite components, and a row without id link with
-nothing; vectors of different length do not link; repeated rows link with each other; rows of equal ids and different vectors are
+Defined results: vectors of any finite magnitude link by their directions; a vector that is null or zero, or holds null
+or non-finite components, and a row without id link with nothing; vectors of different length do not link; repeated rows link with each other; rows of equal ids and different vectors are
 linked each by its own vector; columns other than the two that
 are named are not read.
 """
@@ -40,16 +40,21 @@ def usable(vector):
 
 def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """int8 rows, scales and lost lengths of rows, as unit vectors."""
-    top = np.abs(x).max(1, keepdims=True)
-    unit = x / top
+    unit = level(x)
     unit /= np.linalg.norm(unit, axis=1, keepdims=True)
     scale = np.abs(unit).max(1) / 127
     q = np.rint(unit / scale[:, None])
     return q.astype(np.int8), scale, np.linalg.norm(unit - q * scale[:, None], axis=1)
 
 
+def level(x: np.ndarray) -> np.ndarray:
+    """Rows divided by powers of two, so that their largest components lie between 1/2 and 1: cosines stay what they are."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
+
+
 def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Cosines of rows with rows in double precision."""
+    """Cosines of rows with rows in double precision, whatever their magnitudes."""
+    x, y = level(x), level(y)
     return np.einsum("ij,ij->i", x, y) / (np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1))
 
 

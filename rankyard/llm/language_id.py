@@ -4,14 +4,16 @@ For each language a suffix automaton of labelled text accepts every substring of
 greedily into longest matches; the language that needs the fewest phrases, normalised as phrases * log2(length of the
 labelled text) / letters, wins. Texts are lower-cased and every run of other characters than letters counts as one gap.
 
-The automata are fitted on a bounded sample: of each of the most frequent labels (max_labels of them) the
-docs_per_language distinct texts of smallest hash, and of a text longer than chars_per_doc characters four pieces, evenly
-spread, that make as many. All letters of the sample are told apart; a letter that is not in it is a phrase of its own.
+The automata are fitted on a bounded sample: of each label the docs_per_language distinct texts of smallest hash, fewer
+where that many of all labels were more than MOST characters, and of a text longer than chars_per_doc characters four
+pieces, evenly spread, that make as many. Every label has one text at least, up to max_labels of them, the most frequent
+ones. All letters of the sample are told apart; a letter that is not in it is a phrase of its own.
 
 Prediction reads every whole text. A text is cut into segments of SEGMENT characters, so that all segments of a slice
 step through the automata together. A segment is first parsed as if a phrase began there, and then again from the state
 in which the segment before it ends, up to the character where both parses are in the same state; so phrases cross the
-cuts, and where a text is cut changes nothing.
+cuts, and where a text is cut changes nothing. Long texts are taken LONG characters at a time, and languages some at a
+time, so that memory beside the texts themselves is bounded.
 
 Defined results: a null text and a text without letters give "und" with score 0; so do all texts where no labelled
 text is given. A row whose label is null is never learned from. Ties go to the first label in alphabetical order.
@@ -32,6 +34,8 @@ from pyspark.sql.window import Window
 from .words import GOLD, slices
 
 SEGMENT = 512
+#: Characters of a text that are parsed at once, states of the parsing that are held at once, characters of the sample.
+LONG, HELD, MOST = 1_000_000, 8_000_000, 2_048_000
 PIECES = 4
 #: Groups of partitions that the sample is first taken from.
 GROUPS = 32
@@ -57,8 +61,9 @@ def pieces(text, chars: int):
 def sample(train: DataFrame, docs_per_language: int, chars_per_doc: int, max_labels: int) -> dict[str, list[str]]:
     """Labelled texts by language: pieces of at most docs_per_language of each."""
     labelled = train.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    # At most max_labels rows.
+    # At most max_labels rows; the texts of all are bounded by MOST.
     names = [r.lang for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_labels).collect()]
+    docs_per_language = max(1, min(docs_per_language, MOST // max(1, len(names) * chars_per_doc)))
     labelled = labelled.where(F.col("lang").isin(names)).select("lang", "text", F.xxhash64("text").alias("h"))
     chosen = labelled.select("lang", "h").distinct().withColumn("some", F.spark_partition_id() % GROUPS)
     for by in (["lang", "some"], ["lang"]):  # the first of each group of partitions, then of all
@@ -151,6 +156,18 @@ class Rows:
         return self.values.take(keys)
 
 
+def _parts(text: str, most: int):
+    """A text in parts of at most that many characters, behind spaces where there is one: a letter's lower case may depend
+    on the letters beside it."""
+    begin = 0
+    while len(text) - begin > most:
+        end = text.rfind(" ", begin, begin + most) + 1
+        end = end if end > begin else begin + most
+        yield text[begin:end]
+        begin = end
+    yield text[begin:]
+
+
 class Model:
     """The automata of all languages as one map from a state and a letter to the next state."""
 
@@ -190,6 +207,13 @@ class Model:
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Phrases by text and language, letters and characters by text."""
+        long = [k for k, x in enumerate(texts) if len(x) > LONG]
+        out, letters, size = self._short([x if len(x) <= LONG else "" for x in texts])
+        for k in long:
+            out[k], letters[k], size[k] = self._long(texts[k])
+        return out, letters, size
+
+    def _short(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         lowered = [x.lower() for x in texts]
         sizes = np.array([len(x) for x in lowered], np.int64)
         found = self.classes[np.frombuffer("".join(lowered).encode("utf-32-le", "replace"), "<u4")]
@@ -202,22 +226,44 @@ class Model:
         letters = letters[starts + sizes] - letters[starts]
         begin, size = upto[starts], upto[starts + sizes] - upto[starts]
         codes = found[keep]
-        if not self.names or not len(codes):
-            return np.zeros((len(texts), len(self.names)), np.int64), letters, size
-        lanes = -(-size // SEGMENT)
-        doc = np.repeat(np.arange(len(texts)), lanes)
-        nth = np.arange(len(doc)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
-        at = begin[doc] + nth * SEGMENT
-        left = np.minimum(SEGMENT, size[doc] - nth * SEGMENT)
-        count = self._parse(codes, at, left, nth > 0)
         out = np.zeros((len(texts), len(self.names)), np.int64)
-        np.add.at(out, doc, count.T)
+        if self.names and len(codes):
+            lanes = -(-size // SEGMENT)
+            doc = np.repeat(np.arange(len(texts)), lanes)
+            nth = np.arange(len(doc)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
+            at = begin[doc] + nth * SEGMENT
+            left = np.minimum(SEGMENT, size[doc] - nth * SEGMENT)
+            count, _ = self._parse(codes, at, left, nth > 0, None)
+            np.add.at(out, doc, count.T)
+        return out, letters, size
+
+    def _long(self, text: str) -> tuple[np.ndarray, int, int]:
+        """The same of one text, some of it at a time: the last states of a part are the first ones of the next."""
+        out, letters, size, state, gap = np.zeros(len(self.names), np.int64), 0, 0, None, 0
+        for part in _parts(text, LONG):
+            found = self.classes[np.frombuffer(part.lower().encode("utf-32-le", "replace"), "<u4")]
+            before = np.concatenate([[gap], found[:-1]])
+            codes, gap = found[(found > 0) | (before > 0)], found[-1]
+            letters, size = letters + int((found > 0).sum()), size + len(codes)
+            if self.names and len(codes):
+                at = np.arange(0, len(codes), SEGMENT)
+                goes_on = np.ones(len(at), bool)
+                goes_on[0] = state is not None
+                count, state = self._parse(codes, at, np.minimum(SEGMENT, len(codes) - at), goes_on, state)
+                out += count.sum(1)
         return out, letters, size
 
-    def _parse(self, codes: np.ndarray, at: np.ndarray, left: np.ndarray, goes_on: np.ndarray) -> np.ndarray:
-        """Phrases that begin in each segment, by language. A segment begins at a place in codes and has so many left;
-        those that go on follow the one before them."""
-        roots, n, longest = np.array(self.roots, np.int32), len(at), int(left.max())
+    def _parse(self, codes: np.ndarray, at: np.ndarray, left: np.ndarray, goes_on: np.ndarray, before: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases that begin in each segment, by language, and each language's last state. A segment begins at a place in
+        codes and has so many left; those that go on follow the one before them, the first one the states in before."""
+        roots = np.array(self.roots, np.int32)
+        before = np.full(len(roots), DEAD, np.int32) if before is None else before
+        step = max(1, HELD // (len(at) * int(left.max())))
+        found = [self._parse_some(roots[k : k + step], codes, at, left, goes_on, before[k : k + step]) for k in range(0, len(roots), step)]
+        return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
+
+    def _parse_some(self, roots: np.ndarray, codes: np.ndarray, at: np.ndarray, left: np.ndarray, goes_on: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n, longest = len(at), int(left.max())
         order = np.argsort(-left, kind="stable")
         active = np.searchsorted(-left[order], -np.arange(longest), side="left")
         # Of every step, language and segment (in order of length): the state, and whether a phrase begins.
@@ -236,7 +282,7 @@ class Model:
         lang, lane = (x.ravel() for x in np.meshgrid(np.arange(len(roots)), np.nonzero(goes_on)[0], indexing="ij"))
         while len(lane):
             earlier = lane - 1
-            state = states[left[earlier] - 1, lang, rank[earlier]]
+            state = np.where(earlier < 0, before[lang], states[left[earlier] - 1, lang, rank[earlier]])
             changed = []
             t, own, k, s = 0, lang, lane, state
             while len(k):
@@ -252,7 +298,7 @@ class Model:
             behind = lane + 1
             more = (behind < n) & goes_on[np.minimum(behind, n - 1)]
             lang, lane = lang[more], behind[more]
-        return begins.sum(0)[:, rank]
+        return begins.sum(0)[:, rank], states[left[-1] - 1, np.arange(len(roots)), rank[-1]]
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """The winning label of each text, and its share of the languages' inverse entropies."""
@@ -270,9 +316,9 @@ class Model:
         return names, scores
 
 
-def fit(train: DataFrame, docs_per_language: int = 80, chars_per_doc: int = 400, max_labels: int = 64) -> Model:
-    """The model of labelled rows (text, lang). It takes 64 MB, or some 3 MB for each language if that is more, at the
-    default sample, whatever the size of train."""
+def fit(train: DataFrame, docs_per_language: int = 80, chars_per_doc: int = 400, max_labels: int = 5000) -> Model:
+    """The model of labelled rows (text, lang). It takes 64 MB, or some 3 MB for each language with a full sample, up to
+    64 times that, whatever the size of train."""
     return Model(sample(train, docs_per_language, chars_per_doc, max_labels))
 
 

@@ -97,8 +97,10 @@ SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, d.doc_id =
 
 #: Every two vectors, compared.
 EMBED_DUP_SQL = f"""WITH RECURSIVE vectors AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings),
-unit AS (SELECT id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS v FROM vectors),
-links AS (SELECT x.id AS a, y.id AS b FROM unit x JOIN unit y ON x.id <> y.id WHERE list_dot_product(x.v, y.v) >= 0.95),
+usable AS (SELECT * FROM vectors WHERE v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+level AS (SELECT id, list_transform(v, lambda x: x / list_max(list_transform(v, lambda y: abs(y)))) AS v FROM usable),
+unit AS (SELECT id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS v FROM level),
+links AS (SELECT x.id AS a, y.id AS b FROM unit x JOIN unit y ON x.id <> y.id AND len(x.v) = len(y.v) WHERE list_dot_product(x.v, y.v) >= 0.95),
 nodes AS (SELECT id FROM vectors), {_COMPONENTS}
 SELECT n.id AS vec_id, (SELECT count(*) FROM links WHERE a = n.id) AS n_links, component_id, n.id = component_id AS kept FROM nodes n JOIN named USING (id)"""
 

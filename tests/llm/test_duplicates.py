@@ -181,3 +181,10 @@ def test_vectors(spark, tile):
         assert (got[k].n_links, got[k].component_id, got[k].kept) == (sum(k in l for l in links), root[k], root[k] == k)
     assert (got[None].n_links, got[None].component_id, got[None].kept) == (0, None, True)
     assert embed_dup.near_duplicates(frame.limit(0)).count() == 0
+
+
+def test_vectors_of_any_magnitude_link(spark):
+    base = [0.3, -0.5, 0.8, 0.1]
+    rows = [(k, [x * f for x in base]) for k, f in enumerate((1.0, 1e200, 1e-200, 1e300, 5e-310, -1e250))]
+    got = embed_dup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [*((k, 4, 0) for k in range(5)), (5, 0, 5)]

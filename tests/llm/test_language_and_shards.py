@@ -88,6 +88,28 @@ def test_cuts_of_long_texts_change_nothing():
     assert counts[0, 0] == 1 and counts[1, 2] == 3 and model.predict(texts)[0][:2] == ["x", "z"]
 
 
+@pytest.mark.parametrize("long, held", [(7, 8_000_000), (400, 1), (1_000_000, 1), (50, 3000)])
+def test_parts_of_texts_and_of_languages_change_nothing(long, held):
+    rng = random.Random(5)
+    sample = {name: ["".join(rng.choice(letters) for _ in range(700))] for name, letters in (("x", "aab "), ("y", "abbc "), ("z", "".join(map(chr, range(0x4E00, 0x4E00 + 600)))))}
+    model = language_id.Model(sample)
+    texts = ["".join(rng.choice("abc 漢!?1 ") for _ in range(n)) for n in (0, 1, 7, 8, 300, 5000)] + ["!!! " * 400 + sample["x"][0], "ΑΣ ΑΣΑ" * 300]
+    wanted = model.phrases(texts)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(language_id, "LONG", long)
+        patch.setattr(language_id, "HELD", held)
+        patch.setattr(language_id, "SEGMENT", 64)
+        for got, want in zip(model.phrases(texts), wanted):
+            assert (got == want).all()
+
+
+def test_every_label_can_be_predicted(spark):
+    letters = [chr(0x4E00 + k) for k in range(90)]
+    rows = [(k, (c + letters[k - 1]) * (400 if k else 900), f"l{k:02}") for k, c in enumerate(letters) for _ in range(1 + (k == 0))]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.predict([t for _, t, _ in rows])[0] == [name for _, _, name in rows]
+
+
 def test_long_texts_are_read_whole():
     model = language_id.Model({"x": ["aaaa"], "y": ["bbbb"]})
     names, _ = model.predict(["a" * 600 + "b" * 2000, "a" * 2000 + "b" * 600, None, "12 !"])

@@ -165,6 +165,25 @@ def test_passages_at_the_threshold_have_seeds():
     assert found > 150 and missed > 20
 
 
+def test_items_of_scripts_without_spaces_are_found(spark):
+    rng = random.Random(3)
+    han, thai = ("".join(chr(rng.randrange(a, b)) for _ in range(200)) for a, b in ((0x4E00, 0x9000), (0x0E01, 0x0E2F)))
+    items = [(1, han[:30]), (2, thai[:40]), (3, "かな漢字 mixed with words"), (4, han[50:52])]
+    edited_ = "".join(c for k, c in enumerate(han[:30]) if k % 5)
+    rows = [(0, han[100:]), (1, f"前{han[:30]}後"), (2, f"x {thai[:40]} y"), (3, han[60:100] + edited_), (4, "かな 漢字 mixed, with words!"), (5, thai[50:]), (6, han[50:52]), (7, han[40:60])]
+    got = decontaminate.contamination(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    apart = lambda t: " ".join(t)
+    assert {(r.doc_id, r.item_id): r.similarity for r in got} == {(1, 1): 1.0, (2, 2): 1.0, (3, 1): plain_similarity(apart(han[:30]), apart(edited_)), (4, 3): 1.0, (6, 4): 1.0}
+
+
+def test_items_of_one_or_two_words_are_looked_up_whole(spark):
+    items = spark.createDataFrame([(1, "Yes."), (2, "New York"), (5, "yes"), (3, "?!"), (4, "three words here")], "item_id long, text string")
+    docs = spark.createDataFrame([(0, "yes"), (1, "yes and no"), (2, "  NEW   york!"), (3, "york new"), (4, "in New York"), (5, ""), (6, None), (7, "..."), (8, "three words here")], "doc_id long, text string")
+    got = [(r.doc_id, r.item_id, r.similarity, r.first_word, r.end_word) for r in decontaminate.contamination(docs, items).collect()]
+    assert sorted(got) == [(0, 1, 1.0, 0, 1), (0, 5, 1.0, 0, 1), (2, 2, 1.0, 0, 2), (8, 4, 1.0, 0, 3)]
+    assert {r.doc_id for r in decontaminate.without_copies(docs, items.where("item_id < 3")).collect()} == {1, 3, 4, 5, 6, 7, 8}
+
+
 def test_blocks_of_the_benchmark_give_the_same(spark, monkeypatch):
     larger = SMALL.replace("0.001", "0.01")
     docs, benchmark = (spark.read.parquet(f"{larger}/{t}.parquet") for t in ("documents", "benchmark"))
