@@ -41,6 +41,8 @@ HELD, LOW, SHARE, FILTER = 3_000_000, 24, 4 << 20, 1 << 28
 #: Different runs that a task counts before it hands them on.
 KEPT = 300_000
 
+_COLUMNS, _KINDS = ("lang", "words", "phrase", "f"), (pa.string(), pa.int32(), pa.string(), pa.int64())
+
 _END, _WHITE = np.zeros(256, bool), np.zeros(256, bool)
 _END[list(ENDS)] = True
 _WHITE[list(ENDS + GAPS)] = True
@@ -120,9 +122,11 @@ class Runs:
                 run, start = run[: len(more)][go], more[go]
                 run = mixed(run * GOLD + word[start + n])
 
-    def text(self, word: int, n: int) -> str:
-        b, s, d = self.begin, self.size, self.data
-        return " ".join(d[b[k] : b[k] + s[k]].tobytes().decode() for k in range(word, word + n))
+    def words(self) -> pa.Array:
+        """The words' texts."""
+        inside = ~_WHITE[self.data]
+        at = np.append(0, np.cumsum(self.size)).astype(np.int32)
+        return pa.StringArray.from_buffers(len(self.size), pa.py_buffer(at), pa.py_buffer(self.data[inside]))
 
 
 def _packed(keys: np.ndarray, counts: np.ndarray) -> bytes:
@@ -197,34 +201,49 @@ class Counted:
     """Counts of runs of some blocks, each with its text once."""
 
     def __init__(self):
-        self.at, self.rows = {}, ([], [], [], [])
+        #: Hashes in order, and the number of each one's row; rows are in order of their first block.
+        self.known, self.row = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.f, self.rows = np.zeros(0, np.int64), []
+        self.totals: dict[str, int] = {}
+
+    def __len__(self) -> int:
+        return len(self.known)
 
     def add(self, runs: Runs, bitmap: np.ndarray) -> None:
-        lang, words, phrase, f = self.rows
         for name, n in zip(runs.names, np.bincount(runs.lang, minlength=len(runs.names)).tolist()):
-            self._put(name, n, name, 0, "")
-        for n, (hashes, starts) in enumerate(zip(runs.hashes, runs.starts), 1):
-            some = np.nonzero(passing(hashes, bitmap))[0]
-            found, first, times = np.unique(hashes[some], return_index=True, return_counts=True)
-            for h, t, k in zip(found.tolist(), times.tolist(), starts[some[first]].tolist()):
-                i = self.at.get(h)
-                if i is None:
-                    self._put(h, t, runs.names[runs.lang[k]], n, runs.text(k, n))
-                else:
-                    f[i] += t
-
-    def _put(self, key, times: int, *row) -> None:
-        i = self.at.setdefault(key, len(self.rows[0]))
-        if i < len(self.rows[0]):
-            self.rows[3][i] += times
-            return
-        for column, x in zip(self.rows, (*row, times)):
-            column.append(x)
+            self.totals[name] = self.totals.get(name, 0) + n
+        text, names = runs.words(), pa.array(runs.names, pa.string())
+        hashes, counts, rows = [], [], []
+        for n, (h, starts) in enumerate(zip(runs.hashes, runs.starts), 1):
+            some = np.nonzero(passing(h, bitmap))[0]
+            found, first, times = np.unique(h[some], return_index=True, return_counts=True)
+            at = np.searchsorted(self.known, found)
+            old = np.zeros(len(found), bool)
+            inside = at < len(self.known)
+            old[inside] = self.known[at[inside]] == found[inside]
+            self.f[self.row[at[old]]] += times[old]
+            new = ~old
+            begin = starts[some[first[new]]]
+            phrase = text.take(pa.array(begin))
+            if n > 1:
+                phrase = pc.binary_join_element_wise(*(text.take(pa.array(begin + k)) for k in range(n)), " ")
+            hashes.append(found[new])
+            counts.append(times[new])
+            rows.append(pa.table([names.take(pa.array(runs.lang[begin])), pa.array(np.full(len(begin), n, np.int32)), phrase], names=_COLUMNS[:3]))
+        hashes = np.concatenate(hashes)
+        row = np.append(self.row, len(self.f) + np.arange(len(hashes)))
+        order = np.argsort(np.append(self.known, hashes), kind="stable")
+        self.known, self.row = np.append(self.known, hashes)[order], row[order]
+        self.f = np.append(self.f, np.concatenate(counts))
+        self.rows += rows
 
     def batch(self, buckets: int) -> pa.RecordBatch:
         """One row a bucket: its runs in order, which compresses them well."""
-        bucket = [0 if isinstance(h, str) else h >> (64 - buckets.bit_length() + 1) for h in self.at]
-        rows = pa.table([pa.array(bucket, pa.int32()), *(pa.array(x, t) for x, t in zip(self.rows, _KINDS))], names=["bucket", *_COLUMNS])
+        bucket = np.empty(len(self.f), np.int32)
+        bucket[self.row] = (self.known >> np.uint64(64 - buckets.bit_length() + 1)).astype(np.int32) if buckets > 1 else 0
+        rows = pa.concat_tables(self.rows).append_column("f", pa.array(self.f)).add_column(0, "bucket", pa.array(bucket))
+        totals = pa.table([pa.array([0] * len(self.totals), pa.int32()), *(pa.array(x, t) for x, t in zip((list(self.totals), [0] * len(self.totals), [""] * len(self.totals), list(self.totals.values())), _KINDS))], names=rows.column_names)
+        rows = pa.concat_tables([rows, totals])
         rows = rows.take(pc.sort_indices(rows, [(c, "ascending") for c in ("bucket", "lang", "phrase")]))
         at = rows["bucket"].to_numpy()
         begin = np.nonzero(np.diff(at, prepend=-1))[0].tolist()
@@ -239,9 +258,6 @@ def _stored(rows: pa.Table) -> bytes:
     return out.getvalue().to_pybytes()
 
 
-_COLUMNS, _KINDS = ("lang", "words", "phrase", "f"), (pa.string(), pa.int32(), pa.string(), pa.int64())
-
-
 def counted(docs: DataFrame, least: int = 30, max_words: int = 4, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """lang, words, phrase, f of every run that occurs least times or more; one row of 0 words with the count of all words."""
     spark = docs.sparkSession
@@ -256,10 +272,10 @@ def counted(docs: DataFrame, least: int = 30, max_words: int = 4, text_col: str
             runs = Runs(*block, max_words)
             if runs.hashes:
                 held.add(runs, bitmap.value)
-            if len(held.at) > KEPT:
+            if len(held) > KEPT:
                 yield held.batch(buckets)
                 held = Counted()
-        if held.at:
+        if held.totals:
             yield held.batch(buckets)
 
     def add(key, table):
