@@ -6,17 +6,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankyard.functions.labels import safe_name
+from rankyard.staging import few, written
 
 SEARCH, INVOKE = "search_tools", "invoke_tool"
 
 
-def metered(steps: DataFrame, by: str, tool: str = "tool", step: str = "step") -> DataFrame:
+def canonical(steps: DataFrame, names: DataFrame, tool: str = "tool") -> DataFrame:
+    """steps with the ids of the tools in place of the names under which they were called.
+
+    names has name and id, and columns by which steps are told apart, too, if names mean different tools there (a
+    scenario); it has one row a name. Names that it lacks, as those of the gateway, stay.
+    """
+    on = [c for c in names.columns if c not in ("name", "id")]
+    known = names.select(*on, F.col("name").alias(tool), F.col("id").alias("_id"))
+    return steps.join(few(known), [*on, tool], "left").withColumn(tool, F.coalesce("_id", tool)).select(*steps.columns)
+
+
+def metered(steps: DataFrame, by: str, tool: str = "tool", step: str = "step", names: DataFrame | None = None) -> DataFrame:
     """Token sums, calls (all, different, of the gateway, direct) and turns of every trace, from one row for each call.
 
     steps has input, output, cached_input, cache_creation and total tokens of the step on the row of each of its calls:
     they count once a step. Steps without a call have one row with a null tool. Totals that providers leave out are
-    input + output + cached.
+    input + output + cached. With names, calls count by their tools' ids (canonical()).
     """
+    steps = steps if names is None else canonical(steps, names, tool)
     kinds = [f"{k}_tokens" for k in ("input", "output", "cached_input", "cache_creation", "total")]
     gateway = F.col(tool).isin(SEARCH, INVOKE)
     calls = [F.count(tool).alias("tool_calls_total"), F.count_if(gateway).alias("gateway_calls"), F.count_if(~gateway).alias("non_gateway_calls")]
@@ -39,21 +52,24 @@ def disambiguated(ids: DataFrame, id_col: str = "id") -> DataFrame:
     """id, name, new_id: a safe name for every distinct id, and the id with the same number; in byte order the first claimant keeps it, later ones get _2, _3, ...
 
     A name with a number that some id claims itself moves on to the next free number; those few names are settled in
-    rounds, each a join of the names still open with the names taken.
+    rounds, each a join of the names still open with the names taken. Rounds are written, so that none runs again. An id
+    of which nothing is left is an error.
     """
     order = Window.partitionBy("base").orderBy("id")
-    named = ids.select(F.col(id_col).alias("id")).distinct().withColumn("base", safe_name(F.col("id"))).withColumn("n", F.row_number().over(order))
-    out = named.withColumn("name", F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat_ws("_", "base", F.col("n").cast("string"))))
+    named = ids.select(F.col(id_col).alias("id")).distinct().withColumn("base", safe_name(F.col("id")))
+    named = named.withColumn("_ok", F.assert_true(F.coalesce(F.col("base") != "", F.lit(True)), F.concat(F.lit("no name is left of the id "), F.col("id")))).where("_ok IS NULL").drop("_ok")
+    named = named.withColumn("n", F.row_number().over(order))
+    name = F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat_ws("_", "base", F.col("n").cast("string")))
+    out = named.withColumn("name", name)
     while True:
         owner = Window.partitionBy("name").orderBy(F.col("n") > 1, "id")
-        ranked = out.withColumn("claim", F.row_number().over(owner))
+        ranked = written(out.withColumn("claim", F.row_number().over(owner)), "names")
         if ranked.where("claim > 1").isEmpty():
             renamed = F.when(F.col("n") == 1, F.col("id")).otherwise(F.concat_ws("_", "id", F.col("n").cast("string")))
             return ranked.select(F.col("id").alias(id_col), "name", renamed.alias("new_id"))
         moved = F.col("claim") > 1
         step = F.max("n").over(Window.partitionBy("base")) + F.row_number().over(Window.partitionBy("base", moved).orderBy("id"))
-        ranked = ranked.withColumn("n", F.when(moved, step).otherwise(F.col("n")))
-        out = ranked.withColumn("name", F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat_ws("_", "base", F.col("n").cast("string")))).drop("claim")
+        out = ranked.withColumn("n", F.when(moved, step).otherwise(F.col("n"))).withColumn("name", name).drop("claim")
 
 
 def visible(scenarios: DataFrame, pools: DataFrame, gold: DataFrame, ranking: DataFrame, top_k: int) -> DataFrame:

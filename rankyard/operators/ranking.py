@@ -187,12 +187,41 @@ def dense(queries: DataFrame, items: DataFrame, k: int, query_cols=("id", "vecto
     return top(left.unionByName(right).groupBy("dim", "i", "j").applyInArrow(multiply, kinds), k)
 
 
-def fused(rankings: Sequence[DataFrame], k: int, constant: int = RRF) -> DataFrame:
-    """Reciprocal-rank fusion of rankings of the same queries: query_id, item_id, score, rank."""
-    every = rankings[0].select("query_id", "item_id", "rank")
+def dense_in_pools(queries: DataFrame, pools: DataFrame, items: DataFrame, k: int, query_cols=("id", "vector"), item_cols=("id", "vector")) -> DataFrame:
+    """The k items of largest cosine of every pool: query_id, pool_size, item_id, score, rank; vectors as in dense()."""
+    asked = queries.select(F.col(query_cols[0]).alias("query_id"), _directed(F.col(query_cols[1])).alias("q")).where("q IS NOT NULL")
+    known = items.select(F.col(item_cols[0]).alias("item_id"), _directed(F.col(item_cols[1])).alias("x")).where("x IS NOT NULL")
+    members = pools.groupBy("query_id", "item_id").agg(F.collect_set("pool_size").alias("sizes"))  # as many as there are sizes
+    pairs = members.join(asked, "query_id").join(known, "item_id").where(F.size("q") == F.size("x"))
+
+    def run(batches):
+        for b in batches:
+            if not len(b):
+                continue
+            size = np.asarray(b["q"].value_lengths())
+            begin = np.cumsum(size) - size
+            # Divided by their largest components, so that no square is too large or too small.
+            q, x = (v / np.repeat(np.maximum.reduceat(np.abs(v), begin), size) for v in (b[c].flatten().to_numpy(zero_copy_only=False) for c in ("q", "x")))
+            dot = lambda u, v, at=begin: np.add.reduceat(u * v, at)
+            scores = dot(q, x) / np.sqrt(dot(q, q) * dot(x, x))
+            yield pa.RecordBatch.from_arrays([b["query_id"], b["sizes"], b["item_id"], pa.array(scores, pa.float64())], ["query_id", "sizes", "item_id", "score"])
+
+    kinds = {c: pairs.schema[c].dataType.simpleString() for c in ("query_id", "sizes", "item_id")}
+    scored = pairs.select("query_id", "sizes", "item_id", "q", "x").mapInArrow(run, ", ".join(f"{c} {t}" for c, t in kinds.items()) + ", score double")
+    return top(scored.select("query_id", F.explode("sizes").alias("pool_size"), "item_id", "score"), k, ("query_id", "pool_size"))
+
+
+def fused(rankings: Sequence[DataFrame], k: int, constant: int = RRF, by: Sequence[str] = ("query_id",)) -> DataFrame:
+    """Reciprocal-rank fusion of rankings of the same queries: the columns of by, item_id, score, rank."""
+    every = rankings[0].select(*by, "item_id", "rank")
     for more in rankings[1:]:
-        every = every.unionByName(more.select("query_id", "item_id", "rank"))
-    return top(every.groupBy("query_id", "item_id").agg(F.sum(1.0 / (constant + F.col("rank"))).alias("score")), k)
+        every = every.unionByName(more.select(*by, "item_id", "rank"))
+    return top(every.groupBy(*by, "item_id").agg(F.sum(1.0 / (constant + F.col("rank"))).alias("score")), k, by)
+
+
+def hybrid_in_pools(queries: DataFrame, pools: DataFrame, items: DataFrame, k: int) -> DataFrame:
+    """BM25 and cosine within pools, fused."""
+    return fused([bm25_in_pools(queries, pools, items, k), dense_in_pools(queries, pools, items, k)], k, by=("query_id", "pool_size"))
 
 
 def hybrid(queries: DataFrame, items: DataFrame, k: int, depth: int | None = None) -> DataFrame:

@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankyard.functions.arguments import documented, normalised_schema
+from rankyard.functions.arguments import documented, normalised_schema, normalised_schemas
 from rankyard.functions.labels import flat_prompt, slug, unwrapped
+from rankyard.operators.calls import disambiguated
 from rankyard.operators.pools import last_wins
 
 KEPT = "kept"
@@ -92,8 +93,39 @@ def standard_schemas(items: DataFrame) -> DataFrame:
     return out.withColumn("output_schema", F.coalesce("output_schema", F.lit("{}"))) if "output_schema" in items.columns else out
 
 
+def standard_pools(scenarios: DataFrame) -> DataFrame:
+    """Scenarios with standard type names in the input schemas of their candidate_pool."""
+    found = scenarios.withColumn("_schemas", normalised_schemas(F.transform("candidate_pool", lambda p: p["input_schema"])))
+    return found.withColumn("candidate_pool", F.zip_with("candidate_pool", "_schemas", lambda p, s: p.withField("input_schema", s))).drop("_schemas")
+
+
+def renamed(scenarios: DataFrame) -> DataFrame:
+    """Scenarios in which no two different tool ids have the same safe name: ids that must change do so in the pool, the gold
+    tools and the gold calls alike. A scenario gets the changes among the ids of its own pool, as a map."""
+    offered = scenarios.select("id", F.explode(F.array_distinct(F.transform("candidate_pool", lambda p: p["id"]))).alias("tool"))
+    changed = disambiguated(offered.select("tool"), "tool").where(F.col("tool") != F.col("new_id")).select("tool", "new_id")
+    maps = offered.join(changed, "tool").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("tool", "new_id"))).alias("_new"))
+    out = scenarios.join(maps, "id", "left").withColumn("_new", F.coalesce("_new", F.create_map().cast("map<string,string>")))
+    new = lambda x: F.coalesce(F.element_at("_new", x), x)
+    found = {"candidate_pool": F.transform("candidate_pool", lambda p: p.withField("id", new(p["id"]))), "gold_tools": F.transform("gold_tools", new)}
+    if "gold_calls" in scenarios.columns:
+        found["gold_calls"] = F.transform("gold_calls", lambda c: c.withField("tool", new(c["tool"])))
+    return out.withColumns(found).drop("_new")
+
+
 def skill_instances(instances: DataFrame, skills: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Instances of (dataset, instance_id, question, skill_annotations) whose skills are all in the catalogue."""
-    rows = instances.select(F.concat(F.lit("sragents-"), "instance_id").alias("id"), "dataset", F.col("question").alias("query"), F.col("skill_annotations").alias("gold_tools"), F.concat(F.lit("sragents-"), "dataset").alias("category"))
-    rows = all_known(rows, skills, "id", "gold_tools").withColumn("status", _status((~F.col("known"), "skipped_unknown_gold")))
-    return _scenarios(rows), counted(rows, ("skipped_unknown_gold",))
+    """Instances (the schema SKILL_INSTANCE) of (dataset, instance_id, question, skill_annotations) whose skills are all in
+    the catalogue."""
+    rows = instances.select(F.concat(F.lit("sragents-"), "instance_id").alias("id"), "dataset", F.col("question").alias("prompt"), F.array_distinct("skill_annotations").alias("gold_skill_ids"))
+    rows = all_known(rows, skills, "id", "gold_skill_ids").withColumn("status", _status((~F.col("known"), "skipped_unknown_gold")))
+    return rows.where(F.col("status") == KEPT).select("id", "dataset", "prompt", "gold_skill_ids"), counted(rows, ("skipped_unknown_gold",))
+
+
+def with_gold_pool(scenarios: DataFrame, tools: DataFrame) -> DataFrame:
+    """Scenarios whose candidate_pool is their gold tools (id, name, description, input_schema, output_schema), in gold order."""
+    columns = {"name": F.col("id"), "description": F.lit(""), "input_schema": F.lit("{}"), "output_schema": F.lit("{}")}
+    spec = F.struct(F.col("id").cast("string").alias("id"), *(F.coalesce(F.col(c), x).alias(c) if c in tools.columns else x.alias(c) for c, x in columns.items()))
+    known = tools.select(F.col("id").alias("_tool"), spec.alias("_spec"))
+    gold = scenarios.select("id", F.posexplode("gold_tools").alias("_n", "_tool")).join(known, "_tool")
+    pools = gold.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "_spec"))), lambda e: e["_spec"]).alias("candidate_pool"))
+    return scenarios.join(pools, "id", "left")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,20 +24,48 @@ def structure(schema: T.StructType | str) -> T.StructType:
     return T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
 
 
+#: A row's place in its partition, out of monotonically_increasing_id.
+_PLACE = (1 << 33) - 1
+
+
+def _numbered(rows: DataFrame, within: Sequence[str], order: str | None) -> DataFrame:
+    """rows (with file, _id and the columns of within) and number: their places in their files, from 0.
+
+    A task reads a split of a file in order, so a row's place in its split is its place in the partition less that of the
+    split's first row; the splits' counts, one row for each, give where each begins in its file.
+    """
+    place = F.col("_id").bitwiseAND(F.lit(_PLACE))
+    splits = rows.groupBy("file", *within).agg(F.count("*").alias("_n"), F.min(place).alias("_first"))
+    before = F.sum("_n").over(Window.partitionBy("file").orderBy(order)) - F.col("_n") if order else F.lit(0)
+    starts = splits.withColumn("_before", before).drop("_n")
+    return rows.join(starts, ["file", *within]).withColumn("number", F.col("_before") + place - F.col("_first")).drop("_first", "_before", "_id")
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, line (from 1), value of all lines of text files, blank ones too; lines are not moved to be numbered."""
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"))
+    return _numbered(rows, ["_block"], "_block").select("file", (F.col("number") + 1).alias("line"), "value")
+
+
+def parsed_lines(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """file, line, value, record of the lines that are not blank; a bad line's record is null."""
+    kept = T.StructType([*structure(schema).fields, T.StructField(BAD, T.StringType())])
+    lines = numbered_lines(spark, path).where(F.trim("value") != "")
+    rows = lines.withColumn("_r", F.from_json("value", kept, {"columnNameOfCorruptRecord": BAD}))
+    return rows.select("file", "line", "value", F.when(F.col(f"_r.{BAD}").isNull(), F.struct(*(F.col(f"_r.`{f.name}`").alias(f.name) for f in structure(schema).fields))).alias("record"))
+
+
 def strict(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """Every line a record; blank lines are skipped, a bad line fails the read and is named by its number.
 
-    Lines are numbered only once a bad one is found.
+    A first pass looks for a bad line; lines are numbered only once there is one.
     """
     kept = T.StructType([*structure(schema).fields, T.StructField(BAD, T.StringType())])
-    rows = spark.read.schema(kept).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD).json(path).cache()
-    bad = rows.where(F.col(BAD).isNotNull()).select(BAD).first()
-    if bad is not None:
-        rows.unpersist()
-        lines = spark.sparkContext.textFile(path).zipWithIndex()
-        number = lines.filter(lambda x: x[0].strip() == bad[0].strip()).map(lambda x: x[1] + 1).min()
-        raise ValueError(f"{path}: line {number} is not a record: {bad[0][:200]}")
-    return rows.drop(BAD)
+    record = F.from_json("value", kept, {"columnNameOfCorruptRecord": BAD})
+    if not spark.read.text(path).where(F.trim("value") != "").where(record[BAD].isNotNull()).isEmpty():
+        bad = parsed_lines(spark, path, schema).where("record IS NULL").select(F.min(F.struct("file", "line", "value")).alias("r")).first().r
+        raise ValueError(f"{bad.file}: line {bad.line} is not a record: {bad.value[:200]}")
+    return spark.read.schema(structure(schema)).json(path)
 
 
 def table(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
@@ -72,11 +100,14 @@ def name_map(spark: SparkSession, path: str) -> DataFrame:
 
 
 def csv_queries(spark: SparkSession, path: str, query: str = "Query", tool: str = "Tool") -> DataFrame:
-    """line, query, tool of a CSV file with header; line is the record's number + 2, rows lacking a value are skipped."""
-    rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path).select(F.col(query).alias("query"), F.col(tool).alias("tool"))
-    numbered = rows.rdd.zipWithIndex().map(lambda x: (x[1] + 2, x[0][0], x[0][1]))  # one file, read by one task
-    out = spark.createDataFrame(numbered, "line bigint, query string, tool string")
-    return out.withColumns({c: F.trim(c) for c in ("query", "tool")}).where("query <> '' AND tool <> ''")
+    """line, query, tool of a CSV file with header; line is the record's number + 2, rows lacking a value are skipped.
+
+    Records may hold line ends, so a file is one split.
+    """
+    rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    rows = rows.select(F.col(query).alias("query"), F.col(tool).alias("tool"), F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("_id"))
+    out = _numbered(rows, [], None).select((F.col("number") + 2).alias("line"), F.trim("query").alias("query"), F.trim("tool").alias("tool"))
+    return out.where("query <> '' AND tool <> ''")
 
 
 def json_array(spark: SparkSession, path: str, element: str) -> DataFrame:

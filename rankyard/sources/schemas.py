@@ -4,6 +4,8 @@ from __future__ import annotations
 
 ITEM = "id STRING, kind STRING, name STRING, description STRING, tags ARRAY<STRING>, tools ARRAY<STRING>, body STRING, input_schema STRING, output_schema STRING"
 SCENARIO = "id STRING, prompt STRING, candidate_pool ARRAY<STRUCT<id: STRING, name: STRING, description: STRING, input_schema: STRING, output_schema: STRING>>, gold_tools ARRAY<STRING>, judge_criteria STRING, category STRING, gold_calls ARRAY<STRUCT<tool: STRING, args: STRING>>"
+#: A skill instance as it is published, and as it is normalised.
+RAW_SKILL_INSTANCE = "instance_id STRING, question STRING, skill_annotations ARRAY<STRING>"
 SKILL_INSTANCE = "id STRING, dataset STRING, prompt STRING, gold_skill_ids ARRAY<STRING>"
 RETRIEVAL_ROW = (
     "run_type STRING, run_id STRING, generated_at STRING, scenario_id STRING, query STRING, golden_answer ARRAY<STRING>, category STRING, target_pool_size INT, actual_pool_size INT, pool_ids ARRAY<STRING>, engine_version STRING, "

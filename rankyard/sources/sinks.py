@@ -10,8 +10,9 @@ from rankyard.operators.compare import nested
 
 
 def overwrite(rows: DataFrame, path: str, kind: str = "json", order: str | None = None) -> None:
-    """Replaces a table; order sorts the rows of each file."""
-    (rows.sortWithinPartitions(order) if order else rows).write.mode("overwrite").format(kind).save(path)
+    """Replaces a table. With an order, the files are ranges of it in the order of their names, each sorted, so that their
+    lines one after another are in order, whatever wrote them."""
+    (rows.orderBy(order) if order else rows).write.mode("overwrite").format(kind).save(path)
 
 
 def append(rows: DataFrame, path: str, kind: str = "json", by: str | None = None) -> None:
