@@ -34,7 +34,7 @@ def test_other_formats(spark, tmp_path):
     names = put(tmp_path / "p.json", '{"cal": " keeps days ", "map": "shows ways"}')
     assert {r.id: r.description for r in jsonl.name_map(spark, names).collect()} == {"cal": "keeps days", "map": "shows ways"}
     queries = put(tmp_path / "q.csv", 'Query,Tool\n"one\nline",cal\n,map\nshort\nlast,map\n')
-    assert [(r.line, r.tool) for r in jsonl.csv_queries(spark, queries).collect()] == [(2, "cal"), (5, "map")]
+    assert [(r.line, r.tool) for r in jsonl.csv_queries(spark, queries).orderBy("line").collect()] == [(2, "cal"), (5, "map")]
     array = put(tmp_path / "m.json", json.dumps([{"query": "a", "tool": ["x"]}, {"query": "b", "tool": []}]))
     assert [tuple(r) for r in jsonl.json_array(spark, array, "struct<query:string,tool:array<string>>").collect()] == [(0, "a", ["x"]), (1, "b", [])]
     spark.range(3).selectExpr("cast(id as string) id", "'d' documentation").coalesce(1).write.parquet(str(tmp_path / "t"))
