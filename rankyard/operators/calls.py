@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankyard.functions.labels import safe_name
+from rankyard.operators.pools import shuffled
+from rankyard.operators.registry import Registry
 from rankyard.staging import few, written
 
 SEARCH, INVOKE = "search_tools", "invoke_tool"
@@ -72,24 +77,75 @@ def disambiguated(ids: DataFrame, id_col: str = "id") -> DataFrame:
         out = ranked.withColumn("n", F.when(moved, step).otherwise(F.col("n"))).withColumn("name", name).drop("claim")
 
 
-def visible(scenarios: DataFrame, pools: DataFrame, gold: DataFrame, ranking: DataFrame, top_k: int) -> DataFrame:
-    """query_id, arm, item_id: what every arm shows: the pool, the gold items, the k best with or without the gateway, the gateway."""
-    tools = F.explode(F.array(F.lit(SEARCH), F.lit(INVOKE))).alias("item_id")
-    text = F.col("item_id").cast("string").alias("item_id")
-    best = ranking.where(F.col("rank") <= top_k)
-    gateway = scenarios.select("query_id", tools)
-    parts = [
-        pools.select("query_id", F.lit("baseline").alias("arm"), text),
-        gold.select("query_id", F.lit("oracle").alias("arm"), text),
-        best.select("query_id", F.lit("prefetch").alias("arm"), text),
-        best.select("query_id", F.lit("full").alias("arm"), text),
-        gateway.select("query_id", F.lit("full").alias("arm"), "item_id"),
-        gateway.select("query_id", F.lit("gateway").alias("arm"), "item_id"),
-    ]
+@dataclass(frozen=True)
+class Shown:
+    """What arms choose from: scenarios (query_id), pools and gold (query_id, item_id), rankings (query_id, item_id, rank)
+    and how many of these a shortlist has."""
+
+    scenarios: DataFrame
+    pools: DataFrame
+    gold: DataFrame
+    ranking: DataFrame
+    top_k: int
+
+    def shortlist(self) -> DataFrame:
+        return self.ranking.where(F.col("rank") <= self.top_k).select("query_id", "item_id")
+
+    def gateway(self) -> DataFrame:
+        return self.scenarios.select("query_id", F.explode(F.array(F.lit(SEARCH), F.lit(INVOKE))).alias("item_id"))
+
+
+@dataclass(frozen=True)
+class Arm:
+    """A strategy: the items (query_id, item_id) that it shows, and whether it knows no pools."""
+
+    show: Callable[[Shown], DataFrame]
+    pool_agnostic: bool = False
+    label: str = ""
+
+    def __post_init__(self):
+        if not callable(self.show):
+            raise TypeError("an arm needs a function of what it shows")
+
+    def __call__(self, shown: Shown) -> DataFrame:
+        return self.show(shown).select("query_id", F.col("item_id").cast("string").alias("item_id"))
+
+
+arms: Registry[Arm] = Registry("arm")
+arms.add("baseline", Arm(lambda s: s.pools, label="the whole pool"))
+arms.add("oracle", Arm(lambda s: s.gold, pool_agnostic=True, label="the gold items"))
+arms.add("prefetch", Arm(lambda s: s.shortlist(), label="the k best items"))
+arms.add("full", Arm(lambda s: s.shortlist().select("query_id", F.col("item_id").cast("string").alias("item_id")).unionByName(s.gateway()), label="the k best items and the gateway"))
+arms.add("gateway", Arm(lambda s: s.gateway(), label="the gateway"))
+
+
+def arm_table(spark: SparkSession, known: Registry[Arm] = arms) -> DataFrame:
+    """arm, pool_agnostic of all registered arms."""
+    return spark.createDataFrame([(name, known[name].pool_agnostic) for name in known], "arm string, pool_agnostic boolean")
+
+
+def visible(scenarios: DataFrame, pools: DataFrame, gold: DataFrame, ranking: DataFrame, top_k: int, known: Registry[Arm] = arms) -> DataFrame:
+    """query_id, arm, item_id: what every registered arm shows."""
+    shown = Shown(scenarios, pools, gold, ranking, top_k)
+    parts = [known[name](shown).withColumn("arm", F.lit(name)) for name in known]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    return out.select("query_id", "arm", "item_id")
+
+
+def arm_candidates(sets: DataFrame, seed: int) -> DataFrame:
+    """scenario_id, arm, pool_size, ids: the list that each arm of a selection campaign is shown.
+
+    sets has scenario_id, pool_size, full_pool, short and gold (arrays). The baseline sees the pool in an order that scenario
+    and seed fix, the treated arm its shortlist, the oracle the gold ids, once for a scenario and with no pool size.
+    """
+    mixed = shuffled(sets, "full_pool", "scenario_id", seed)
+    none = F.lit(None).cast(sets.schema["pool_size"].dataType).alias("pool_size")
+    baseline = mixed.select("scenario_id", F.lit("baseline").alias("arm"), "pool_size", F.col("full_pool").alias("ids"))
+    treated = sets.select("scenario_id", F.lit("full").alias("arm"), "pool_size", F.col("short").alias("ids"))
+    oracle = sets.groupBy("scenario_id").agg(F.min("gold").alias("ids")).select("scenario_id", F.lit("oracle").alias("arm"), none, "ids")
+    return baseline.unionByName(treated).unionByName(oracle)
 
 
 def catalog_sizes(shown: DataFrame) -> DataFrame:

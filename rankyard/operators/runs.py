@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import datetime
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,7 +38,8 @@ class Run:
 
 
 #: Rankers of pools: functions (queries, pools, items, k) of tables with id, text and vector, and (query_id, pool_size, item_id).
-pool_rankers: Registry = Registry("method")
+PoolRanker = Callable[[DataFrame, DataFrame, DataFrame, int], DataFrame]
+pool_rankers: Registry[PoolRanker] = Registry("method")
 pool_rankers.add("bm25", ranking.bm25_in_pools)
 pool_rankers.add("semantic", ranking.dense_in_pools)
 pool_rankers.add("hybrid", ranking.hybrid_in_pools)
@@ -89,18 +90,19 @@ class RankingStore:
         return one.select("query_id", "pool_size", F.explode("ranked").alias("e")).select("query_id", "pool_size", "e.item_id", "e.score", "e.rank"), n
 
 
-def evaluate(scenarios: DataFrame, items: DataFrame, ks: Sequence[int], pool_sizes: Sequence[int], seed: int, run: Run, method: str = "bm25", store: RankingStore | None = None, corpus: str = "corpus", variant: str = "engine") -> DataFrame:
+def evaluate(scenarios: DataFrame, items: DataFrame, ks: Sequence[int], pool_sizes: Sequence[int], seed: int, run: Run, method: str | PoolRanker = "bm25", store: RankingStore | None = None, corpus: str = "corpus", variant: str = "engine") -> DataFrame:
     """Metric rows (the schema RETRIEVAL_ROW), one for each scenario, pool and k, from one ranking of max(ks) for each pool.
 
     scenarios has id, prompt, category, own (ids of the items that every pool of the scenario holds, in order) and gold_tools;
-    items has id, text, and vector if the method needs one, and is the universe of distractors.
+    items has id, text, and vector if the method needs one, and is the universe of distractors. method is the name of a ranker
+    or a function of the same kind; only those of a name are kept in a store.
     """
     own = scenarios.select(F.col("id").alias("query_id"), F.posexplode(F.array_distinct("own")).alias("position", "item_id"))
     gold = written(scenarios.select(F.col("id").alias("query_id"), F.explode(F.array_distinct("gold_tools")).alias("item_id")), "gold")
     members = written(pools.pools(written(own, "own"), items.select(F.col("id").alias("item_id")), pool_sizes, seed), "pools")
     queries = scenarios.select("id", F.col("prompt").alias("text"), *(["vector"] if "vector" in scenarios.columns else []))
-    if store is None:
-        ranked = pool_rankers[method](queries, members, items, max(ks))
+    if store is None or not isinstance(method, str):
+        ranked = (pool_rankers[method] if isinstance(method, str) else method)(queries, members, items, max(ks))
     else:
         ranked, _ = store.rankings(queries, members, items, max(ks), corpus, method, seed)
     scored = metrics.at_ks(members, written(ranked, "ranking"), gold, ks, by=("query_id", "pool_size"), variant=variant)

@@ -107,11 +107,15 @@ def earliest_control_reuse(spark, sf_dir):
     return found.select("event_id", "scenario_id", "arm", "model", "pool_size", "run_index", "sdk_version", "generated_at")
 
 
-@query(f"{_CELLS}, k AS (SELECT DISTINCT scenario_id FROM cells) SELECT scenario_id, CASE WHEN scenario_id LIKE 'bfcl-simple-%' THEN 'own' ELSE 'other' END AS origin FROM k")
+@query(
+    f"""{_CELLS}, o AS (SELECT scenario_id, max(event_id) AS v FROM cells WHERE arm = 'baseline' GROUP BY 1), x AS (SELECT scenario_id, min(event_id) AS v FROM cells GROUP BY 1)
+SELECT scenario_id, coalesce(o.v, x.v) AS v, CASE WHEN o.v IS NULL THEN 'other' ELSE 'own' END AS origin FROM x LEFT JOIN o USING (scenario_id)"""
+)
 def keyed_merge_precedence(spark, sf_dir):
-    every = A.cells(spark, sf_dir).select("scenario_id").distinct()
-    own = every.where(F.col("scenario_id").startswith("bfcl-simple-")).withColumn("origin", F.lit("own"))
-    return cells.merged(own, every.withColumn("origin", F.lit("other")), "scenario_id")
+    """The last baseline cell of every scenario, and for scenarios without one their first cell from a second table."""
+    every = A.cells(spark, sf_dir)
+    own = every.where("arm = 'baseline'").groupBy("scenario_id").agg(F.max("event_id").alias("v"), F.lit("own").alias("origin"))
+    return cells.merged(own, every.groupBy("scenario_id").agg(F.min("event_id").alias("v"), F.lit("other").alias("origin")), "scenario_id")
 
 
 _SPENT = "s AS (SELECT *, round(coalesce(sum(dollar_cost) OVER (PARTITION BY scenario_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 6) AS spent_before FROM cells)"
@@ -185,12 +189,17 @@ def selection_set_metrics(spark, sf_dir):
     return rounded(rows.select("id", "hits", "selection_pass", "complete", "recall", "precision", "verdict"))
 
 
-@query("SELECT c.doc_id, list_transform(list_filter([c.doc_id % 3, c.doc_id % 5, c.doc_id % 7], lambda x: x <> 1), lambda x: x) AS shown FROM documents c")
+@query(
+    """WITH shown AS (SELECT l_orderkey AS id, list(l_partkey) FILTER (WHERE l_linenumber % 2 = 1) AS pool, list(l_partkey ORDER BY l_linenumber, l_partkey, l_suppkey) || list(l_suppkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS chosen FROM lineitem GROUP BY 1)
+SELECT id, list_filter(chosen, lambda x: list_contains(coalesce(pool, []), x)) AS kept FROM shown"""
+)
 def drop_hallucinated_ids(spark, sf_dir):
-    """Chosen ids that were shown, in the order of choice with repeats."""
-    d = F.col("doc_id")
-    rows = A.read(spark, sf_dir, "documents").select("doc_id", F.array(d % 3, d % 5, d % 7).alias("chosen"), F.array(*(F.lit(k).cast("bigint") for k in (0, 2, 3, 4, 5, 6))).alias("pool"))
-    return rows.select("doc_id", F.filter("chosen", lambda x: F.array_contains("pool", x)).alias("shown"))
+    """Chosen ids that were shown, in the order of choice with repeats: an order chooses its parts and suppliers and was shown
+    the parts of every second line."""
+    lines = A.read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("l"))
+    chosen = F.concat(F.transform("l", lambda e: e["l_partkey"]), F.transform("l", lambda e: e["l_suppkey"]))
+    pool = F.transform(F.filter("l", lambda e: e["l_linenumber"] % 2 == 1), lambda e: e["l_partkey"])
+    return lines.select("id", chosen.alias("chosen"), pool.alias("pool")).select("id", F.filter("chosen", lambda x: F.array_contains("pool", x)).alias("kept"))
 
 
 @query(
@@ -224,15 +233,57 @@ def trace_metering_several_calls(spark, sf_dir):
     return out.select(*(F.col(c).cast("bigint").alias(c) for c in out.columns))
 
 
-@query("SELECT conv_id, turn, ['t' || (conv_id % 3), role] AS effective FROM conversations")
+@query(
+    """SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN ['t' || (conv_id % 3), role] WHEN 1 THEN [role] WHEN 2 THEN ['search', role, 't' || length(text)] ELSE []::VARCHAR[] END AS effective FROM conversations"""
+)
 def gateway_unwrapping(spark, sf_dir):
+    """Calls of several kinds by turn: with a search and an invocation, with an invocation of nothing, an invoked tool whose
+    name is like the search's, and searches alone."""
     call = lambda tool, args: F.struct(tool.alias("tool_id"), args.alias("args"))
-    inner = F.concat(F.lit('{"toolId": "t'), (F.col("conv_id") % 3).cast("string"), F.lit('"}'))
+    invoked = lambda x: call(F.lit(calls.INVOKE), F.concat(F.lit('{"toolId": "'), x, F.lit('", "args": {"a": 1}}')))
     none = F.lit("{}")
-    rows = A.read(spark, sf_dir, "conversations").withColumn("calls", F.array(call(F.lit(calls.SEARCH), none), call(F.lit(calls.INVOKE), inner), call(F.col("role"), none)))
+    search, direct = call(F.lit(calls.SEARCH), none), call(F.col("role"), none)
+    t = lambda x: F.concat(F.lit("t"), x.cast("string"))
+    kinds = F.when(F.col("turn") % 4 == 0, F.array(search, invoked(t(F.col("conv_id") % 3)), direct)).when(F.col("turn") % 4 == 1, F.array(direct, call(F.lit(calls.INVOKE), none)))
+    kinds = kinds.when(F.col("turn") % 4 == 2, F.array(call(F.lit("search"), none), direct, search, invoked(t(F.length("text"))))).otherwise(F.array(search, search))
+    rows = A.read(spark, sf_dir, "conversations").withColumn("calls", kinds)
     return rows.select("conv_id", "turn", calls.effective_ids(F.col("calls")).alias("effective"))
 
 
+@query(
+    """WITH s AS (SELECT conv_id, turn, CASE role WHEN 'system' THEN 'search_tools' ELSE CASE WHEN conv_id % 2 = 0 THEN 'speech' ELSE role END END AS tool, length(text) AS t FROM conversations)
+SELECT conv_id, sum(t)::BIGINT AS input_tokens, sum(t)::BIGINT AS total_tokens, count(*) AS tool_calls_total, count(DISTINCT tool) AS tool_calls_unique, count(*) FILTER (WHERE tool = 'search_tools') AS gateway_calls, count(DISTINCT turn) AS turns FROM s GROUP BY 1"""
+)
+def trace_metering_canonical(spark, sf_dir):
+    """Calls counted by the ids of their tools: in every second conversation both speakers' names mean one tool."""
+    t = F.length("text")
+    tool = F.when(F.col("role") == "system", F.lit(calls.SEARCH)).otherwise(F.concat(F.lit("fn_"), "role"))
+    zero = [F.lit(0).alias(f"{k}_tokens") for k in ("output", "cached_input", "cache_creation", "total")]
+    c = A.read(spark, sf_dir, "conversations")
+    steps = c.select("conv_id", F.col("turn").alias("step"), tool.alias("tool"), t.alias("input_tokens"), *zero)
+    names = c.where("role <> 'system'").select("conv_id", F.concat(F.lit("fn_"), "role").alias("name"), F.when(F.col("conv_id") % 2 == 0, F.lit("speech")).otherwise(F.col("role")).alias("id")).distinct()
+    out = calls.metered(steps, "conv_id", names=names)
+    return out.select("conv_id", *(F.col(x).cast("bigint").alias(x) for x in ("input_tokens", "total_tokens", "tool_calls_total", "tool_calls_unique", "gateway_calls", "turns")))
+
+
+@query(
+    f"""WITH {A.ORDER_ITEMS_SQL}, s AS (SELECT query_id, list(item_id ORDER BY md5('42:' || query_id || ':' || item_id)) AS mixed, list(item_id ORDER BY position, item_id)[1:2] AS short, list(item_id ORDER BY position, item_id)[1:1] AS gold, count(*)::INT AS n FROM order_items GROUP BY 1)
+SELECT query_id AS scenario_id, 'baseline' AS arm, n AS pool_size, mixed AS ids FROM s UNION ALL SELECT query_id, 'full', n, short FROM s UNION ALL SELECT query_id, 'oracle', NULL, gold FROM s"""
+)
+def arm_candidate_lists(spark, sf_dir):
+    """What the arms of a selection campaign are shown of every order: all its parts in seeded order, the first two, the first."""
+    lists = A.order_items(spark, sf_dir).groupBy(F.col("query_id").alias("scenario_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "item_id"))), lambda e: e["item_id"]).alias("full_pool"))
+    sets = lists.select("scenario_id", F.size("full_pool").alias("pool_size"), "full_pool", F.slice("full_pool", 1, 2).alias("short"), F.slice("full_pool", 1, 1).alias("gold"))
+    return calls.arm_candidates(sets, 42)
+
+
+@query(f"{_CELLS} SELECT engine_version, model, arm, category, count(*) AS scenarios, round(avg(total_tokens)::DECIMAL(28,12), 6)::DOUBLE AS mean_total_tokens, 'read' AS status FROM cells GROUP BY ALL")
+def report_scan(spark, sf_dir):
+    """The nested report of all cells, scanned again: nesting and flattening are inverse to each other."""
+    report = nested_report(spark, sf_dir)
+    return compare.flattened(report, ["engine_version", "model", "arm", "category"], "scenarios BIGINT, mean_total_tokens DOUBLE")
+
+
 @query(
     """WITH o AS (SELECT l_orderkey AS query_id, count(DISTINCT l_partkey) AS n, count(DISTINCT l_partkey) FILTER (WHERE l_linenumber = 1) AS g FROM lineitem GROUP BY 1)
 SELECT * FROM (SELECT query_id, arm, CASE arm WHEN 'baseline' THEN n WHEN 'oracle' THEN g WHEN 'prefetch' THEN least(n, 2) WHEN 'full' THEN least(n, 2) + 2 ELSE 2 END AS catalog_size FROM o CROSS JOIN (SELECT unnest(['baseline', 'oracle', 'prefetch', 'full', 'gateway']) AS arm)) WHERE catalog_size > 0"""

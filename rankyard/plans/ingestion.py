@@ -42,11 +42,14 @@ def known_gold_division(spark, sf_dir):
 
 @query(
     """SELECT page_id, CASE WHEN regexp_full_match(url, '[A-Za-z0-9_-]+') THEN url ELSE regexp_replace(regexp_replace(url, '[^A-Za-z0-9_-]', '_', 'g'), '^[_-]+|[_-]+$', '', 'g') END AS name,
-regexp_replace(lower(trim(' ' || url || '_query ')), '_query$', '') AS slug, 'find ' || url AS request, split_part(url || '#m', '#', 1) AS base_url FROM pages"""
+regexp_replace(lower(trim(' ' || url || '_query ')), '_query$', '') AS slug, CASE page_id % 4 WHEN 0 THEN 'find ' || url WHEN 1 THEN url || '.' WHEN 2 THEN 'Given a web task, find ' || url ELSE 'find. ' || url END AS request, split_part(url || '#m', '#', 1) AS base_url FROM pages"""
 )
 def string_normalisers(spark, sf_dir):
     url = F.col("url")
-    wrapped = F.concat(F.lit("Given a web task, retrieve tools that find "), url, F.lit("..."))
+    wrap = lambda x: F.concat(F.lit("  Given a `web` task, retrieve tools that "), x)
+    kind = F.col("page_id") % 4
+    wrapped = F.when(kind == 0, wrap(F.concat(F.lit("find "), url, F.lit("... ")))).when(kind == 1, F.concat(F.lit(" "), url, F.lit(". ")))
+    wrapped = wrapped.when(kind == 2, F.concat(F.lit("Given a web task, find "), url)).otherwise(wrap(F.concat(F.lit("find. "), url)))
     return A.read(spark, sf_dir, "pages").select(
         "page_id",
         labels.safe_name(url).alias("name"),
@@ -74,18 +77,43 @@ def id_disambiguation(spark, sf_dir):
     return calls.disambiguated(A.read(spark, sf_dir, "part").select(F.concat("p_type", end).alias("id")))
 
 
-@query()
+@query("""SELECT event_id, '{"type":"object","properties":{"a":{"type":"number"},"b":{"type":"array","items":{}}},"default":' || json(coalesce(props, '{}'))::VARCHAR || '}' AS input_schema FROM events""")
 def schema_normalise(spark, sf_dir):
     schema = F.concat(F.lit('{"type": "dict", "properties": {"a": {"type": "float"}, "b": {"type": "tuple", "items": {"type": "any"}}}, "default": '), F.coalesce("props", F.lit("{}")), F.lit("}"))
     return A.read(spark, sf_dir, "events").select("event_id", normalised_schema(schema).alias("input_schema"))
 
 
-@query()
+@query(
+    """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_type ELSE event_id::VARCHAR END AS name,
+CASE event_id % 3 WHEN 0 THEN event_type WHEN 1 THEN 'area: ' || event_type || '. zone: z' ELSE '' END AS description, CASE WHEN event_id % 3 = 0 THEN '{"x":1}' ELSE '{}' END AS input_schema FROM events"""
+)
 def doc_json_fallback(spark, sf_dir):
     doc = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('{"functionality": "'), "event_type", F.lit('", "parameters": {"x": 1}}'))).when(F.col("event_id") % 3 == 1, F.concat(F.lit('{"zone": "z", "area": "'), "event_type", F.lit('"}'))).otherwise(F.lit("no json"))
     return A.read(spark, sf_dir, "events").select("event_id", documented(F.col("event_id").cast("string"), doc).alias("doc")).select("event_id", "doc.*")
 
 
+_TYPE = "p_type || CASE WHEN p_size % 3 = 0 THEN '.' WHEN p_size % 3 = 1 THEN ' ' ELSE '' END"
+
+
+@query(
+    f"""WITH l AS (SELECT l_orderkey AS id, l_linenumber AS n, {_TYPE} AS tool FROM lineitem JOIN part ON l_partkey = p_partkey),
+b AS (SELECT tool, CASE WHEN regexp_full_match(tool, '[A-Za-z0-9_-]+') THEN tool ELSE regexp_replace(regexp_replace(tool, '[^A-Za-z0-9_-]', '_', 'g'), '^[_-]+|[_-]+$', '', 'g') END AS base FROM (SELECT DISTINCT tool FROM l)),
+m AS (SELECT tool, CASE WHEN n = 1 THEN tool ELSE tool || '_' || n END AS new_id FROM (SELECT *, row_number() OVER (PARTITION BY base ORDER BY tool) AS n FROM b))
+SELECT id::VARCHAR AS id, list(new_id ORDER BY n, tool) AS pool, list(new_id ORDER BY n, tool)[1] AS gold, list(new_id ORDER BY n, tool)[-1] AS called FROM l JOIN m USING (tool) GROUP BY id"""
+)
+def renamed_everywhere(spark, sf_dir):
+    """Orders as scenarios that offer their parts' types; names that collide are changed in the pool, the gold tool (the first
+    line's) and the gold call (the last line's)."""
+    part = A.read(spark, sf_dir, "part")
+    end = F.when(F.col("p_size") % 3 == 0, F.lit(".")).when(F.col("p_size") % 3 == 1, F.lit(" ")).otherwise(F.lit(""))
+    tools = part.select(F.col("p_partkey").alias("l_partkey"), F.concat("p_type", end).alias("tool"))
+    lines = A.read(spark, sf_dir, "lineitem").join(tools, "l_partkey").groupBy(F.col("l_orderkey").cast("string").alias("id")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "tool"))).alias("l"))
+    pool = F.transform("l", lambda e: F.struct(e["tool"].alias("id"), e["tool"].alias("name")))
+    calls_ = F.array(F.struct(F.element_at("l", -1)["tool"].alias("tool"), F.lit("{}").alias("args")))
+    found = ingest.renamed(lines.select("id", pool.alias("candidate_pool"), F.array(F.element_at("l", 1)["tool"]).alias("gold_tools"), calls_.alias("gold_calls")))
+    return found.select("id", F.transform("candidate_pool", lambda p: p["id"]).alias("pool"), F.element_at("gold_tools", 1).alias("gold"), F.element_at("gold_calls", 1)["tool"].alias("called"))
+
+
 @query("SELECT l_orderkey AS id, list_sort(list_distinct(list(l_partkey))) AS gold FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT') GROUP BY 1")
 def scenarios_from_reference(spark, sf_dir):
     """Scenarios that a reference table names."""

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from rankyard.functions import permutation
-from rankyard.operators import metrics, pools, ranking, sampling, summary
+from rankyard.operators import metrics, pools, ranking, runs, sampling, summary
 from rankyard.plans import adapters as A
 from rankyard.plans.registry import query
-from rankyard.staging import written
+from rankyard.staging import shared_folder, written
 
 KS = (1, 3, 5, 10)
 SIZES = (30, 150, 600)
@@ -184,14 +186,16 @@ def retrieval_by_corpus(spark, sf_dir):
 
 
 @query(
-    f"""{_POOL_METRICS}, r AS (SELECT *, CASE WHEN query_id % 2 = 0 THEN 'simple' ELSE 'multiple' END AS type FROM metric)
-SELECT 'e1' AS engine_version, type, pool_size, k, count(*) AS n, {_STATS}, round(avg(hit_at_k::INT), 6) AS accuracy, round(avg(complete_at_k::INT), 6) AS complete_rate,
+    f"""{_POOL_METRICS}, r AS (SELECT *, CASE WHEN query_id % 2 = 0 THEN 'simple' ELSE 'multiple' END AS type, CASE query_id % 5 WHEN 0 THEN 'unknown' WHEN 1 THEN 'e2' ELSE 'e1' END AS engine_version FROM metric WHERE query_id % 7 <> 3)
+SELECT engine_version, type, pool_size, k, count(*) AS n, {_STATS}, round(avg(hit_at_k::INT), 6) AS accuracy, round(avg(complete_at_k::INT), 6) AS complete_rate,
 round(coalesce(avg(gold_score), 0), 6) AS mean_similarity, round(coalesce(median(gold_score), 0), 6) AS median_similarity, round(coalesce(stddev_pop(gold_score), 0), 6) AS stddev_similarity, round(count(gold_score) / count(*), 6) AS coverage,
-(SELECT max('2026-01-' || lpad((query_id % 28 + 1)::VARCHAR, 2, '0')) FROM r) AS "timestamp", 'retriever_evaluation' AS source FROM r GROUP BY type, pool_size, k"""
+(SELECT max('2026-01-' || lpad((query_id % 28 + 1)::VARCHAR, 2, '0')) FROM r) AS "timestamp", 'retriever_evaluation' AS source FROM r GROUP BY engine_version, type, pool_size, k"""
 )
 def retrieval_history(spark, sf_dir):
     kind = F.when(F.col("query_id") % 2 == 0, F.lit("simple")).otherwise(F.lit("multiple"))
-    rows = pool_metrics(spark, sf_dir).withColumns({"scenario_id": F.concat_ws("-", F.lit("bfcl"), kind, F.col("query_id").cast("string")), "target_pool_size": F.col("pool_size"), "engine_version": F.lit("e1"), "generated_at": F.concat(F.lit("2026-01-"), F.lpad((F.col("query_id") % 28 + 1).cast("string"), 2, "0"))})
+    corpus = F.when(F.col("query_id") % 7 == 3, F.lit("toolret")).otherwise(F.lit("bfcl"))  # others than function calls have no history
+    version = F.when(F.col("query_id") % 5 == 1, F.lit("e2")).when(F.col("query_id") % 5 > 1, F.lit("e1"))
+    rows = pool_metrics(spark, sf_dir).withColumns({"scenario_id": F.concat_ws("-", corpus, kind, F.col("query_id").cast("string")), "target_pool_size": F.col("pool_size"), "engine_version": version, "generated_at": F.concat(F.lit("2026-01-"), F.lpad((F.col("query_id") % 28 + 1).cast("string"), 2, "0"))})
     return rounded(summary.retrieval_history(rows))
 
 
@@ -321,3 +325,21 @@ def candidate_slices(spark, sf_dir):
     ids = lambda k: F.first(F.when(F.col("k") == k, F.transform("retrieved", lambda e: e["id"])), ignorenulls=True)
     both = rows.groupBy("query_id").agg(ids(10).alias("full_pool"), ids(3).alias("short"))
     return both.where("full_pool IS NOT NULL AND short IS NOT NULL AND size(full_pool) > 0")
+
+
+_RUN_SQL = f"""{_POOLED}, {_IN_POOLS}, {_metrics('query_id, pool_size', 'asked_pools', 'ranking', 'gold', '[1, 3, 5, 10]')},
+shape AS (SELECT query_id, pool_size, count(*)::INT AS actual_pool_size, list(item_id ORDER BY ordinal) AS pool_ids FROM pools GROUP BY ALL)
+SELECT 'retrieval' AS run_type, 'run-1' AS run_id, '2026-01-01T00:00:00Z' AS generated_at, query_id AS scenario_id, s.text AS query, category, pool_size AS target_pool_size, actual_pool_size, pool_ids, 'e1' AS engine_version, k, {_SHOWN.removeprefix('k, ')}
+FROM metric JOIN shape USING (query_id, pool_size) JOIN (SELECT id AS query_id, text, CASE WHEN id % 2 = 0 THEN 'metatool-single' END AS category FROM scenarios) s USING (query_id)"""
+
+
+@query(_RUN_SQL.replace("shape AS (SELECT query_id", "shapes AS (SELECT query_id").replace("JOIN shape USING", "JOIN shapes USING"))
+def retrieval_run_rows(spark, sf_dir):
+    """The metric rows of a run over kept rankings: benchmark items as scenarios, their documents as own items."""
+    links = A.gold(spark, sf_dir)
+    lists = lambda df, name: df.groupBy(F.col("query_id").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("item_id"))), lambda e: e["item_id"]).alias(name))
+    asked = A.scenarios(spark, sf_dir).withColumnRenamed("text", "prompt").withColumn("category", F.when(F.col("id") % 2 == 0, F.lit("metatool-single")))
+    asked = asked.join(lists(_own(spark, sf_dir, links), "own"), "id").join(lists(links, "gold_tools"), "id", "left").withColumn("gold_tools", F.coalesce("gold_tools", F.array().cast("array<bigint>")))
+    store = runs.RankingStore(spark, f"{shared_folder(spark)}/rankings-{uuid.uuid4().hex}")
+    rows = runs.evaluate(written(asked, "asked"), A.items(spark, sf_dir).select("id", "text"), KS, SIZES, SEED, runs.Run("e1", run_id="run-1", generated_at="2026-01-01T00:00:00Z"), store=store)
+    return shown(rows, *("run_type", "run_id", "generated_at", "scenario_id", "query", "category", "target_pool_size", "actual_pool_size", "pool_ids", "engine_version"))

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rankyard.operators.compare import flattened
+
 BAD = "_corrupt_record"
 
 
@@ -92,6 +94,15 @@ def retrieval_files(spark: SparkSession, folder: str, schema: T.StructType | str
     return rows.withColumn("file", F.element_at(F.split(F.input_file_name(), "/"), -1))
 
 
+def report_files(spark: SparkSession, path: str, levels: Sequence[str], metrics: str) -> DataFrame:
+    """file, levels, metrics, status of nested report files: status "read", "unreadable" or, where there is no file, "missing"."""
+    if not exists(spark, path):
+        found = spark.createDataFrame([(path, None)], "file string, report string")
+        return flattened(found, levels, metrics).withColumn("status", F.lit("missing"))
+    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("report"))
+    return flattened(text, levels, metrics)
+
+
 def name_map(spark: SparkSession, path: str) -> DataFrame:
     """id, name, description of one JSON object {name: description}."""
     text = spark.read.text(path, wholetext=True)

@@ -161,3 +161,29 @@ def test_one_cap_holds_for_the_whole_campaign(spark):
             found = cells.until_all_spent(some, cap, "event_id", ranges=ranges).collect()
             assert {r.event_id: r.spent_before for r in found} == wanted and len(found) == len(wanted)
     assert cells.until_all_spent(some.limit(0), 1.0, "event_id").count() == 0
+
+
+def test_arms_are_registered_functions(spark):
+    from rankyard.operators.calls import Arm, Shown, arm_table, arms, visible
+    from rankyard.operators.registry import Registry
+
+    one = spark.createDataFrame([(1,)], "query_id long")
+    items = lambda *ids: spark.createDataFrame([(1, i) for i in ids], "query_id long, item_id long")
+    ranking = spark.createDataFrame([(1, 5, 1), (1, 6, 2), (1, 7, 3)], "query_id long, item_id long, rank int")
+    mine = Registry("arm")
+    for name in arms:
+        mine.add(name, arms[name])
+    mine.add("third", Arm(lambda s: s.ranking.where("rank = 3"), pool_agnostic=True))
+    got = {}
+    for r in visible(one, items(5, 6, 7, 8), items(6), ranking, 2, mine).collect():
+        got.setdefault(r.arm, set()).add(r.item_id)
+    gateway = {"search_tools", "invoke_tool"}
+    assert got == {"baseline": {"5", "6", "7", "8"}, "oracle": {"6"}, "prefetch": {"5", "6"}, "full": {"5", "6"} | gateway, "gateway": gateway, "third": {"7"}}
+    assert {r.arm for r in arm_table(spark, mine).where("pool_agnostic").collect()} == {"oracle", "third"}
+    with pytest.raises(ValueError, match="registered already"):
+        mine.add("oracle", arms["oracle"])
+    with pytest.raises(ValueError, match="needs a name"):
+        mine.add(" ", arms["oracle"])
+    with pytest.raises(TypeError):
+        Arm(None)
+    assert Shown(one, one, one, ranking, 1).shortlist().count() == 1

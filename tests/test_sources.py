@@ -100,6 +100,90 @@ def test_streams(spark, tmp_path):
     assert (got.fail, got.missing_gold, got.category) == (3, 3, "bfcl")
 
 
+CELLS = "scenario_id string, arm string, model string, run_index int, pool_size int, sdk_version string, generated_at timestamp, event_id long"
+
+
+def cell(k, minute, arm="full", version="v1", run=1):
+    import datetime
+
+    return (f"s{k}", arm, "m", run, 30 if arm != "oracle" else None, version, datetime.datetime(2026, 1, 1, 0, minute), 100 * k + minute)
+
+
+def test_cells_are_kept_once_though_the_query_dies_between_write_and_commit(spark, tmp_path):
+    source, target, checkpoint = (str(tmp_path / x) for x in ("in", "out", "cp"))
+
+    def arrives(*rows):
+        spark.createDataFrame(list(rows), CELLS).coalesce(1).write.mode("append").json(source)
+
+    def run(after=None):
+        stream = rollups.once(spark.readStream.schema(CELLS).json(source), "generated_at", "2 hours")
+        query = rollups.kept_cells(stream, target, checkpoint, after)
+        try:
+            query.awaitTermination(180)
+        except Exception:
+            assert after is not None
+
+    def die(batch, number):
+        raise RuntimeError("the driver is lost")
+
+    arrives(cell(1, 0), cell(2, 1), cell(1, 2))
+    run(die)
+    kept = lambda: sorted((r.scenario_id, r.sdk_version) for r in rollups.cells_so_far(spark, target).collect())
+    assert kept() == [("s1", "v1"), ("s2", "v1")]
+    run()
+    assert kept() == [("s1", "v1"), ("s2", "v1")]
+    # What was seen before the restart is still known; another version or run is another cell.
+    arrives(cell(2, 5), cell(3, 6), cell(1, 7, version="v2"))
+    run(die)
+    run()
+    run()
+    assert kept() == [("s1", "v1"), ("s1", "v2"), ("s2", "v1"), ("s3", "v1")]
+
+
+def test_queued_runs_get_their_earliest_control(spark, tmp_path):
+    stored = spark.createDataFrame([cell(1, 9, "baseline", "v2"), cell(1, 3, "baseline", "v1"), cell(1, 1, "full"), cell(2, 4, "oracle")], CELLS)
+    queue = "scenario_id string, arm string, model string, run_index int, pool_size int"
+    spark.createDataFrame([r[:5] for r in (cell(1, 0, "baseline"), cell(2, 0, "oracle"), cell(3, 0, "baseline"), cell(1, 0, "full"))], queue).coalesce(1).write.json(str(tmp_path / "q"))
+    stream = rollups.with_controls(spark.readStream.schema(queue).json(str(tmp_path / "q")), stored)
+    stream.writeStream.format("parquet").option("path", str(tmp_path / "o")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(180)
+    got = {(r.scenario_id, r.arm): r.control and (r.control.sdk_version, r.control.generated_at.minute) for r in spark.read.parquet(str(tmp_path / "o")).collect()}
+    assert got == {("s1", "baseline"): ("v1", 3), ("s2", "oracle"): ("v1", 4), ("s3", "baseline"): None, ("s1", "full"): None}
+
+
+def test_reports_are_read_back(spark, tmp_path):
+    from rankyard.operators import compare
+
+    rows = spark.createDataFrame([("v1", "m", "simple", 3, 0.5), ("v1", "m", "multiple", 2, None), ("v2", "n", "simple", 1, 1.0)], "version string, model string, type string, n long, rate double")
+    text = sinks.report_json(rows, ["version", "model", "type"])
+    (tmp_path / "r").mkdir()
+    put(tmp_path / "r" / "a.json", text)
+    put(tmp_path / "r" / "b.json", "{broken")
+    put(tmp_path / "r" / "c.json", "{}")
+    got = jsonl.report_files(spark, str(tmp_path / "r"), ["version", "model", "type"], "n BIGINT, rate DOUBLE")
+    assert sorted(map(tuple, got.where("status = 'read'").drop("file", "status").collect()), key=str) == sorted(map(tuple, rows.collect()), key=str)
+    assert [r.file[-6:] for r in got.where("status = 'unreadable'").collect()] == ["b.json"] and got.count() == 4
+    assert [r.status for r in jsonl.report_files(spark, str(tmp_path / "none"), ["version"], "n BIGINT").collect()] == ["missing"]
+    again = compare.nested(got.where("status = 'read'").drop("file", "status"), ["version", "model", "type"]).first().report
+    assert json.loads(again) == json.loads(text)
+
+
+def test_focused_reports(spark):
+    from rankyard.operators import compare
+
+    cells = spark.createDataFrame([("bfcl-simple",), ("sragents-a",), (None,)], "category string")
+    rows = spark.createDataFrame([("bfcl-multiple-1",), ("metatool-st-1",), ("x",)], "scenario_id string")
+    a, b = compare.of_prefix(cells, rows, "bfcl")
+    assert (a.count(), b.count()) == (1, 1)
+    assert [x.count() for x in compare.of_prefix(cells, rows, "")] == [3, 3]
+
+
+def test_a_sorted_table_is_sorted_over_its_files(spark, tmp_path):
+    rows = spark.createDataFrame([(f"{k * 7919 % 1000:04}",) for k in range(1000)], "id string").repartition(9)
+    sinks.overwrite(rows, str(tmp_path / "t"), order="id")
+    lines = [json.loads(x)["id"] for f in sorted((tmp_path / "t").glob("part-*")) for x in f.read_text().splitlines()]
+    assert lines == sorted(lines) and len(lines) == 1000
+
+
 def test_event_time_windows_drop_late_rows(spark, tmp_path):
     events = "ts timestamp, event_type string, value double, user_id long"
     source, target = str(tmp_path / "events"), str(tmp_path / "windows")
