@@ -265,6 +265,8 @@ def counted(docs: DataFrame, least: int = 30, max_words: int = 4, text_col: str
     total = texts.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
     buckets = int(min(1 << 16, 1 << max(6, (total // SHARE).bit_length())))
     bitmap = spark.sparkContext.broadcast(frequent(texts, least, max_words, buckets))
+    # Runs with their texts compress the better, the more of them are in one part.
+    groups = max(16, buckets // 8)
 
     def explode(batches):
         held = Counted()
@@ -273,10 +275,10 @@ def counted(docs: DataFrame, least: int = 30, max_words: int = 4, text_col: str
             if runs.hashes:
                 held.add(runs, bitmap.value)
             if len(held) > KEPT:
-                yield held.batch(buckets)
+                yield held.batch(groups)
                 held = Counted()
         if held.totals:
-            yield held.batch(buckets)
+            yield held.batch(groups)
 
     def add(key, table):
         rows = pa.concat_tables([pa.ipc.open_stream(x.as_py()).read_all() for x in table["runs"]])
