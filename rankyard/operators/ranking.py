@@ -22,6 +22,8 @@ from rankyard.staging import few, written
 K1, B, RRF = 1.2, 0.75, 60
 #: Postings of a term up to which one task holds it, and postings of a block.
 SEGMENT, BLOCK = 1 << 16, 128
+#: Items for each of the k best that are scored for a bound, and the part of the bound that terms for later sum to.
+TRIED, PART = 8, 0.7
 #: More than the rounding of scores and the order of summing can change.
 SLACK = 1e-6
 #: The term that marks an item in its postings: tokens are never empty.
@@ -80,26 +82,48 @@ def impact_blocks(weighed: DataFrame) -> DataFrame:
     return blocked.groupBy("term", "segment", "segments", "block").agg(F.max("impact").alias("most"), entries)
 
 
-def candidates(terms: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
-    """query_id, item_id: all items that can be among the k best of a query, and some others (MaxScore; Turtle and Flood, 1995).
+def _sums(asked: DataFrame, weighed: DataFrame) -> DataFrame:
+    """query_id, item_id, score: of candidates (query_id, item_id, term), what the terms add to them, by a join on item and term."""
+    hits = asked.join(weighed.select("item_id", "term", "impact"), ["item_id", "term"])
+    return hits.groupBy("query_id", "item_id").agg(F.sum("impact").alias("score"))
 
-    The k-th best sum over the first blocks is a lower bound of the k-th best score. An item that has only terms whose
-    greatest impacts sum to less cannot reach it: the others are the query's essential terms. Of their blocks count those
-    whose greatest impact, with the greatest of all the query's other terms, reaches the bound.
+
+def bounds(terms: DataFrame, blocks: DataFrame, weighed: DataFrame, k: int) -> DataFrame:
+    """query_id, bound: a score that the k-th best item of a query reaches; queries with fewer hits have no row.
+
+    It is the k-th best score of some items: those of the largest sums over the first blocks of the query's terms.
     """
-    heads = blocks.where("block = 0")
-    first = terms.join(heads.select("term", F.explode("entries").alias("e")), "term")
+    first = terms.join(blocks.where("block = 0").select("term", F.explode("entries").alias("e")), "term")
     partial = first.groupBy("query_id", "e.item_id").agg(F.sum("e.impact").alias("score"))
-    ranked = top(partial, k, digits=None)
-    bound = ranked.where(F.col("rank") == k).select("query_id", (F.col("score") - SLACK).alias("bound"))
-    greatest = heads.groupBy("term").agg(F.max("most").alias("greatest"), F.first("segments").alias("segments"))
+    some = top(partial, TRIED * k, digits=None).select("query_id", "item_id")
+    scored = top(_sums(some.join(terms, "query_id"), weighed), k, digits=None)
+    return scored.where(F.col("rank") == k).select("query_id", (F.col("score") - SLACK).alias("bound"))
+
+
+def scored_items(terms: DataFrame, blocks: DataFrame, weighed: DataFrame, k: int) -> DataFrame:
+    """query_id, item_id, score of all items that can be among the k best of a query, and some others (MaxScore; Turtle and
+    Flood, 1995).
+
+    A query's terms of small greatest impacts are left for later, as many as sum to PART of its bound at most: an item
+    that has no others cannot reach the bound. Of the other terms' blocks count those whose greatest impact, with the
+    greatest of all the query's other terms, reaches the bound, and of their items those whose sum does with the greatest
+    impacts that are left. Only these are looked up among the terms that were left.
+    """
+    bound = written(bounds(terms, blocks, weighed, k), "bounds")
+    greatest = blocks.where("block = 0").groupBy("term").agg(F.max("most").alias("greatest"), F.first("segments").alias("segments"))
     query, rising = Window.partitionBy("query_id"), Window.partitionBy("query_id").orderBy("greatest", "term")
-    weighed = terms.join(greatest, "term").join(bound, "query_id", "left").withColumn("bound", F.coalesce("bound", F.lit(0.0)))
-    weighed = weighed.withColumns({"upto": F.sum("greatest").over(rising), "all": F.sum("greatest").over(query)})
-    essential = weighed.where(F.col("upto") >= F.col("bound")).withColumn("need", F.col("bound") - (F.col("all") - F.col("greatest")) - SLACK)
-    asked = essential.select("query_id", "term", "need", F.explode(F.sequence(F.lit(0), F.col("segments") - 1)).alias("segment"))
+    known = terms.join(greatest, "term").join(few(bound), "query_id", "left").withColumn("bound", F.coalesce("bound", F.lit(0.0)))
+    known = known.withColumns({"upto": F.sum("greatest").over(rising), "all": F.sum("greatest").over(query)}).withColumn("later", F.col("upto") < F.col("bound") * PART)
+    known = written(known.withColumn("rest", F.coalesce(F.sum(F.when(F.col("later"), F.col("greatest"))).over(query), F.lit(0.0))), "terms")
+    essential = known.where("NOT later").withColumn("need", F.col("bound") - (F.col("all") - F.col("greatest")) - SLACK)
+    asked = essential.select("query_id", "term", "need", "bound", "rest", F.explode(F.sequence(F.lit(0), F.col("segments") - 1)).alias("segment"))
     found = asked.join(blocks, ["term", "segment"]).where(F.col("most") >= F.col("need"))
-    return found.select("query_id", "need", F.explode("entries").alias("e")).where(F.col("e.impact") >= F.col("need")).select("query_id", "e.item_id").distinct()
+    found = found.select("query_id", "need", "bound", "rest", F.explode("entries").alias("e")).where(F.col("e.impact") >= F.col("need"))
+    # An item of which a posting fell short of its need cannot reach the bound, so what is summed of it does not matter.
+    sums = found.groupBy("query_id", "e.item_id").agg(F.sum("e.impact").alias("score"), F.first("bound").alias("bound"), F.first("rest").alias("rest"))
+    sums = written(sums.where(F.col("score") + F.col("rest") + SLACK >= F.col("bound")).select("query_id", "item_id", "score"), "candidates")
+    more = _sums(sums.select("query_id", "item_id").join(known.where("later").select("query_id", "term"), "query_id"), weighed)
+    return sums.unionByName(more).groupBy("query_id", "item_id").agg(F.sum("score").alias("score"))
 
 
 def bm25(queries: DataFrame, items: DataFrame, k: int, query_cols=("id", "text"), item_cols=("id", "text"), k1: float = K1, b: float = B, unicode: bool = False) -> DataFrame:
@@ -112,9 +136,7 @@ def bm25(queries: DataFrame, items: DataFrame, k: int, query_cols=("id", "text")
     found = written(postings(items, terms, *item_cols, unicode), "postings")
     weighed = written(impacts(found, k1, b), "impacts")
     blocks = written(impact_blocks(weighed), "blocks")
-    some = candidates(terms, blocks, k)
-    hits = some.join(terms, "query_id").join(weighed.select("item_id", "term", "impact"), ["item_id", "term"])
-    return top(hits.groupBy("query_id", "item_id").agg(F.sum("impact").alias("score")).where("score > 0"), k)
+    return top(scored_items(written(terms, "asked"), blocks, weighed, k).where("score > 0"), k)
 
 
 def bm25_in_pools(queries: DataFrame, pools: DataFrame, items: DataFrame, k: int, query_cols=("id", "text"), item_cols=("id", "text"), k1: float = K1, b: float = B) -> DataFrame:

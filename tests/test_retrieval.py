@@ -284,12 +284,14 @@ def test_pruned_bm25_is_that_of_all_postings(spark, monkeypatch, segment, block,
     assert sorted((r.query_id, r.item_id, round(r.score, 6), r["rank"]) for r in found.collect()) == sorted(wanted)
 
 
-def test_bounds_leave_few_candidates(spark):
+def test_bounds_leave_few_items_to_score(spark):
     items = spark.createDataFrame([(k, "common " * (k % 5 + 1) + (f"rare{k}" if k % 100 == 0 else "")) for k in range(2000)], "id long, text string")
     terms = ranking.query_terms(asked(spark, "common rare0 rare100 rare200"), "id", "text")
-    found = ranking.postings(items, terms, "id", "text")
-    blocks = ranking.impact_blocks(ranking.impacts(found))
-    assert 3 <= ranking.candidates(terms, blocks, 3).count() < 100
+    weighed = ranking.impacts(ranking.postings(items, terms, "id", "text"))
+    blocks = ranking.impact_blocks(weighed)
+    third = sorted(r.score for r in ranking._sums(weighed.select("item_id", "term").join(terms, "term"), weighed).collect())[-3]
+    assert ranking.bounds(terms, blocks, weighed, 3).first().bound == pytest.approx(third, abs=1e-5)
+    assert 3 <= ranking.scored_items(terms, blocks, weighed, 3).count() < 20
 
 
 def test_gold_that_the_pool_lacks(spark):
