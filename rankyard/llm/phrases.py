@@ -5,7 +5,7 @@ max_words words of a piece are counted by language. A phrase of two words or mor
 its weakest cut into two parts; phrases that mostly occur inside longer ones are dropped.
 
 Most runs are rare, and to shuffle them all as text would take some 20 times the input. So they are counted twice. First
-every run is counted by a hash of 24 bits in one of many buckets, in arrays of counters; what several runs share can only
+every run is counted by a hash of 20 bits in one of many buckets, in arrays of counters; what several runs share can only
 be counted too high. A bitmap of fixed size then says which hashes reach the least count: it is the same for any input,
 only less selective the larger that is, and a run that reaches the least count always passes. Then the runs that pass
 are counted as texts: by each task, then in groups of a hash, where those below the least count go. What is left are the
@@ -37,7 +37,7 @@ UNKNOWN = "und"
 #: Bytes of text that are taken at once.
 BYTES = 2 << 20
 #: Runs whose hashes are held at once, bits of a hash in its bucket, bytes of text for a bucket, bits of the bitmap.
-HELD, LOW, SHARE, FILTER = 3_000_000, 24, 4 << 20, 1 << 28
+HELD, LOW, SHARE, FILTER = 3_000_000, 20, 4 << 20, 1 << 28
 #: Different runs that a task counts before it hands them on.
 KEPT = 300_000
 
@@ -130,7 +130,7 @@ class Runs:
 
 
 def _packed(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """Ascending 24-bit keys and counts of at most 255, as differences by byte planes, which compress well."""
+    """Ascending keys of at most 24 bits and counts of at most 255, as differences by byte planes, which compress well."""
     step = np.diff(keys, prepend=0).astype("<u4").view(np.uint8).reshape(-1, 4)
     return pa.compress(np.concatenate([step[:, 0], step[:, 1], step[:, 2], counts.astype(np.uint8)]).tobytes(), "zstd", asbytes=True)
 
@@ -204,6 +204,8 @@ class Counted:
         #: Hashes in order, and the number of each one's row; rows are in order of their first block.
         self.known, self.row = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.f, self.rows = np.zeros(0, np.int64), []
+        #: By row, the hash of its first two words: runs that begin alike go together, which compresses them well.
+        self.lead: list[np.ndarray] = []
         self.totals: dict[str, int] = {}
 
     def __len__(self) -> int:
@@ -228,6 +230,7 @@ class Counted:
             if n > 1:
                 phrase = pc.binary_join_element_wise(*(text.take(pa.array(begin + k)) for k in range(n)), " ")
             hashes.append(found[new])
+            self.lead.append(found[new] if n == 1 else runs.hashes[1][np.searchsorted(runs.starts[1], begin)])
             counts.append(times[new])
             rows.append(pa.table([names.take(pa.array(runs.lang[begin])), pa.array(np.full(len(begin), n, np.int32)), phrase], names=_COLUMNS[:3]))
         hashes = np.concatenate(hashes)
@@ -239,8 +242,7 @@ class Counted:
 
     def batch(self, buckets: int) -> pa.RecordBatch:
         """One row a bucket: its runs in order, which compresses them well."""
-        bucket = np.empty(len(self.f), np.int32)
-        bucket[self.row] = (self.known >> np.uint64(64 - buckets.bit_length() + 1)).astype(np.int32) if buckets > 1 else 0
+        bucket = (np.concatenate(self.lead) >> np.uint64(64 - buckets.bit_length() + 1)).astype(np.int32)
         rows = pa.concat_tables(self.rows).append_column("f", pa.array(self.f)).add_column(0, "bucket", pa.array(bucket))
         totals = pa.table([pa.array([0] * len(self.totals), pa.int32()), *(pa.array(x, t) for x, t in zip((list(self.totals), [0] * len(self.totals), [""] * len(self.totals), list(self.totals.values())), _KINDS))], names=rows.column_names)
         rows = pa.concat_tables([rows, totals])
@@ -253,7 +255,7 @@ class Counted:
 
 def _stored(rows: pa.Table) -> bytes:
     out = pa.BufferOutputStream()
-    with pa.ipc.new_stream(out, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+    with pa.ipc.new_stream(out, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as stream:
         stream.write_table(rows.combine_chunks())
     return out.getvalue().to_pybytes()
 
