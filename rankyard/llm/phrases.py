@@ -39,7 +39,7 @@ BYTES = 2 << 20
 #: Runs whose hashes are held at once, bits of a hash in its bucket, bytes of text for a bucket, bits of the bitmap.
 HELD, LOW, SHARE, FILTER = 3_000_000, 20, 4 << 20, 1 << 28
 #: Different runs that a task counts before it hands them on.
-KEPT = 300_000
+KEPT = 800_000
 
 _COLUMNS, _KINDS = ("lang", "words", "phrase", "f"), (pa.string(), pa.int32(), pa.string(), pa.int64())
 
