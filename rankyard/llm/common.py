@@ -5,8 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, IntegralType, NullType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,6 +35,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kind_of(rows: DataFrame, col: str) -> DataType:
+    """The type of a column."""
+    return rows.select(F.col(col)).schema[0].dataType
+
+
+def integer_ids(rows: DataFrame, id_col: str) -> Column:
+    """The ids as longs; a column of another type is an error before anything runs."""
+    kind = kind_of(rows, id_col)
+    if not isinstance(kind, (IntegralType, NullType)):
+        raise TypeError(f"{id_col} must hold integers, not {kind.simpleString()}: number other ids first")
+    return F.col(id_col).cast("long")
+
+
 def ranges(rows: DataFrame, size, most: int = 128 << 20) -> int:
     """Partitions for a layout of rows in ranges: enough that none holds much more than that many bytes, by the column
     of each row's size, and at least the session's number of shuffle partitions."""

@@ -11,7 +11,7 @@ component of a bucket's first are compared with all of that component and with e
 so every candidate pair ends in one component or is tested, and pairs are never rows. Buckets are only aggregated and
 joined on their key, so a bucket with a third of all rows is a skewed join, not a task.
 
-Defined results: a document without words (null or empty text) has an empty set and links with nothing; a row without
+Defined results: ids are integers, others are an error; a document without words (null or empty text) has an empty set and links with nothing; a row without
 id links with nothing, gets no component and is kept; rows with equal ids but different texts are linked each by its own
 text, so they can have different components; a document with fewer words than a shingle has the whole sequence as one
 shingle; columns other than the two that are named are not read.
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import integer_ids, written
 from .components import stars
 from .words import GOLD, hashed, mixed, slices
 
@@ -202,7 +202,7 @@ def compared(left: DataFrame, right: DataFrame, sets: DataFrame, percent: int) -
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id, kept (the id is the component's) of every row."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(integer_ids(docs, id_col).alias("id"), F.col(text_col).alias("text"))
     signed = written(signatures(rows, size), "signatures")
     linkable = signed.where((F.col("n") > 0) & F.col("id").isNotNull())
     # Equal sets are one node, whatever ids they have; its number is fixed once written.

@@ -7,7 +7,8 @@ Slots are dealt without one task per shard: keys are laid out in ranges, rows ar
 start where the counts of the ranges before them end. Rows that share a key are spread over ranges by the order in
 which they were read (fixed once the keyed rows are written), so no key fills a task.
 
-Defined results: the key null counts as the smallest key and hashes as 0; rows with equal keys share a shard and have
+Defined results: the key null counts as the smallest key and hashes as 0; keys other than integers are hashed to 64 bits
+of their text first; rows with equal keys share a shard and have
 neighbouring slots; a null text has size 1 and the CRC of the empty text; columns other than the two that are named are
 not read.
 """
@@ -18,9 +19,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, NullType
 from pyspark.sql.window import Window
 
-from .common import written
+from .common import kind_of, ranges, written
 
 
 def jump(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -50,12 +52,13 @@ def shard_of(key, shards: int):
 
 def assign(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, size, text_crc32, law, shard, slot, grown_shard of every row."""
-    spark = docs.sparkSession
     content = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col), (F.octet_length(content).cast("long") + 1).alias("size"), F.crc32(content.cast("binary")).alias("text_crc32"), F.monotonically_increasing_id().alias("_read"))
-    rows = rows.withColumns({"shard": shard_of(F.col(id_col), shards), "grown_shard": shard_of(F.col(id_col), shards + 1)})
+    whole = isinstance(kind_of(docs, id_col), (IntegralType, NullType))
+    key = F.col(id_col) if whole else F.when(F.col(id_col).isNotNull(), F.xxhash64(F.col(id_col).cast("string")))
+    rows = rows.withColumns({"shard": shard_of(key, shards), "grown_shard": shard_of(key, shards + 1)})
     rows = written(rows, "keyed")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = ranges(rows, F.lit(32) + (0 if whole else F.octet_length(F.coalesce(F.col(id_col).cast("string"), F.lit("")))))
     ranged = rows.repartitionByRange(n, "shard", id_col, "_read").withColumn("_range", F.spark_partition_id())
     ranged = written(ranged, "ranged")
     counts = ranged.groupBy("shard", "_range").agg(F.count("*").alias("_rows"))

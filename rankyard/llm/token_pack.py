@@ -10,7 +10,7 @@ The dictionary is trained on a bounded sample: of about sample_docs rows, chosen
 sample_chars characters. Every document is compressed with it. If the sample is too small to train on, the dictionary is
 empty. Files are written to a name of their own attempt and renamed, so a task that runs again replaces its file.
 
-Defined results: a null or empty text has only the end id; rows are in ascending order of id, null first, rows with
+Defined results: ids are integers, others are an error; a null or empty text has only the end id; rows are in ascending order of id, null first, rows with
 equal ids next to each other as they were read; an empty table has no file; columns other than the two that are named
 are not read.
 """
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .chunks import dropped_pieces, layout, loaded
-from .common import Memo, ranges, scratch, written
+from .common import Memo, integer_ids, ranges, scratch, written
 from .words import slices
 
 MAGIC = b"TOKPACK1"
@@ -221,7 +221,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int | None = Non
     with store.open_output_stream(f"{top}/dictionary.zstd") as f:
         f.write(dictionary)
     n = ranges(docs, F.octet_length(F.coalesce(F.col(text_col), F.lit(""))))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("_read"))
+    rows = docs.select(integer_ids(docs, id_col).alias("id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("_read"))
     rows = rows.repartitionByRange(n, "id", "_read").sortWithinPartitions("id", "_read").select("id", "text")
 
     def run(batches):

@@ -169,3 +169,16 @@ def test_odd_shards(odd, none):
         assert [x[0] for x in slots] == list(range(len(slots))) and [x[1:] for x in slots] == sorted(x[1:] for x in slots)
     assert all((r.size, r.text_crc32, r.law) == (len(texts[r.doc_id].encode()) + 1, zlib.crc32(texts[r.doc_id].encode()), "key") for r in got)
     assert len(got) == odd.count() and sharding.assign(none).count() == 0
+
+
+def test_shards_of_text_keys(spark):
+    """Keys of any type: one shard a key, one more shard takes rows only into itself, slots without gaps."""
+    rows = [(f"key-{k % 900}", "t" * (k % 7)) for k in range(1000)] + [(None, "x")]
+    got = sharding.assign(spark.createDataFrame(rows, "doc_id string, text string").repartition(3), 5).collect()
+    shard_of = {}
+    for r in got:
+        assert shard_of.setdefault(r.doc_id, r.shard) == r.shard and r.grown_shard in (r.shard, 5)
+    assert len(got) == 1001 and len({r.shard for r in got}) == 5
+    for s in range(5):
+        here = sorted((r.slot, r.doc_id or "") for r in got if r.shard == s)
+        assert [k for k, _ in here] == list(range(len(here))) and [d for _, d in here] == sorted(d for _, d in here)
