@@ -156,6 +156,47 @@ def test_quantisation_bounds_hold(seed, dim):
     assert (error <= lost[:, None] * np.linalg.norm(kept, axis=1)[None] + lost[None] + 1e-12).all()
 
 
+@settings(max_examples=30, deadline=None)
+@given(st.integers(0, 2**32 - 1), st.integers(2, 70), st.booleans())
+def test_bounds_decide_or_leave_open(seed, dim, same):
+    """Cosines all around the threshold: what is sure is a link, what is left out is none, and rows of the rest are marked."""
+    rng = np.random.default_rng(seed)
+    x, y = (rng.normal(size=dim) + rng.normal(size=(40, dim)) * 0.25 for _ in "xy")
+    y = x if same else y
+    a, b = embed_dup.code(x, np.ones(40)), embed_dup.code(y, np.ones(40))
+    exact = embed_dup.cosines(np.repeat(x, 40, 0), np.tile(y, (40, 1))).reshape(40, 40)
+    wanted = {(i, j) for i, j in zip(*np.nonzero(exact >= 0.95)) if not same or i < j}
+    found = [np.concatenate(c) for c in zip(*embed_dup.candidates(a, b, same, 0.95, rows=7))]
+    pairs = set(zip(found[0].tolist(), found[1].tolist()))
+    sure = {(i, j) for i, j, s in zip(*found) if s}
+    assert len(pairs) == len(found[0]) and sure <= wanted <= pairs
+    proved, _, open_ = embed_dup.tile_links(a, b, same, 0.95)
+    rest, _, _ = embed_dup.tile_links(a, b, same, 0.95, (x, y))
+    shift = 0 if same else 40
+    assert set(np.nonzero(open_)[0]) == {k for i, j in pairs - sure for k in (i, j + shift)}
+    assert (proved + rest).tolist() == [sum((i == k) + (j + shift == k) for i, j in wanted) for k in range(len(proved))]
+
+
+def test_open_pairs_across_tiles(spark):
+    """Most pairs lie near the threshold, so they are settled by full vectors, in the tiles and between them."""
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=24)
+    rows = [(k, (base + rng.normal(size=24) * 0.24).tolist()) for k in range(90)]
+    links, root = plain_vectors(rows, 0.95)
+    assert len(links) > 300
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    for r in embed_dup.near_duplicates(frame, 0.95, 11).collect():
+        assert (r.n_links, r.component_id) == (sum(r.vec_id in l for l in links), root[r.vec_id])
+
+
+def test_ids_that_are_no_integers_are_an_error(spark):
+    docs = spark.createDataFrame([("a", "x y z", [1.0])], "doc_id string, text string, embedding array<double>")
+    with pytest.raises(TypeError, match="doc_id must hold integers, not string"):
+        near_dup.near_duplicates(docs)
+    with pytest.raises(TypeError, match="doc_id must hold integers"):
+        embed_dup.near_duplicates(docs, id_col="doc_id")
+
+
 def plain_vectors(rows, threshold):
     use = {k: np.array(v, float) for k, v in rows if k is not None and v is not None and all(c is not None and np.isfinite(c) for c in v) and any(v)}
     links = [(a, b) for a in use for b in use if a < b and len(use[a]) == len(use[b]) and use[a] @ use[b] / np.sqrt((use[a] @ use[a]) * (use[b] @ use[b])) >= threshold]
