@@ -153,6 +153,40 @@ def test_pools_by_brute_force(spark):
     assert pools.pools(own.limit(0), universe, (3, 9), 7).count() == 0
 
 
+@pytest.mark.parametrize("spread", [8, 0, -1])
+def test_ordered_pools_by_brute_force(spark, spread):
+    """Whatever passes the limit on digests: all, about enough or too little."""
+    import hashlib
+
+    mine = {q: [(q * 7 + k) % 300 + 1 for k in range(q % 4)] for q in range(25)}
+    own = spark.createDataFrame([(q, i, k) for q, first in mine.items() for k, i in enumerate(first)], "query_id long, item_id long, position int")
+    universe = spark.range(1, 301).withColumnRenamed("id", "item_id")
+    wanted = set()
+    for q, first in mine.items():
+        rest = sorted({*range(1, 301)} - {*first}, key=lambda i: hashlib.md5(f"7:{q}:{i}".encode()).hexdigest())
+        wanted |= {(q, size, i, n) for size in (3, 9) for n, i in enumerate(first + rest, 1) if first and n <= max(size, len(first))}
+    found = pools.ordered_pools(own, universe, (3, 9), 7, spread)
+    assert {tuple(r) for r in found.collect()} == wanted and found.count() == len(wanted)
+    assert pools.ordered_pools(own, universe.limit(0), (3, 9), 7, spread).count() == 2 * own.count()
+    assert pools.ordered_pools(own.limit(0), universe, (3, 9), 7, spread).count() == 0
+
+
+def test_nested_pools_hold_the_first_of_all_documents(spark):
+    """The order of the distractors is that of all documents by their digests, not of some drawn places."""
+    import hashlib
+
+    from oracle import SMALL
+
+    from rankyard.plans import retrieval
+
+    some = retrieval.pool_membership_nested(spark, SMALL).where("pool_size = 30").collect()
+    q = min(r.query_id for r in some)
+    ids = [r.item_id for r in sorted((r for r in some if r.query_id == q), key=lambda r: r.ordinal)]
+    docs = [r.doc_id for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id").collect()]
+    order = sorted(docs, key=lambda i: hashlib.md5(f"42:{q}:{i}".encode()).hexdigest())
+    assert len(ids) == 30 and any(ids[n:] == [i for i in order if i not in ids[:n]][: 30 - n] for n in range(1, 15))
+
+
 def test_pools_enumerate_no_pairs(spark):
     own = spark.createDataFrame([(0, 1, 0)], "query_id long, item_id long, position int")
     plan = pools.pools(own, spark.range(1000).withColumnRenamed("id", "item_id"), (5,), 7)._jdf.queryExecution().executedPlan().toString()
