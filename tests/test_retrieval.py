@@ -362,3 +362,30 @@ def test_cosines_are_dealt_out_by_block_pairs(spark):
     for rows in (4, 512):
         found = ranking.dense(asked, items, 6, query_rows=rows, item_rows=2 * rows).collect()
         assert {(r.query_id, r.item_id, r.rank) for r in found} == wanted and len(found) == len(wanted)
+
+
+def test_prior_orders_a_label_once(spark):
+    """Not every query's items of its label: what meets the queries is the first of each label."""
+    from oracle import SMALL
+
+    from rankyard.plans import retrieval
+
+    plan = retrieval.hybrid_rrf_topk(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "dense_rank(" in plan and plan.index("row_number(") < plan.index("dense_rank(")
+
+
+def test_prior_without_the_query_itself(spark, tmp_path):
+    """Labels of fewer than ten rows, of many, of none, and queries that are among the first of their label."""
+    import duckdb
+    from oracle import rows
+
+    from rankyard.plans import catalogue, retrieval
+
+    vectors = [(i, [float(i % 7 + 1), float(i % 5), 1.0], None if i % 11 == 0 else 1 if i < 300 else i % 200) for i in range(600)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    sql = catalogue.oracle_sql()["hybrid_rrf_topk"]
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    wanted = con.sql(sql)
+    got = retrieval.hybrid_rrf_topk(spark, str(tmp_path))
+    assert rows((r.asDict() for r in got.collect()), wanted.columns) == rows([dict(zip(wanted.columns, r)) for r in wanted.fetchall()], wanted.columns)
