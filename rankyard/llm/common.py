@@ -76,6 +76,7 @@ class Memo(dict):
         """The value, remembered as the key's."""
         if len(key) <= self.longest:
             if len(self) >= self.limit:
+                self.old = {}  # before the copy, so that no third generation is held
                 self.old = dict(self)
                 self.clear()
             self[key] = found

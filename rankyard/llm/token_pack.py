@@ -39,6 +39,8 @@ MAGIC = b"TOKPACK1"
 HEADER = struct.Struct("<8s32sI")
 FOOTER = struct.Struct("<QQQI8s")
 INDEX = np.dtype([("id", "<i8"), ("has_id", "u1"), ("start", "<i8"), ("n", "<i8"), ("offset", "<i8"), ("length", "<i8")])
+#: Bytes of texts that are encoded at once.
+SLICE = 2_000_000
 MANIFEST = "part int, file string, docs bigint, ids bigint, bytes bigint"
 
 
@@ -81,7 +83,7 @@ class Encoder:
     def __init__(self, tokenizer: str):
         self.model, self.pieces = loaded(tokenizer), layout(tokenizer)
         self.kind = np.dtype("<u2" if self.model.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known = Memo(self._packed, limit=400_000)  # some 160 MB
+        self.known = Memo(self._packed, limit=400_000)  # some 200 MB in two generations
 
     def _packed(self, text: str) -> bytes:
         return np.array(self.model.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
@@ -146,7 +148,7 @@ def documents(batch: pa.RecordBatch, column: int, tokenizer: str, end_id: int |
     """The ids of every row of a batch as packed integers, with the end id."""
     encode = encoder(tokenizer)
     end = b"" if end_id is None else np.array([end_id], encode.kind).tobytes()
-    for part in slices(batch, column, 4_000_000):
+    for part in slices(batch, column, SLICE):
         ids, at = encode.column(part.column(column))
         raw, at = memoryview(ids).cast("B"), (at * encode.kind.itemsize).tolist()
         for i, j in zip(at, at[1:]):
@@ -193,7 +195,9 @@ def write_part(batches, folder: str, tokenizer: str, end_id: int | None, diction
     name, found, start = f"tokens-{part:06d}.pack", [], 0
     with published(folder, name) as out:
         place = out.write(HEADER.pack(MAGIC, hashlib.sha256(dictionary).digest(), width))
-        for b in chain([first], batches):
+        batches = chain([first], batches)
+        del first  # one batch at a time stays in memory
+        for b in batches:
             ids = b.column(0).to_pylist()
             index = np.zeros(len(ids), INDEX)
             for k, (key, packed) in enumerate(zip(ids, documents(b, 1, tokenizer, end_id))):

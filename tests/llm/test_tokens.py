@@ -148,3 +148,24 @@ def test_one_document_of_a_file(spark):
     assert found == [wanted]
     raw = sum(r.ids * 2 for r in manifest.collect())
     assert sum(r.bytes for r in manifest.collect()) < raw
+
+
+def test_encoder_holds_bounded_pieces_and_slices(monkeypatch):
+    """A worker's memory: what an encoder remembers, the bytes of a slice and the generations that rotation holds."""
+    import public_tokenizers
+
+    from rankyard.llm import token_pack
+    from rankyard.llm.common import Memo
+
+    assert token_pack.Encoder(public_tokenizers.path("word_bpe_49k.json")).known.limit <= 400_000 and token_pack.SLICE <= 2_000_000
+
+    class Seen(Memo):
+        held = 0
+
+        def __setattr__(self, name, value):
+            if name == "old":
+                Seen.held = max(Seen.held, len(self) + len(value) + len(getattr(self, "old", ())))
+            super().__setattr__(name, value)
+
+    known = Seen(len, limit=100)
+    assert [known[str(k)] for k in range(1000)] == [len(str(k)) for k in range(1000)] and Seen.held <= 2 * 100
