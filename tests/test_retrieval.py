@@ -417,3 +417,16 @@ def test_links_of_few_items_shuffle_no_texts(spark):
     found = adapters.items(spark, SMALL).select(F.col("id").alias("item_id"), tokens(F.col("text")).alias("t"))
     plan = adapters._links_at_words(asked, found)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
+def test_tasks_follow_the_rows(spark, monkeypatch):
+    """Grouping, joining and numbering the parts of orders take more tasks for more lines."""
+    from oracle import SMALL
+
+    from rankyard import staging
+    from rankyard.plans import adapters, retrieval
+
+    monkeypatch.setattr(staging, "ROWS", 100)
+    lines = spark.read.parquet(f"{SMALL}/lineitem.parquet").count()
+    assert adapters.order_items(spark, SMALL).rdd.getNumPartitions() == -(-lines // 100)
+    assert retrieval.gold_in_gold_order(spark, SMALL).rdd.getNumPartitions() == -(-lines // 100)
