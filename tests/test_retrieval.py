@@ -430,3 +430,31 @@ def test_tasks_follow_the_rows(spark, monkeypatch):
     lines = spark.read.parquet(f"{SMALL}/lineitem.parquet").count()
     assert adapters.order_items(spark, SMALL).rdd.getNumPartitions() == -(-lines // 100)
     assert retrieval.gold_in_gold_order(spark, SMALL).rdd.getNumPartitions() == -(-lines // 100)
+
+
+def test_links_cut_each_text_once(spark):
+    """Filters that Spark infers on the tokens would cut every text of documents a second time."""
+    import re
+
+    from oracle import SMALL
+
+    from rankyard.functions.labels import tokens
+    from rankyard.plans import adapters
+
+    asked = adapters.scenarios(spark, SMALL).select(F.col("id").alias("query_id"), tokens(F.col("text")).alias("q")).where(F.size("q") > 0)
+    found = adapters.items(spark, SMALL).select(F.col("id").alias("item_id"), tokens(F.col("text")).alias("t"))
+    plan = adapters._links_at_words(asked, found)._jdf.queryExecution().optimizedPlan().toString()
+    (text,) = set(re.findall(r"doc_id#\d+L?,(text#\d+)", plan))
+    assert len(re.findall(rf"regexp_extract_all\(lower\({text}\)", plan)) == 1
+
+
+@pytest.mark.parametrize("few", [100, 1])
+def test_texts_outside_of_all_pools_are_not_ranked(spark, tools, monkeypatch, few):
+    """Postings are of the pooled items alone where their ids are few, and the ranking is the same."""
+    members = spark.createDataFrame([(0, 2, 3), (0, 2, 5), (1, 2, 5), (1, 2, 9)], "query_id long, pool_size int, item_id long")
+    seen, postings = [], ranking.postings
+    monkeypatch.setattr(ranking, "FEW", few)
+    monkeypatch.setattr(ranking, "postings", lambda items, *rest: seen.append(sorted(r.id for r in items.collect())) or postings(items, *rest))
+    got = ranking.bm25_in_pools(asked(spark, "table message", "table"), members, tools, 5).collect()
+    assert seen == ([[3, 5]] if few == 100 else [[1, 2, 3, 4, 5]])
+    assert sorted((r.query_id, r.item_id, r.rank) for r in got) == [(0, 3, 2), (0, 5, 1), (1, 5, 1)]
