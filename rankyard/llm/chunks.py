@@ -52,6 +52,20 @@ def layout(path: str):
     return None
 
 
+#: The pattern of words of CLIP's tokenizer.
+_CLIP = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def letters_are_words(path: str) -> bool:
+    """Whether the tokenizer in the file has the layout that drops white space and takes letters between white space as one
+    word, which its model then gets in lower case, by bytes."""
+    if layout(path) is not dropped_pieces:
+        return False
+    with open(path, encoding="utf-8") as f:
+        split, byte_level = json.load(f)["pre_tokenizer"]["pretokenizers"]
+    return split["pattern"].get("Regex") == _CLIP and not byte_level["add_prefix_space"] and not byte_level.get("use_regex", True)
+
+
 def loaded(path: str):
     """The tokenizers library's tokenizer of the file, without truncation and padding."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"

@@ -21,7 +21,7 @@ import hashlib
 import struct
 import zlib
 from contextlib import contextmanager
-from itertools import chain
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .chunks import dropped_pieces, layout, loaded
+from .bpe import byte_symbols
+from .chunks import dropped_pieces, layout, letters_are_words, loaded
 from .common import Memo, integer_ids, ranges, scratch, written
 from .words import slices
 
@@ -73,6 +74,15 @@ def published(folder: str, name: str):
         store.delete_file(mine)
 
 
+#: Latin letters that are not ASCII, as the byte level writes their bytes.
+BYTES = {k: "".join(symbol[b] for b in chr(k).encode()) for symbol in [{b: c for c, b in byte_symbols().items()}] for k in range(0x80, 0x100)}
+
+
+def _listed(values: pa.Array) -> list:
+    """The values of an array without nulls as a list, by way of numpy, which is faster than one by one."""
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
 class Encoder:
     """Token ids of whole string columns.
 
@@ -81,7 +91,8 @@ class Encoder:
     """
 
     def __init__(self, tokenizer: str):
-        self.model, self.pieces = loaded(tokenizer), layout(tokenizer)
+        self.model, self.pieces, self.lettered = loaded(tokenizer), layout(tokenizer), letters_are_words(tokenizer)
+        self.tokens = self.model.model.tokenize
         self.kind = np.dtype("<u2" if self.model.get_vocab_size() <= 1 << 16 else "<u4")
         self.known = Memo(self._packed, limit=400_000)  # some 200 MB in two generations
 
@@ -89,15 +100,27 @@ class Encoder:
         return np.array(self.model.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
     def _learn(self, pieces: list[str], most: int = 4096) -> None:
-        """Remembers pieces of Latin letters, encoded many at a time: a token belongs to the piece in which it starts."""
-        for k in range(0, len(pieces), most):
-            some = pieces[k : k + most]
+        """Remembers pieces of Latin letters. One of letters alone is one word of the layout, so the model gets it as the
+        normaliser and the byte level would hand it on; others are encoded many at a time: a token belongs to the piece
+        in which it starts."""
+        word = lambda x: self.lettered and x.isalpha() and (x.isascii() or max(x) < "\u0100")
+        words, others = [x for x in pieces if word(x)], [x for x in pieces if not word(x)]
+        for k in range(0, len(words), most):
+            some = words[k : k + most]
+            found = [self.tokens(x if x.isascii() else x.translate(BYTES)) for x in map(str.lower, some)]
+            self._keep(some, [t.id for f in found for t in f], list(accumulate(map(len, found), initial=0)))
+        for k in range(0, len(others), most):
+            some = others[k : k + most]
             found = self.model.encode(" ".join(some), add_special_tokens=False)
-            begin = np.cumsum([0, *(len(x) + 1 for x in some)])
-            at = np.searchsorted([x for x, _ in found.offsets], begin)
-            ids = np.array(found.ids, self.kind)
-            for x, i, j in zip(some, at.tolist(), at[1:].tolist()):
-                self.known.keep(x, ids[i:j].tobytes())
+            begin = list(accumulate((len(x) + 1 for x in some), initial=0))
+            at = np.searchsorted(np.fromiter((x for x, _ in found.offsets), np.int64), begin)
+            self._keep(some, found.ids, at.tolist())
+
+    def _keep(self, pieces: list[str], ids: list[int], at: list[int]) -> None:
+        """Remembers the ids of pieces, those of the k-th from at[k] to at[k + 1]."""
+        raw, width = np.array(ids, self.kind).tobytes(), self.kind.itemsize
+        for x, i, j in zip(pieces, at, at[1:]):
+            self.known.keep(x, raw[i * width : j * width])
 
     def _pieces(self, pieces: pa.Array) -> list[bytes]:
         """The ids of different pieces. In those that cannot hold an added token, ASCII is lower-cased, as the layout
@@ -106,13 +129,14 @@ class Encoder:
         low = pc.if_else(pc.and_(free, pc.string_is_ascii(pieces)), pc.ascii_lower(pieces), pieces)
         base = pc.if_else(free, pc.replace_substring_regex(low, "([A-Za-zÀ-ÖØ-öø-ÿ])[.,;:!?]$", r"\1"), low)
         coded, known = base.dictionary_encode(), self.known
-        distinct = coded.dictionary.to_pylist()
+        distinct = _listed(coded.dictionary)
         self._learn([x for x in distinct if x not in known and x not in known.old and (x.isascii() or max(x) < "\u0180")])
         packed = [known[x] for x in distinct]
-        out = [packed[k] for k in coded.indices.to_pylist()]
+        out = [packed[k] for k in _listed(coded.indices)]
         marked = np.nonzero(pc.not_equal(base, low).to_numpy(zero_copy_only=False))[0]
-        for k, x in zip(marked.tolist(), low.take(pa.array(marked)).to_pylist()):
-            out[k] += known[x[-1]]
+        marks = pc.utf8_slice_codeunits(low.take(pa.array(marked)), -1)
+        for k, x in zip(marked.tolist(), _listed(marks)):
+            out[k] += known[x]
         return out
 
     def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -169,3 +169,28 @@ def test_encoder_holds_bounded_pieces_and_slices(monkeypatch):
 
     known = Seen(len, limit=100)
     assert [known[str(k)] for k in range(1000)] == [len(str(k)) for k in range(1000)] and Seen.held <= 2 * 100
+
+
+def test_letters_go_to_the_model_without_the_normaliser():
+    """Pieces of Latin letters get the library's ids from the model alone; its encode is much slower and not called."""
+    import numpy as np
+    import public_tokenizers
+    import pyarrow as pa
+
+    from rankyard.llm import token_pack
+
+    encode = token_pack.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["the Quick brownest FOX", "ÀÉÎõü straße ÿþÐ µ ªº", "", None, "ÇÀ\nva\nva, sur."]
+    wanted = [encode.model.encode(x or "", add_special_tokens=False).ids for x in texts]
+    library = encode.model
+
+    class Marks:
+        """Encodes what is no letters, as before."""
+
+        def encode(self, text, **options):
+            assert not any(x.isalpha() for x in text.split()), text
+            return library.encode(text, **options)
+
+    encode.model = Marks()
+    ids, at = encode.column(pa.array(texts))
+    assert [ids[i:j].tolist() for i, j in zip(at, at[1:])] == wanted and ids.dtype == np.dtype("<u2")
