@@ -458,3 +458,17 @@ def test_texts_outside_of_all_pools_are_not_ranked(spark, tools, monkeypatch, fe
     got = ranking.bm25_in_pools(asked(spark, "table message", "table"), members, tools, 5).collect()
     assert seen == ([[3, 5]] if few == 100 else [[1, 2, 3, 4, 5]])
     assert sorted((r.query_id, r.item_id, r.rank) for r in got) == [(0, 3, 2), (0, 5, 1), (1, 5, 1)]
+
+
+def test_own_items_are_left_out_before_distractors_are_shuffled(spark, monkeypatch):
+    """Distractors are shuffled once, to fetch their items: no anti-join and no window moves them again."""
+    monkeypatch.setattr(pools, "few", lambda df, rows=None: df)
+    own = spark.createDataFrame([(q, (q * 7 + k) % 40 + 1, k) for q in range(25) for k in range(q % 12 + 1)] + [(99, 77, 0), (99, 3, 1)], "query_id long, item_id long, position int")
+    found = pools.pools(own, spark.range(1, 41).withColumnRenamed("id", "item_id"), (3, 9), 7)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 2 and "LeftAnti" not in plan and "Window" not in plan  # one is with the number of items
+    rows = found.where("pool_size = 9").collect()
+    by = {q: sorted((r.ordinal, r.item_id) for r in rows if r.query_id == q) for q in {r.query_id for r in rows}}
+    assert len(by) == 26 and all([o for o, _ in x] == list(range(1, len(x) + 1)) and len({i for _, i in x}) == len(x) for x in by.values())
+    assert {q: len(x) for q, x in by.items()} == {q: max(9, q % 12 + 1) for q in range(25)} | {99: 9}
+    assert by[99][:2] == [(1, 77), (2, 3)]  # 77 is not in the universe
