@@ -57,6 +57,51 @@ def test_score_tiles_add_up_over_chunks_and_blocks(spark):
     assert seen == {(a, b) for a in range(0, 90, 3) for b in range(90)}
 
 
+def test_hard_negatives_store_no_scores(spark):
+    """What is written grows with rows and anchors, not with their product."""
+    from pathlib import Path
+
+    files = lambda: {f: f.stat().st_size for f in Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")).rglob("*.parquet") if f.is_file()}
+    v = np.random.default_rng(3).integers(-300, 300, (4000, 4))
+    rows = spark.createDataFrame([(i, i % 5, v[i].tolist(), i % 8 == 0) for i in range(4000)], "id long, label long, v array<long>, anchor boolean")
+    old = set(files())
+    assert hard_negatives.mine(rows).count() > 10_000
+    assert sum(size for f, size in files().items() if f not in old) < 500 * 4000 / 2
+
+
+@pytest.mark.parametrize("spread", [1, 30, 1 << 14, 1 << 22])
+def test_hard_negatives_of_many_blocks(spark, monkeypatch, spread):
+    monkeypatch.setattr(hard_negatives, "ROWS", 7)
+    monkeypatch.setattr(hard_negatives, "ANCHORS", 5)
+    rnd = random.Random(spread)
+    vectors = {i * 7919 % 401: (rnd.randrange(4) if i % 5 else -i, [rnd.randint(-1, spread) for _ in range(6 if i % 11 else 200)], i % 4 == 0) for i in range(200)}
+    found = hard_negatives.mine(vector_rows(spark, vectors), positives=3, negatives=4)
+    assert sorted(map(tuple, found.collect())) == mined(vectors, 3, 4)
+
+
+def test_a_task_hands_on_its_best_rows_before_it_holds_too_many(monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    packed = lambda ids, v, prefix: {prefix + c: x for c, x in {"dim": 3, "size": 8, "ids": ids.tobytes(), "labels": (ids % 2).tobytes(), "v": v.tobytes(), "p": None}.items()}
+    rows = [(np.sort(ids), rng.integers(-9, 9, (20, 3))) for ids in np.split(rng.permutation(np.arange(0, 160, 2)), 4)]
+    anchors = [(np.arange(k, k + 20, 2), rng.integers(-9, 9, (10, 3))) for k in (1000, 2000)]
+    batch = pa.RecordBatch.from_pylist([packed(*a, "a_") | packed(*b, "") for b in rows for a in anchors])
+    give = lambda a, best: (lambda k, ids, scores: (a.ids[k], ids, scores))(*best.rows())
+    run = lambda: [r for x in hard_negatives.searched([batch], lambda a: hard_negatives.Best(len(a.ids), 5), hard_negatives.add_same, give, ["a", "b", "s"]) for r in zip(*(c.to_pylist() for c in x.columns))]
+    whole = run()
+    wanted = {}
+    for ids, v in anchors:
+        for i, x in zip(ids.tolist(), v):
+            wanted[i] = sorted((-int(x @ y), j) for some, w in rows for j, y in zip(some.tolist(), w))[:5]
+    order = lambda found: {i: sorted((-s, b) for a, b, s in found if a == i)[:5] for i in wanted}
+    assert order(whole) == wanted and len(whole) == 100
+    monkeypatch.setattr(hard_negatives, "HELD", 9)
+    monkeypatch.setattr(hard_negatives, "SCORES", 50)
+    parts = run()
+    assert order(parts) == wanted and len(parts) > 100
+
+
 def test_hard_negatives_of_odd_tables(spark):
     assert hard_negatives.mine(vector_rows(spark, {})).collect() == []
     assert hard_negatives.mine(vector_rows(spark, {0: (1, [], True), 1: (1, [], False), 2: (2, [], False)})).collect() == [(0, 1, 1, 2, 0, 0)]
