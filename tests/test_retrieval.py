@@ -187,6 +187,54 @@ def test_nested_pools_hold_the_first_of_all_documents(spark):
     assert len(ids) == 30 and any(ids[n:] == [i for i in order if i not in ids[:n]][: 30 - n] for n in range(1, 15))
 
 
+@pytest.mark.parametrize("most", [1000, 0])
+def test_gold_of_runs_by_brute_force(spark, tmp_path, most):
+    """Runs from wherever in an item, whether its parts are broadcast or shuffled."""
+    import random
+    import re
+
+    from rankyard.plans import adapters
+
+    rnd = random.Random(4)
+    words = ["a", "b", "B", "c0", "d"]
+    say = lambda n: " ".join(rnd.choice(words) for _ in range(n))
+    asked = [(k, say(n)) for k, n in enumerate([8, 9, 12, 15, 20, 30, 7, 5, 1, 8, 11])] + [(90, "..."), (91, None), (92, "a b a c0 d d a b c0")]
+    texts = [(k, say(rnd.randint(0, 40))) for k in range(40)]
+    for k in range(60):
+        q = re.findall("[a-z0-9]+", asked[k % 11][1].lower())
+        n, at = rnd.choice([6, 7, 8, 9]), rnd.randint(0, 12)
+        texts.append((100 + k, f"{say(rnd.randint(0, 9))} x {' '.join(q[at:at + n])}, Y {say(rnd.randint(0, 9))}"))
+    texts += [(900, ""), (901, None), (902, "A b. A c0 d-d a B"), (903, "z b a c0 d d a b c0")]
+    spark.createDataFrame(asked, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(k, t, "en", "s") for k, t in texts], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    cut = lambda t: re.findall("[a-z0-9]+", (t or "").lower())
+    holds = lambda t, run: any(t[i : i + len(run)] == run for i in range(len(t) - len(run) + 1))
+    wanted = [(q, d) for q, x in asked for d, y in texts if cut(x) and any(holds(cut(y), cut(x)[i : i + 8]) for i in range(max(1, len(cut(x)) - 7)))]
+    assert sorted(map(tuple, adapters.gold_of_runs(spark, str(tmp_path), most).collect())) == wanted
+    assert {(92, 902), (92, 903)} <= set(wanted) and len(wanted) > 30
+
+
+def test_nested_pools_begin_with_documents_that_hold_a_run_of_the_item(spark, tmp_path):
+    """Those with the first eight tokens, as the first SQL had, those with later ones and those with the whole item."""
+    import duckdb
+    from oracle import rows
+
+    from rankyard.plans import catalogue
+
+    long = "One two three four five six seven eight nine ten."
+    texts = [(1, "x one two three four five six seven eight y"), (2, "three four five six seven eight nine ten"), (3, long), (4, "two three four five six seven eight"), (5, "a SHORT item b"), (6, "")]
+    spark.createDataFrame([(1, long), (2, "Short, item!")], "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/of/benchmark.parquet")
+    spark.createDataFrame([(k, t, "en", "s") for k, t in texts], "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(f"{tmp_path}/of/documents.parquet")
+    found = catalogue.queries()["pool_membership_nested"](spark, f"{tmp_path}/of").collect()
+    own = lambda q, n: [r.item_id for r in sorted(found, key=lambda r: r.ordinal) if (r.query_id, r.pool_size) == (q, 30)][:n]
+    assert own(1, 3) == [1, 2, 3] and own(2, 1) == [5]
+    con = duckdb.connect()
+    for t in ("benchmark", "documents"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/of/{t}.parquet/*.parquet'")
+    sql = con.sql(catalogue.oracle_sql()["pool_membership_nested"])
+    assert rows((r.asDict() for r in found), sql.columns) == rows((dict(zip(sql.columns, r)) for r in sql.fetchall()), sql.columns)
+
+
 def test_pools_enumerate_no_pairs(spark):
     own = spark.createDataFrame([(0, 1, 0)], "query_id long, item_id long, position int")
     plan = pools.pools(own, spark.range(1000).withColumnRenamed("id", "item_id"), (5,), 7)._jdf.queryExecution().executedPlan().toString()
