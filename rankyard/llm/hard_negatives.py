@@ -175,7 +175,8 @@ class Best:
 
 def at_least(scores: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The places of the scores that are not below their row's least."""
-    return np.nonzero(scores >= least.astype(scores.dtype)[:, None])
+    # One dimension is much faster to search than two.
+    return np.divmod(np.flatnonzero(scores >= least.astype(scores.dtype)[:, None]), max(scores.shape[1], 1))
 
 
 def parts(a: Block, b: Block):
